@@ -50,6 +50,11 @@ def words_of(text: Column) -> Column:
     ).otherwise(F.array().cast(T.ArrayType(T.StringType())))
 
 
+def row_key(*columns: Column | str) -> Column:
+    """A 64-bit name of a row by what it holds, so that repeated ids do not mix."""
+    return F.xxhash64(*columns)
+
+
 def spread(key: Column, n: Column | int) -> Column:
     """A cell number in [0, n) that depends on ``key`` only."""
     n = n if isinstance(n, Column) else F.lit(n)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, row_key
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -272,6 +272,14 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     return grouped.join(least, "class", "left").select("doc_id", F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, and with every row whose set is empty but for repeated ones."""
+    named = docs.withColumn("_row", row_key(key, text))
+    groups = similarity_groups(named.select("_row", text), n, percent, key="_row", text=text)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def _without_frequent(met: DataFrame, schemes: Schemes) -> DataFrame:
     """Each set's keys but its ``shared - 1`` most frequent ones of each scheme."""
     spare = F.element_at(F.array(*[F.lit(schemes.scheme(b).shared - 1) for b in range(BANDS)]), (F.col("key").bitwiseAND(BANDS - 1) + 1).cast("int"))

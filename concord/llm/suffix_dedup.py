@@ -37,10 +37,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .shingles import U, _power_tables, chunks, mix, text_buffers
 
 LENGTH, GRAM = 400, 64
@@ -253,11 +253,6 @@ def _windows(length: int, gram: int):
     return run
 
 
-def row_key(key: Column, text: Column) -> Column:
-    """Names a document by its id and text, so that repeated ids do not mix."""
-    return F.xxhash64(key, text)
-
-
 def _reached(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(spans (row, start, stop) that are repeated, occurrences of maximal repeats) of ``docs``: row, text."""
     anchors = docs.filter(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "gram long, ctx long, row long, pos long, before int, after int")
