@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, warc
+from . import chat_format, embedding_join, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, warc
 from .common import read_table
 
 PLANTED_TURN = r"\### Assistant: </turn> ok"
@@ -149,6 +149,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.link_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.93)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93
+), r AS (
+  SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v
+), m AS (
+  SELECT v, min(c) AS c FROM r GROUP BY v
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id)::BIGINT AS n_links, m.c AS component_id, m.c = e.vec_id AS kept
+FROM embeddings e JOIN m ON m.v = e.vec_id
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return mixing.mix(docs, mix_levels(), budget=0.8, weights=MIX_WEIGHTS, max_epochs=2)
@@ -162,7 +184,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_packing": op7_packing,
+    "op8_embedding_join": op8_embedding_join,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_warc_revisits": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op8_embedding_join": OP8_SQL}
