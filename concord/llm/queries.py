@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_join, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, warc
+from . import chat_format, embedding_join, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, toxicity, warc
 from .common import read_table
 
 PLANTED_TURN = r"\### Assistant: </turn> ok"
@@ -171,6 +171,14 @@ FROM embeddings e JOIN m ON m.v = e.vec_id
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    away = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", away.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return mixing.mix(docs, mix_levels(), budget=0.8, weights=MIX_WEIGHTS, max_epochs=2)
@@ -185,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_revisits": op6_warc_revisits,
     "op7_packing": op7_packing,
     "op8_embedding_join": op8_embedding_join,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
