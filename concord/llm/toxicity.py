@@ -115,7 +115,7 @@ def _listed(chosen: np.ndarray):
     return run
 
 
-def fit_weights(held: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, penalty: float = 1e-3, rounds: int = 200, rate: float = 0.05) -> tuple[float, np.ndarray]:
+def fit_weights(held: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, penalty: float = 1e-4, rounds: int = 300, rate: float = 0.05) -> tuple[float, np.ndarray]:
     """Logistic regression by Adam over whole passes; ``held`` are places in ``ratio``."""
     n = len(toxic)
     flat = np.concatenate([*held, np.zeros(0, dtype=np.int64)]).astype(np.int64)
