@@ -52,7 +52,8 @@ from .components import components
 from .shingles import U, mix, shingle_sets
 
 _P = U(0x9E3779B97F4A7C15)
-BLOCK = 64
+#: Members of a key that are compared pair by pair; of larger keys, blocks of so many are compared inside tasks.
+SMALL, BLOCK = 64, 256
 #: More bands than any size needs: the last one begins beyond 10 ** 8 elements.
 BANDS = 64
 
@@ -191,12 +192,13 @@ def _verified(n: int):
 
 
 def _block_links(n: int, percent: int):
-    """Links that connect members of two blocks of one key (a spanning forest of them)."""
+    """Links between a block of members outside a key's main component (side 0) and a block of all members."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
         sets = list(shingle_sets(pa.array(pdf["text"], pa.string()), n))
-        nodes, comp = pdf["node"].tolist(), pdf["comp"].tolist()
+        key, nodes, comp = int(pdf["key"].iloc[0]), pdf["node"].tolist(), pdf["comp"].tolist()
+        keys = [frozenset(k) for k in pdf["keys"]]
+        one, other = ([i for i, s in enumerate(pdf["side"]) if s == side] for side in (0, 1))
         root = {c: c for c in comp}
 
         def top(c: int) -> int:
@@ -205,12 +207,11 @@ def _block_links(n: int, percent: int):
             return c
 
         out = []
-        for i in range(len(nodes)):
-            for j in range(i):
-                x, y = top(comp[i]), top(comp[j])
+        for i in one:
+            for j in other:
                 small, large = sorted((len(sets[i]), len(sets[j])))
-                if x == y or 100 * small < percent * large:
-                    continue
+                if 100 * small < percent * large or (x := top(comp[i])) == (y := top(comp[j])) or min(keys[i] & keys[j]) != key:
+                    continue  # the last: another key compares them
                 inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * inter >= percent * (small + large - inter):
                     root[x] = y
@@ -239,8 +240,12 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     shared = met.filter("_low <> _high").select("key", "n")
     met_rows = materialize(signed.join(shared.hint("shuffle_hash"), "key").distinct(), "shared-keys")
     kept = _without_frequent(met_rows, Schemes(percent))
-    pivots = kept.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("members")).filter("pivot <> _high").drop("_high")
-    cands = materialize(kept.join(pivots, "key").select("key", "node", "pivot", "members"), "candidates")
+    # A key's pivot is the member that meets most others over all its keys: of near copies, what they were copied from.
+    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met_often = materialize(kept.join(counts, "key"), "kept-keys")
+    ranked = met_often.join(met_often.groupBy("node").agg(F.sum("members").alias("met")), "node")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("_top")).select("key", F.col("_top.node").alias("pivot"))
+    cands = materialize(met_often.join(pivots, "key").select("key", "node", "pivot", "members"), "candidates")
 
     first = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     needed = cands.select("node").distinct().join(first, "node").select("doc_id", "node")
@@ -255,16 +260,21 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     placed = cands.filter("members > 2").join(known, "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
     opened = materialize(placed.join(open_keys, "key", "left_semi"), "open-keys")
-    small = opened.filter(F.col("members") <= BLOCK)
+    small = opened.filter(F.col("members") <= SMALL)
     pair = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
     pair = pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = _links(pair, texts, n, percent).filter("linked").select("a", "b")
 
-    large = opened.filter(F.col("members") > BLOCK).withColumn("_blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    large = large.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("_blocks")).cast("int"))
-    spread = large.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    spread = spread.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "node", "comp").join(texts, "node")
-    across = spread.groupBy("key", "_i", "_j").applyInPandas(_block_links(n, percent), "a long, b long")
+    # In a large key most members are connected by now: only the others are compared with all.
+    large = opened.filter(F.col("members") > SMALL)
+    main = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("_main"), F.sum("n").alias("_all"))
+    main = main.select("key", F.col("_main.comp").alias("_main"), F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks"), F.ceil((F.col("_all") - F.col("_main.n")) / BLOCK).cast("int").alias("_others"))
+    own = lambda count: F.pmod(F.xxhash64("node", F.lit(5)), F.col(count)).cast("int")
+    dealt = large.join(main, "key").join(large.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
+    told = ["key", "node", "comp", "keys"]
+    outside = dealt.filter("comp <> _main").select(*told, F.lit(0).alias("side"), own("_others").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("j"))
+    inside = dealt.select(*told, F.lit(1).alias("side"), own("_blocks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("_others") - 1)).alias("i")).select(*outside.columns)
+    across = outside.unionAll(inside).join(texts, "node").groupBy("key", "i", "j").applyInPandas(_block_links(n, percent), "a long, b long")
 
     found = components(links.unionAll(more).unionAll(across))
     grouped = sets.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
