@@ -45,7 +45,7 @@ from .shingles import U, _power_tables, chunks, mix, text_buffers
 
 LENGTH, GRAM = 400, 64
 #: Classes of a bucket that are compared as one suffix array; larger buckets are split.
-BUCKET = 256
+BUCKET = 64
 #: Window offsets in a range of a split bucket.
 RANGE = 17
 
@@ -74,7 +74,7 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _anchors(length: int, gram: int):
-    """Rows (row, text) to (gram, ctx, row, pos, before, after)."""
+    """Rows (row, text) to (gram, ctx, row, pos): anchors, with a hash of their whole context."""
     width = length - gram + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def _anchors(length: int, gram: int):
                 ctx = mix(_hash(sums, left, right) + (chosen - left).astype(np.uint64))
                 yield pa.record_batch({
                     "gram": hashes[chosen].astype(np.int64), "ctx": ctx.astype(np.int64), "row": rows[a + text],
-                    "pos": (chosen - at[text]).astype(np.int64), "before": (chosen - left).astype(np.int32), "after": (right - chosen).astype(np.int32),
+                    "pos": (chosen - at[text]).astype(np.int32),
                 })
 
     return run
@@ -168,39 +168,58 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
                 yield left, value, members[a : b + 1]
 
 
-def _tree_repeats(length: int):
-    """Rows of whole buckets in order of their gram to (group, row, pos, n, start, size), a row per occurrence."""
-
-    def solve(gram: int, rows: list[tuple]) -> list[tuple]:
-        lefts, rights = [r[3][::-1] for r in rows], [r[4] for r in rows]
-        out = []
-        for k, (left, right, members) in enumerate(maximal_repeats(lefts, rights, length)):
-            group = int(mix(np.array([gram], dtype=np.int64).astype(np.uint64) + U(k))[0].astype(np.int64))
-            out += [(group, rows[m][0], rows[m][1], rows[m][2], rows[m][1] - left, left + right) for m in members]
-        return out
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]] | None]:
+    """(gram, rows) of each bucket, from rows in order of their gram; None after each batch."""
+    gram, waiting = None, []
+    for batch in batches:
+        for key, *rest in zip(*[batch.column(c).to_pylist() for c in ("gram", "row", "pos", "n", "left", "right")], strict=True):
+            if key != gram:
+                if len(waiting) > 1:
+                    yield gram, waiting
+                gram, waiting = key, []
+            waiting.append(tuple(rest))
+        yield None
+    if len(waiting) > 1:
+        yield gram, waiting
+    yield None
+
+
+def _reaches(length: int):
+    """Whole buckets to (row, start, stop): what all repeats around an anchor cover together.
+
+    All of them hold the anchor, so their union is one run. Classes of more
+    than one context are covered as a whole anyway and are left out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("group", "row", "pos", "n", "start", "size")
-        made: list[tuple] = []
-        gram, waiting = None, []
+        made: list[tuple[int, int, int]] = []
+        for bucket in _buckets(batches):
+            if bucket is None:
+                if made:
+                    yield pa.record_batch({n: pa.array(list(c), pa.int64()) for n, c in zip(("row", "start", "stop"), zip(*made, strict=True), strict=True)})
+                    made = []
+                continue
+            rows = bucket[1]
+            lefts, rights = [0] * len(rows), [0] * len(rows)
+            for left, right, members in maximal_repeats([r[3][::-1] for r in rows], [r[4] for r in rows], length):
+                for m in members:
+                    lefts[m], rights[m] = max(lefts[m], left), max(rights[m], right)
+            made += [(r[0], r[1] - a, r[1] + b) for r, a, b in zip(rows, lefts, rights, strict=True) if r[2] == 1 and a + b]
+    return run
 
-        def put() -> pa.RecordBatch:
-            return pa.record_batch({n: pa.array(list(c), pa.int64()) for n, c in zip(names, zip(*made, strict=True), strict=True)})
 
-        for batch in batches:
-            for key, *rest in zip(*[batch.column(c).to_pylist() for c in ("gram", "row", "pos", "n", "left", "right")], strict=True):
-                if key != gram:
-                    if len(waiting) > 1:
-                        made += solve(gram, waiting)
-                    gram, waiting = key, []
-                waiting.append(tuple(rest))
-            if made:
-                yield put()
-                made = []
-        if len(waiting) > 1:
-            made += solve(gram, waiting)
-        if made:
-            yield put()
+def _groups(length: int):
+    """Whole buckets to (group, row, start, size): a row per occurrence of each maximal repeat."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches):
+            if bucket is None:
+                continue
+            gram, rows = bucket
+            for k, (left, right, members) in enumerate(maximal_repeats([r[3][::-1] for r in rows], [r[4] for r in rows], length)):
+                group = int(mix(np.array([gram], dtype=np.int64).astype(np.uint64) + U(k))[0].astype(np.int64))
+                out = [(group, rows[m][0], rows[m][1] - left, left + right) for m in members]
+                yield pa.record_batch({n: pa.array(list(c), pa.int64()) for n, c in zip(("group", "row", "start", "size"), zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -253,28 +272,39 @@ def _windows(length: int, gram: int):
     return run
 
 
-def _reached(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(spans (row, start, stop) that are repeated, occurrences of maximal repeats) of ``docs``: row, text."""
-    anchors = docs.filter(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "gram long, ctx long, row long, pos long, before int, after int")
+def _classes(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(anchors whose gram occurs again, classes of equal contexts in them) of ``docs``: row, text."""
+    anchors = docs.filter(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "gram long, ctx long, row long, pos int")
     anchors = materialize(anchors, "anchors")
     again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
     shared = materialize(anchors.join(again, "gram"), "shared-anchors")
-    whole = shared.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos", "before", "after")).alias("first"))
+    whole = shared.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("first"))
     buckets = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
-    classes = materialize(whole.join(buckets, "gram").select("gram", "ctx", "n", "classes", "first.*"), "classes")
-    copied = shared.join(classes.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("row", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
-
-    asked = classes.filter("classes > 1").groupBy("row").agg(F.collect_list(F.struct("gram", "n", "classes", "pos", "before", "after")).alias("asked"))  # one text's anchors
-    body = F.col("text").cast("binary")
-    found = docs.join(asked, "row").dropDuplicates(["row"]).select("row", "text", F.explode("asked").alias("a")).select(
-        "a.gram", "row", "a.pos", "a.n", "a.classes",
-        F.substring(body, (F.col("a.pos") - F.col("a.before") + 1).cast("int"), F.col("a.before")).alias("left"),
-        F.substring(body, (F.col("a.pos") + 1).cast("int"), F.col("a.after")).alias("right"),
+    return shared, materialize(whole.join(buckets, "gram").select("gram", "ctx", "n", "classes", "first.*"), "classes")
+
+
+def _contexts(docs: DataFrame, classes: DataFrame, length: int, gram: int) -> DataFrame:
+    """(gram, row, pos, n, classes, left, right): the contexts of the first of each class."""
+    asked = classes.groupBy("row").agg(F.collect_list(F.struct("gram", "n", "classes", "pos")).alias("asked"))  # one text's anchors
+    body, before = F.col("text").cast("binary"), F.least(F.col("a.pos"), F.lit(length - gram))
+    return docs.join(asked, "row").dropDuplicates(["row"]).select("row", "text", F.explode("asked").alias("a")).select(
+        "a.gram", "row", F.col("a.pos").cast("long").alias("pos"), "a.n", "a.classes",
+        F.substring(body, F.col("a.pos") - before + 1, before).alias("left"), F.substring(body, F.col("a.pos") + 1, F.lit(length)).alias("right"),
     )
-    contexts = materialize(found, "contexts")
-    ordered = contexts.filter(F.col("classes") <= BUCKET).drop("classes").repartition("gram").sortWithinPartitions("gram", "row", "pos")
-    repeats = materialize(ordered.mapInArrow(_tree_repeats(length), "group long, row long, pos long, n long, start long, size long"), "repeats")
-    single = repeats.filter("n = 1").select("row", "start", (F.col("start") + F.col("size")).alias("stop"))
+
+
+def _in_buckets(contexts: DataFrame) -> DataFrame:
+    return contexts.filter(F.col("classes") <= BUCKET).drop("classes").repartition("gram").sortWithinPartitions("gram", "row", "pos")
+
+
+def _reached(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans (row, start, stop) of ``docs``: row, text that occur again; a stop may lie beyond the text's end."""
+    shared, classes = _classes(docs, length, gram)
+    copied = shared.join(classes.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"])
+    copied = copied.select("row", F.greatest(F.col("pos") - (length - gram), F.lit(0)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
+
+    contexts = materialize(_contexts(docs, classes.filter("classes > 1"), length, gram), "contexts")
+    single = _in_buckets(contexts).mapInArrow(_reaches(length), "row long, start long, stop long")
 
     split = contexts.filter(F.col("classes") > BUCKET)
     cores = materialize(split.mapInArrow(_cores(length, gram), "core long, ctx long, row long, pos long, n long, part long, start long, size long"), "cores")
@@ -284,13 +314,13 @@ def _reached(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     windows = materialize(split.join(mixed, ["row", "pos"]).select("gram", "row", "pos", "n", "left", "right", "part").mapInArrow(_windows(length, gram), "window long, row long, n long, start long"), "windows")
     twice = windows.groupBy("window").agg(F.sum("n").alias("_n")).filter("_n > 1").select("window")
     last = windows.filter("n = 1").join(twice, "window").select("row", "start", (F.col("start") + length).alias("stop"))
-    return copied.unionAll(single).unionAll(told).unionAll(last), repeats
+    return copied.unionAll(single).unionAll(told).unionAll(last)
 
 
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Disjoint runs, ascending; runs that touch are one."""
+def _merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
+    """Disjoint runs inside ``size`` bytes, ascending; runs that touch are one."""
     out: list[tuple[int, int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans or []):
+    for start, stop in sorted((s["start"], min(s["stop"], size)) for s in spans or []):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], stop))
         else:
@@ -309,7 +339,7 @@ def _left_over(body: bytes, runs: list[tuple[int, int]]) -> bytes:
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bodies = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        runs = [_merged(s) for s in batch.column("spans").to_pylist()]
+        runs = [_merged(s, len(b)) for s, b in zip(batch.column("spans").to_pylist(), bodies, strict=True)]
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()),
             "n_removed": pa.array([sum(e - s for s, e in r) for r in runs], pa.int64()), "n_spans": pa.array([len(r) for r in runs], pa.int64()),
@@ -320,14 +350,13 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        kept = [t if not s else _left_over(t.encode(), _merged(s)).decode(errors="ignore") for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+        kept = [t if not s else _left_over(body := t.encode(), _merged(s, len(body))).decode(errors="ignore") for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
         names = [n for n in batch.schema.names if n not in ("text", "spans")]
         yield pa.record_batch([*[batch.column(n) for n in names], pa.array(kept, pa.string())], names=[*names, "text"])
 
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    spans, _ = _reached(docs.select("row", "text"), length, gram)
-    by_row = spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # one text's spans
+    by_row = _reached(docs.select("row", "text"), length, gram).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # one text's spans
     return docs.join(by_row, "row", "left")
 
 
@@ -339,9 +368,10 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal repeats seen inside an anchor's context: group, row, start, size, with a row per occurrence (copies of a whole context once)."""
+    """Maximal repeats of the buckets that are one suffix array: group, row, start, size, with a row per occurrence (equal contexts once)."""
     named = docs.select(row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    return _reached(named, length, gram)[1].select("group", "row", "start", "size")
+    _, classes = _classes(named, length, gram)
+    return _in_buckets(_contexts(named, classes.filter("classes > 1"), length, gram)).mapInArrow(_groups(length), "group long, row long, start long, size long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
