@@ -33,6 +33,7 @@ an empty result. Grams, contexts and rows are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ from .shingles import U, _power_tables, chunks, mix, text_buffers
 
 LENGTH, GRAM = 400, 64
 #: Classes of a bucket that are compared as one suffix array; larger buckets are split.
-BUCKET = 64
+BUCKET = 8192
 #: Window offsets in a range of a split bucket.
 RANGE = 17
 
@@ -168,6 +169,66 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
                 yield left, value, members[a : b + 1]
 
 
+def _range_minima(values: list[int]) -> list[list[int]]:
+    """Sparse table: row k holds the least of every 2 ** k consecutive values."""
+    table, have = [np.array(values)], 1
+    while 2 * have <= len(values):
+        table.append(np.minimum(table[-1][:-have], table[-1][have:]))
+        have *= 2
+    return [t.tolist() for t in table]
+
+
+def reaches(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[list[int], list[int]]:
+    """How far left and right of the anchor each member is covered by maximal repeats.
+
+    The common-prefix intervals are visited from the deepest up, and the members
+    of each stand in the order of their left contexts. Where children meet, the
+    smaller is put into the larger: members that become neighbours come from
+    different children, so the repeat is right-diverse, and it ends on the left
+    where their left contexts part. All other repeats of a member in the
+    interval reach less far left, and those found before reach further right.
+    """
+    n = len(rights)
+    by_right, by_left = sorted(range(n), key=rights.__getitem__), sorted(range(n), key=lefts.__getitem__)
+    right_lcp, left_lcp = _common(by_right, rights).tolist(), _common(by_left, lefts).tolist()
+    place = [0] * n
+    for k, m in enumerate(by_left):
+        place[m] = k
+    minima = _range_minima(left_lcp)
+
+    def agree(a: int, b: int) -> int:
+        """Common left context of the members at places a < b."""
+        k = (b - a).bit_length() - 1
+        return min(minima[k][a + 1], minima[k][b + 1 - (1 << k)])
+
+    left, right, best = [0] * n, [0] * n, max(left_lcp)
+    held: dict[int, list[int]] = {}  # first entry of an interval -> places of its members, in order
+    for value, first, last, children in intervals(right_lcp):
+        if first == last:
+            continue
+        parts, at = [], first
+        for a, b in sorted(children):
+            parts += [[place[by_right[i]]] for i in range(at, a)]
+            parts.append(held.pop(a) if a in held else [place[by_right[i]] for i in range(a, b + 1)])
+            at = b + 1
+        parts += [[place[by_right[i]]] for i in range(at, last + 1)]
+        whole = max(parts, key=len)
+        for part in parts:
+            if part is whole:
+                continue
+            for p in part:
+                i = bisect_left(whole, p)
+                if value + best >= length:
+                    for q in whole[max(i - 1, 0) : i + 1]:
+                        shared = agree(min(p, q), max(p, q))
+                        if shared + value >= length:
+                            for m in (by_left[p], by_left[q]):
+                                left[m], right[m] = max(left[m], shared), max(right[m], value)
+                whole.insert(i, p)
+        held[first] = whole
+    return left, right
+
+
 def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]] | None]:
     """(gram, rows) of each bucket, from rows in order of their gram; None after each batch."""
     gram, waiting = None, []
@@ -200,10 +261,7 @@ def _reaches(length: int):
                     made = []
                 continue
             rows = bucket[1]
-            lefts, rights = [0] * len(rows), [0] * len(rows)
-            for left, right, members in maximal_repeats([r[3][::-1] for r in rows], [r[4] for r in rows], length):
-                for m in members:
-                    lefts[m], rights[m] = max(lefts[m], left), max(rights[m], right)
+            lefts, rights = reaches([r[3][::-1] for r in rows], [r[4] for r in rows], length)
             made += [(r[0], r[1] - a, r[1] + b) for r, a, b in zip(rows, lefts, rights, strict=True) if r[2] == 1 and a + b]
     return run
 
