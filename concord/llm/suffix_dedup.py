@@ -334,7 +334,8 @@ def _classes(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     """(anchors whose gram occurs again, classes of equal contexts in them) of ``docs``: row, text."""
     anchors = docs.filter(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "gram long, ctx long, row long, pos int")
     anchors = materialize(anchors, "anchors")
-    again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
+    # Stored, so that the join shuffles both its sides and a frequent gram can be split over tasks.
+    again = materialize(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram"), "shared-grams")
     shared = materialize(anchors.join(again, "gram"), "shared-anchors")
     whole = shared.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("first"))
     buckets = whole.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
@@ -366,10 +367,11 @@ def _reached(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     split = contexts.filter(F.col("classes") > BUCKET)
     cores = materialize(split.mapInArrow(_cores(length, gram), "core long, ctx long, row long, pos long, n long, part long, start long, size long"), "cores")
-    mass = cores.groupBy("core").agg(F.sum("n").alias("_n"), F.min("ctx").alias("_low"), F.max("ctx").alias("_high")).filter("_n > 1")
-    told = cores.filter("n = 1").join(mass.filter("_low = _high").select("core"), "core").select("row", "start", (F.col("start") + F.col("size")).alias("stop"))
-    mixed = cores.join(mass.filter("_low <> _high").select("core"), "core").select("row", "pos", "part")
-    windows = materialize(split.join(mixed, ["row", "pos"]).select("gram", "row", "pos", "n", "left", "right", "part").mapInArrow(_windows(length, gram), "window long, row long, n long, start long"), "windows")
+    alike = materialize(cores.groupBy("core", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("row", "pos", "part")).alias("first")), "core-classes")
+    told = cores.filter("n = 1").join(alike.filter("n > 1").select("core", "ctx"), ["core", "ctx"]).select("row", "start", (F.col("start") + F.col("size")).alias("stop"))
+    mixed = alike.join(alike.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("core"), "core").select("first.*", "n")
+    windows = split.drop("n").join(mixed, ["row", "pos"]).select("gram", "row", "pos", "n", "left", "right", "part").mapInArrow(_windows(length, gram), "window long, row long, n long, start long")
+    windows = materialize(windows, "windows")
     twice = windows.groupBy("window").agg(F.sum("n").alias("_n")).filter("_n > 1").select("window")
     last = windows.filter("n = 1").join(twice, "window").select("row", "start", (F.col("start") + length).alias("stop"))
     return copied.unionAll(single).unionAll(told).unionAll(last)
