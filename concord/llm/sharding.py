@@ -77,7 +77,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, bundles_per_shard: int =
     large = groups.filter(F.col("share") > 1.0 / n_bundles).select(
         F.col("group").alias("_large"), F.when(F.col("share") > 0.5 / n_shards, F.ceil(F.col("share") * n_bundles)).otherwise(F.lit(1)).cast("int").alias("_pieces")
     )
-    joined = rows.join(large, rows["group"] == large["_large"], "left")
+    joined = rows.join(F.broadcast(large), rows["group"] == large["_large"], "left")
     item = (
         F.when(F.col("_large").isNull(), F.concat(F.lit("b"), spread(F.col("group"), n_bundles).cast("string")))
         .when(F.col("_pieces") == 1, F.concat(F.lit("g"), F.col("group")))
