@@ -73,7 +73,7 @@ c AS (
     {_content("concat_ws(' ', title, description)")} AS content, {_tokens("title")} AS words, lower(location) AS place, {_long("location")} AS place_words,
     regexp_matches(lower(location), '{"|".join(VIRTUAL_MARKERS)}') AS virtual
   FROM cal_people
-), cw AS (SELECT *, {_acronyms("words")} AS acronyms FROM c), kw AS (SELECT *, {_acronyms("words")} AS acronyms FROM k),
+), cw AS MATERIALIZED (SELECT *, {_acronyms("words")} AS acronyms FROM c), kw AS MATERIALIZED (SELECT *, {_acronyms("words")} AS acronyms FROM k),
 p AS (
   SELECT c_id, k_id,
     CASE WHEN owner = '' THEN NULL WHEN owner = organizer THEN 1.0 WHEN list_contains(attendees, owner) THEN 0.7 ELSE 0.0 END::DOUBLE AS p_owner,
@@ -88,14 +88,14 @@ p AS (
     0.6::DOUBLE * CASE WHEN cw.place IS NULL OR kw.place IS NULL THEN 0.5 WHEN contains(cw.place, kw.place) OR contains(kw.place, cw.place) THEN 1.0
       WHEN len(list_intersect(cw.place_words, kw.place_words)) > 0 THEN 0.6 ELSE 0.0 END
     + 0.4::DOUBLE * CASE WHEN kw.place IS NULL THEN 0.5 WHEN (lower(meeting_type) = 'virtual') = virtual THEN 1.0 ELSE 0.0 END AS structure
-  FROM cw JOIN kw ON c_date BETWEEN k_date - 1 AND k_date + 1
+  FROM cw JOIN (SELECT *, unnest([k_date - 1, k_date, k_date + 1]) AS block FROM kw) kw ON c_date = block
 ), s AS (
   SELECT *, (coalesce(0.4::DOUBLE * p_owner, 0) + coalesce(0.4::DOUBLE * p_client, 0) + coalesce(0.2::DOUBLE * p_company, 0))
     / nullif((CASE WHEN p_owner IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN p_client IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN p_company IS NULL THEN 0 ELSE 0.2::DOUBLE END), 0) AS pp FROM p
 ), t AS (
   SELECT c_id, k_id, coalesce(pp, 0) AS participants, time, title, structure,
     0.4::DOUBLE * coalesce(pp, 0) + 0.3::DOUBLE * time + 0.2::DOUBLE * title + 0.1::DOUBLE * structure AS score FROM s
-), found AS MATERIALIZED (SELECT * FROM t WHERE score >= 0.45)
+), found AS (SELECT * FROM t WHERE score >= 0.45)
 """
 
 
@@ -103,10 +103,9 @@ def _greedy(rounds: int = 8) -> str:
     """Rounds of mutual bests, unrolled."""
     out = ["r0 AS MATERIALIZED (SELECT c_id, k_id, score FROM found)"]
     for i in range(rounds):
-        out.append(
-            f"m{i} AS MATERIALIZED (SELECT c_id, k_id, score FROM (SELECT *, row_number() OVER (PARTITION BY c_id ORDER BY score DESC, k_id) AS a, row_number() OVER (PARTITION BY k_id ORDER BY score DESC, c_id) AS b FROM r{i}) WHERE a = 1 AND b = 1)"
-        )
-        out.append(f"r{i + 1} AS MATERIALIZED (SELECT * FROM r{i} WHERE c_id NOT IN (SELECT c_id FROM m{i}) AND k_id NOT IN (SELECT k_id FROM m{i}))")
+        ranks = "row_number() OVER (PARTITION BY c_id ORDER BY score DESC, k_id) AS a, row_number() OVER (PARTITION BY k_id ORDER BY score DESC, c_id) AS b"
+        out.append(f"m{i} AS MATERIALIZED (SELECT c_id, k_id, score FROM (SELECT *, {ranks} FROM r{i}) WHERE a = 1 AND b = 1)")
+        out.append(f"r{i + 1} AS MATERIALIZED (SELECT r.* FROM r{i} r ANTI JOIN m{i} x ON r.c_id = x.c_id ANTI JOIN m{i} y ON r.k_id = y.k_id)")
     return ",\n".join(out) + ",\npairs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(rounds)) + ")"
 
 
