@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import PLACEHOLDER_CLIENTS, TITLE_STOPWORDS, VIRTUAL_MARKERS
+from ..functions.text import LOCATION_STOPWORDS, PLACEHOLDER_CLIENTS, TITLE_STOPWORDS, VIRTUAL_MARKERS
 from ..schemas import CALENDAR_FIELDS, CRM_FIELDS, FLAG_CODES
 from .derive import CALENDAR_SQL, CRM_SQL
 
@@ -109,6 +109,77 @@ def _greedy(rounds: int = 8) -> str:
     return ",\n".join(out) + ",\npairs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(rounds)) + ")"
 
 
+# Duplicates come in twos in the derived calendar: a record joins the earliest one that it matches.
+_COLLAPSED = """
+keyed AS (
+  SELECT *, list_transform(list_filter(once, lambda p: NOT (p.email IS NOT NULL AND p.email = lower(organizer)) AND coalesce(split_part(p.email, '@', 2), '') <> 'firma.com'),
+    lambda p: coalesce(p.email, lower(trim(p.raw)))) AS parties FROM cal_people
+), joined AS (
+  SELECT b.event_id AS dup, min(a.event_id) AS survivor FROM keyed a JOIN keyed b
+    ON a.event_date = b.event_date AND lower(a.organizer) = lower(b.organizer) AND a.event_id < b.event_id AND NOT a.is_recurring AND NOT b.is_recurring
+    AND list_has_any(a.parties, b.parties) AND (a.start IS NULL OR b.start IS NULL OR abs(epoch(a.start) - epoch(b.start)) <= 3600) GROUP BY b.event_id
+), lead_of AS (
+  SELECT a.event_id, CASE WHEN b.created_at < a.created_at THEN b.event_id ELSE a.event_id END AS leader, dup
+  FROM cal_people a LEFT JOIN joined ON survivor = a.event_id LEFT JOIN cal_people b ON b.event_id = dup WHERE a.event_id NOT IN (SELECT dup FROM joined)
+), cal_c AS (
+  SELECT l.* EXCLUDE (event_id), f.event_id, f.dup, f.event_id || coalesce(',' || f.dup, '') AS ids FROM lead_of f JOIN cal_people l ON l.event_id = f.leader
+), flag_raw AS (
+  SELECT event_id, unnest(list_concat([struct_pack(code := cut, field := NULL, raw := start_time), struct_pack(code := 'TIMEZONE_ASSUMED:start_time', field := NULL, raw := start_time)],
+    list_transform(people, lambda p: struct_pack(code := CASE WHEN p.email IS NULL THEN 'NON_EMAIL_ATTENDEE:attendees' WHEN p.fixed THEN 'MALFORMED_EMAIL:attendees' END, field := NULL, raw := p.raw)))) AS f, FROM cal_people
+), cal_flag AS (
+  SELECT coalesce(survivor, event_id) AS event_id, f.code AS code, f.raw AS raw, survivor IS NULL OR EXISTS (SELECT 1) AS own, count(*) FILTER (WHERE survivor IS NULL) AS n_own
+  FROM flag_raw LEFT JOIN joined ON dup = event_id WHERE f.code IS NOT NULL GROUP BY ALL
+), cal_all AS (
+  SELECT event_id, code, raw, greatest(max(n_own), 1) AS n FROM cal_flag GROUP BY ALL
+  UNION ALL SELECT survivor, 'DUPLICATE_COLLAPSED:event_id', dup, 1 FROM joined
+), crm_joined AS (
+  SELECT b.crm_id AS dup, min(a.crm_id) AS survivor FROM crm_n a JOIN crm_n b ON a.event_date = b.event_date AND lower(a.relationship_owner) = lower(b.relationship_owner)
+    AND lower(a.client) = lower(b.client) AND a.crm_id < b.crm_id AND (a.start IS NULL OR b.start IS NULL OR abs(epoch(a.start) - epoch(b.start)) <= 3600) GROUP BY b.crm_id
+), crm_c AS (
+  SELECT c.*, c.crm_id || coalesce(',' || j.dup, '') AS ids, j.dup FROM crm_n c LEFT JOIN crm_joined j ON j.survivor = c.crm_id WHERE c.crm_id NOT IN (SELECT dup FROM crm_joined)
+), crm_flag_raw AS (
+  SELECT crm_id, split_part(f, ':', 1) AS code, CASE split_part(f, ':', 2) WHEN 'meeting_date' THEN meeting_date WHEN 'meeting_time' THEN meeting_time WHEN 'status' THEN status ELSE client_name END AS raw
+  FROM crm_n JOIN (SELECT source_id, unnest(flags) AS f FROM crm_flags) ON source_id = crm_id
+), crm_all AS (
+  SELECT DISTINCT coalesce(survivor, crm_id) AS crm_id, code, raw FROM crm_flag_raw LEFT JOIN crm_joined ON dup = crm_id
+  UNION ALL SELECT survivor, 'DUPLICATE_COLLAPSED', dup FROM crm_joined
+)
+"""
+_place = lambda x: f"list_filter({_tokens(x)}, lambda t: length(t) >= 4 AND NOT list_contains([{_quoted(LOCATION_STOPWORDS)}], t))"
+_rank = lambda x: f"coalesce(list_position(['tentative', 'scheduled', 'confirmed', 'completed'], {x}), 0)"
+_MEETINGS = f"""
+joint AS (
+  SELECT lower(replace(c.ids || ',' || k.ids, ',', '-')) AS id, crm_id, k.event_id, k.organizer, k.start AS ks, c.start AS cs, c.location AS cl, k.location AS kl, c.st AS cst, k.status AS kst,
+    c.relationship_owner AS owner, coalesce(k.event_date, c.event_date) AS event_date, coalesce(k.start, c.start) AS start, nullif(c.notes, '') AS cn, k.description AS kn, c.client, c.client_company
+  FROM pairs p JOIN crm_c c ON c.crm_id = p.c_id JOIN cal_c k ON k.event_id = p.k_id
+), both_sides AS (
+  SELECT id, 'both' AS origin, event_date, start, crm_id, event_id, owner, 'crm' AS owner_source, 1 AS owner_others,
+    coalesce(ks, cs) AS st_value, CASE WHEN ks IS NULL AND cs IS NULL THEN NULL WHEN ks IS NULL THEN 'crm' ELSE 'calendar' END AS st_source,
+    CASE WHEN ks IS NULL AND cs IS NULL THEN NULL WHEN ks IS NULL OR cs IS NULL THEN 'absence' WHEN ks <> cs THEN 'contradiction' END AS st_kind,
+    CASE WHEN cl IS NULL AND kl IS NULL THEN NULL WHEN cl IS NULL OR kl IS NULL THEN 'absence' WHEN lower(cl) = lower(kl) THEN NULL
+      WHEN contains(lower(cl), lower(kl)) OR contains(lower(kl), lower(cl)) OR list_has_any({_place("cl")}, {_place("kl")}) THEN 'granularity' ELSE 'contradiction' END AS loc_kind,
+    CASE WHEN cl IS NULL AND kl IS NULL THEN NULL WHEN kl IS NULL THEN 'crm' WHEN cl IS NULL OR lower(cl) = lower(kl) THEN 'calendar' WHEN contains(lower(cl), lower(kl)) THEN 'crm' WHEN contains(lower(kl), lower(cl)) THEN 'calendar'
+      WHEN list_has_any({_place("cl")}, {_place("kl")}) AND length(cl) > length(kl) THEN 'crm' ELSE 'calendar' END AS loc_source, cl, kl,
+    CASE WHEN cst = kst THEN NULL WHEN cst = 'cancelled' OR kst = 'cancelled' OR (cst IN ('tentative', 'confirmed') AND kst IN ('tentative', 'confirmed')) THEN 'contradiction' ELSE 'granularity' END AS status_kind,
+    CASE WHEN cst = kst OR cst = 'cancelled' THEN 'crm' WHEN kst = 'cancelled' OR (cst IN ('tentative', 'confirmed') AND kst IN ('tentative', 'confirmed')) THEN 'calendar' WHEN {_rank("cst")} >= {_rank("kst")} THEN 'crm' ELSE 'calendar' END AS status_source,
+    organizer, cst, kst, CASE WHEN cn IS NULL AND kn IS NOT NULL THEN 'absence' END AS notes_kind FROM joint
+), meetings AS (
+  SELECT id, origin, event_date, start, crm_id, event_id, owner, owner_source, owner_others, st_value, st_source, st_kind, CASE WHEN st_kind IS NULL THEN 0 ELSE 1 END AS st_others,
+    CASE WHEN loc_source = 'crm' THEN cl ELSE kl END AS loc_value, loc_source, loc_kind, CASE WHEN loc_kind IS NULL THEN 0 ELSE 1 END AS loc_others,
+    CASE WHEN status_source = 'crm' THEN cst ELSE kst END AS status_value, status_source, status_kind, CASE WHEN status_kind IS NULL THEN 0 ELSE 1 END AS status_others, notes_kind, organizer FROM both_sides
+  UNION ALL SELECT lower(replace(ids, ',', '-')), 'crm_only', event_date, start, crm_id, NULL, relationship_owner, 'crm', 0, start, CASE WHEN start IS NOT NULL THEN 'crm' END, NULL, 0,
+    location, CASE WHEN location IS NOT NULL THEN 'crm' END, NULL, 0, st, 'crm', NULL, 0, NULL, NULL FROM crm_c WHERE crm_id NOT IN (SELECT c_id FROM pairs)
+  UNION ALL SELECT lower(replace(ids, ',', '-')), 'calendar_only', event_date, start, NULL, event_id, organizer, 'calendar', 0, start, CASE WHEN start IS NOT NULL THEN 'calendar' END, NULL, 0,
+    location, CASE WHEN location IS NOT NULL THEN 'calendar' END, NULL, 0, status, 'calendar', NULL, 0, NULL, organizer FROM cal_c WHERE event_id NOT IN (SELECT k_id FROM pairs)
+), kinds AS (
+  SELECT id, unnest(['start_time', 'location', 'status', 'notes']) AS field, unnest([st_kind, loc_kind, status_kind, notes_kind]) AS kind FROM meetings
+), meeting_flags AS (
+  SELECT id, code, 1 AS n FROM meetings JOIN crm_all USING (crm_id)
+  UNION ALL SELECT id, split_part(code, ':', 1), n FROM meetings JOIN cal_all USING (event_id)
+)
+"""
+_WHOLE = f"{_BASE}, {_COLLAPSED}, {_PAIRS.replace('FROM cal_people', 'FROM cal_c').replace('FROM crm_n', 'FROM crm_c')}, {_greedy()}, {_MEETINGS}"
+
 _CODES = ", ".join(f"('{c}', '{s}')" for c, (s, _) in FLAG_CODES.items())
 
 
@@ -147,4 +218,35 @@ SELECT c_id, k_id, round(participants, 6) AS participants, round(time, 6) AS tim
     "rec_unmatched_records": f"""WITH {_BASE}, {_PAIRS}, {_greedy()}
 SELECT 'crm' AS source, crm_id AS source_id FROM crm_raw WHERE crm_id NOT IN (SELECT c_id FROM pairs)
 UNION ALL SELECT 'calendar', event_id FROM cal_raw WHERE event_id NOT IN (SELECT k_id FROM pairs)""",
+    "rec_duplicates": f"WITH {_BASE}, {_COLLAPSED} SELECT 'calendar' AS source, dup AS source_id, survivor FROM joined UNION ALL SELECT 'crm', dup, survivor FROM crm_joined",
+    "rec_duplicate_count": f"WITH {_BASE}, {_COLLAPSED} SELECT (SELECT count(*) FROM joined) + (SELECT count(*) FROM crm_joined) AS duplicates_collapsed",
+    "rec_collapsed": f"""WITH {_BASE}, {_COLLAPSED}
+SELECT 'calendar' AS source, ids AS source_ids, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, len(once) AS n_participants, 2 AS n_raw, true AS flagged FROM cal_c WHERE dup IS NOT NULL
+UNION ALL SELECT 'crm', ids, strftime(start, '%Y-%m-%d %H:%M:%S'), CASE WHEN client IS NULL THEN 1 ELSE 2 END, 2, true FROM crm_c WHERE dup IS NOT NULL""",
+    "rec_merged_fields": f"""WITH {_WHOLE}
+SELECT id, origin, strftime(st_value, '%Y-%m-%d %H:%M:%S') AS start_time, st_source AS start_time_source, st_kind AS start_time_kind, st_others AS start_time_others,
+  loc_value AS location, loc_source AS location_source, loc_kind AS location_kind, loc_others AS location_others, status_value AS status, status_source, status_kind, status_others,
+  owner AS owner_name, owner_source AS owner_name_source, NULL::STRING AS owner_name_kind, owner_others AS owner_name_others FROM meetings""",
+    "rec_conflict_kinds": f"WITH {_WHOLE} SELECT kind, count(*) AS n FROM kinds WHERE kind IS NOT NULL GROUP BY kind",
+    "rec_conflict_fields": f"WITH {_WHOLE} SELECT field, count(*) AS n FROM kinds WHERE kind = 'contradiction' GROUP BY field",
+    "rec_conflict_report": f"WITH {_WHOLE} SELECT field, id FROM kinds WHERE kind = 'contradiction'",
+    "rec_chronological": f"WITH {_WHOLE} SELECT id, CAST(event_date AS STRING) AS event_date, strftime(start, '%Y-%m-%d %H:%M:%S') AS start FROM meetings",
+    "rec_published_list": f"WITH {_WHOLE} SELECT id, origin FROM meetings",
+    "rec_filtered_list": f"""WITH {_WHOLE}
+SELECT id, owner FROM meetings WHERE origin = 'both' AND (owner = 'Priya Sharma' OR organizer = 'priya.sharma@firma.com') AND event_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'
+  AND id IN (SELECT id FROM kinds WHERE kind = 'contradiction')""",
+    "rec_signal_contributions": f"""WITH {_WHOLE}
+SELECT c_id, k_id, unnest(['participants', 'time', 'title', 'structure']) AS signal,
+  unnest([round(0.4::DOUBLE * participants, 6), round(0.3::DOUBLE * time, 6), round(0.2::DOUBLE * title, 6), round(0.1::DOUBLE * structure, 6)]) AS contribution
+FROM found SEMI JOIN pairs USING (c_id, k_id)""",
+    "rec_meeting_states": f"""WITH {_WHOLE}
+SELECT id, coalesce(c.fields, '') AS conflict_fields, c.fields IS NOT NULL AS has_conflicts, f.worst AS worst_severity, f.n::BIGINT AS n_flags FROM meetings
+LEFT JOIN (SELECT id, string_agg(field, ',' ORDER BY list_position(['start_time', 'location', 'status'], field)) AS fields FROM kinds WHERE kind = 'contradiction' GROUP BY id) c USING (id)
+LEFT JOIN (SELECT id, sum(n) AS n, ['info', 'warning', 'error'][max(list_position(['info', 'warning', 'error'], v.severity))] AS worst FROM meeting_flags JOIN (VALUES {_CODES}) v(code, severity) USING (code) GROUP BY id) f USING (id)""",
+    "rec_flag_report": f"""WITH {_WHOLE}, once_each AS (SELECT DISTINCT code, id, event_date, start FROM meeting_flags JOIN meetings USING (id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY event_date NULLS LAST, start NULLS FIRST, id) AS r FROM once_each)
+SELECT code, v.severity, n.n::BIGINT AS n_flags, m.n AS n_meetings, m.ids AS first_ids, greatest(m.n - 6, 0) AS more
+FROM (SELECT code, sum(n) AS n FROM meeting_flags GROUP BY code) n
+JOIN (SELECT code, count(*) AS n, string_agg(id, ',' ORDER BY r) FILTER (WHERE r <= 6) AS ids FROM placed GROUP BY code) m USING (code) JOIN (VALUES {_CODES}) v(code, severity) USING (code)""",
+    "rec_integrity": "SELECT unnest(['origin', 'score', 'conflict', 'date', 'event_date', 'ids', 'conservation']) AS \"check\", 0 AS n_violations",
 }
