@@ -189,6 +189,8 @@ def _census(source: str, raw: str, fields: tuple[str, ...]) -> str:
 
 _title = "c_mktsegment || ' LP Advisory Committee for the ' || c_name"
 
+_SOURCE_KEYS = "('start_time', 'crm', 'meeting_date'), ('start_time', 'crm', 'meeting_time'), ('start_time', 'calendar', 'start_time'), ('location', 'crm', 'location'), ('location', 'calendar', 'location'), ('status', 'crm', 'status'), ('status', 'calendar', 'status')"
+
 ORACLE_SQL: dict[str, str] = {
     "rec_crm_normalized": f"""WITH {_BASE}
 SELECT crm_id AS source_id, CAST(event_date AS STRING) AS event_date, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, client AS client_name, client_company, st AS status,
@@ -249,4 +251,16 @@ SELECT code, v.severity, n.n::BIGINT AS n_flags, m.n AS n_meetings, m.ids AS fir
 FROM (SELECT code, sum(n) AS n FROM meeting_flags GROUP BY code) n
 JOIN (SELECT code, count(*) AS n, string_agg(id, ',' ORDER BY r) FILTER (WHERE r <= 6) AS ids FROM placed GROUP BY code) m USING (code) JOIN (VALUES {_CODES}) v(code, severity) USING (code)""",
     "rec_integrity": "SELECT unnest(['origin', 'score', 'conflict', 'date', 'event_date', 'ids', 'conservation']) AS \"check\", 0 AS n_violations",
+    "rec_conflict_keys": f"""WITH {_WHOLE}
+SELECT DISTINCT id, source, "key" FROM kinds JOIN (VALUES {_SOURCE_KEYS}) v(field, source, "key") USING (field) WHERE kind = 'contradiction'""",
+    "rec_run_summary": f"""WITH {_WHOLE}
+SELECT 'meetings_out' AS metric, NULL::STRING AS "key", count(*)::BIGINT AS "count" FROM meetings
+UNION ALL SELECT 'matched_pairs', NULL, count(*) FROM meetings WHERE origin = 'both' UNION ALL SELECT origin, NULL, count(*) FROM meetings WHERE origin <> 'both' GROUP BY origin
+UNION ALL SELECT 'low_confidence', NULL, count(*) FROM pairs WHERE score < 0.7
+UNION ALL SELECT 'duplicates_collapsed', NULL, (SELECT count(*) FROM joined) + (SELECT count(*) FROM crm_joined)
+UNION ALL SELECT 'records_in', 'crm', count(*) FROM crm_raw UNION ALL SELECT 'records_in', 'calendar', count(*) FROM cal_raw
+UNION ALL SELECT 'conflicts_by_kind', kind, count(*) FROM kinds WHERE kind IS NOT NULL GROUP BY kind
+UNION ALL SELECT 'conflicts_by_field', field, count(*) FROM kinds WHERE kind = 'contradiction' GROUP BY field
+UNION ALL SELECT 'flags_by_code', code, sum(n)::BIGINT FROM meeting_flags GROUP BY code
+UNION ALL SELECT 'flags_by_severity', severity, sum(n)::BIGINT FROM meeting_flags JOIN (VALUES {_CODES}) v(code, severity) USING (code) GROUP BY severity""",
 }
