@@ -164,8 +164,9 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
         agree = [0] * len(members)
         for k in range(1, len(members)):
             agree[k] = min(left_lcp[place[members[k - 1]] + 1 : place[members[k]] + 1])
-        for left, a, b, _ in intervals(agree):
-            if a < b and left + value >= length and len({child.get(m, m) for m in members[a : b + 1]}) > 1:
+        for left, a, b, inner in intervals(agree):
+            # The root stands at 0 even where all members agree further.
+            if a < b and inner != [(a, b)] and left + value >= length and len({child.get(m, m) for m in members[a : b + 1]}) > 1:
                 yield left, value, members[a : b + 1]
 
 
@@ -229,18 +230,18 @@ def reaches(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[list[
     return left, right
 
 
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]] | None]:
-    """(gram, rows) of each bucket, from rows in order of their gram; None after each batch."""
+def _buckets(batches: Iterable[pa.RecordBatch], least: int = 2) -> Iterator[tuple[int, list[tuple]] | None]:
+    """(gram, rows) of each bucket of ``least`` rows and more, from rows in order of their gram; None after each batch."""
     gram, waiting = None, []
     for batch in batches:
         for key, *rest in zip(*[batch.column(c).to_pylist() for c in ("gram", "row", "pos", "n", "left", "right")], strict=True):
             if key != gram:
-                if len(waiting) > 1:
+                if len(waiting) >= least:
                     yield gram, waiting
                 gram, waiting = key, []
             waiting.append(tuple(rest))
         yield None
-    if len(waiting) > 1:
+    if len(waiting) >= least:
         yield gram, waiting
     yield None
 
@@ -266,18 +267,42 @@ def _reaches(length: int):
     return run
 
 
-def _groups(length: int):
-    """Whole buckets to (group, row, start, size): a row per occurrence of each maximal repeat."""
+def _anchored(sums: np.ndarray, before: int, gram: int) -> tuple[int, int]:
+    """How many bytes left and right of a context's anchor there are before a gram of lesser hash.
+
+    A string chooses the anchor by itself, and so in each of its occurrences,
+    if the anchor's hash is the least of a window inside the string. Other
+    strings around it are found at the anchors that are their own.
+    """
+    starts = np.arange(len(sums) - gram)
+    hashes = _hash(sums, starts, starts + gram) | U(1)
+    less = np.flatnonzero(hashes < hashes[before])
+    k = int(np.searchsorted(less, before))
+    return before - (int(less[k - 1]) + 1 if k else 0), (int(less[k]) if k < len(less) else len(hashes)) - 1 - before
+
+
+def _groups(length: int, gram_size: int):
+    """Whole buckets to (group, gram, row, pos, before, size): a row per class that holds a maximal repeat, named by its first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches):
+        for bucket in _buckets(batches, 1):
             if bucket is None:
                 continue
             gram, rows = bucket
+            # A class of more than one context stands twice, so that what only its own contexts share is a repeat as well.
+            rows = [r for r in rows for _ in range(min(r[2], 2))]
+            if len(rows) < 2:
+                continue
+            free: dict[int, tuple[int, int]] = {}
             for k, (left, right, members) in enumerate(maximal_repeats([r[3][::-1] for r in rows], [r[4] for r in rows], length)):
+                one = members[0]
+                if one not in free:
+                    free[one] = _anchored(_prefix(np.frombuffer(rows[one][3] + rows[one][4], dtype=np.uint8)), len(rows[one][3]), gram_size)
+                if min(free[one][0], left) + min(free[one][1], right - gram_size) < length - gram_size:
+                    continue
                 group = int(mix(np.array([gram], dtype=np.int64).astype(np.uint64) + U(k))[0].astype(np.int64))
-                out = [(group, rows[m][0], rows[m][1] - left, left + right) for m in members]
-                yield pa.record_batch({n: pa.array(list(c), pa.int64()) for n, c in zip(("group", "row", "start", "size"), zip(*out, strict=True), strict=True)})
+                out = [(group, gram, row, pos, left, left + right) for row, pos in {rows[m][:2] for m in members}]
+                yield pa.record_batch({n: pa.array(list(c), pa.int64()) for n, c in zip(("group", "gram", "row", "pos", "before", "size"), zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -330,6 +355,69 @@ def _windows(length: int, gram: int):
     return run
 
 
+def _left_windows(length: int, gram: int):
+    """Contexts of split buckets to a row per window: (window, gram, row, pos, n, x, l), ``l`` the byte before it, -1 where the context begins."""
+    span = length - gram + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[pa.RecordBatch] = []
+            for r, sums in _each_context(batch):
+                before, after = len(r["left"]), len(r["right"])
+                x = np.arange(max(0, length - after), min(span, before + 1))
+                key = mix(_hash(sums, before - x, before - x + length) + mix(x.astype(np.uint64) + np.array([r["gram"]], dtype=np.int64).astype(np.uint64)))
+                ahead = np.concatenate(([-1], np.frombuffer(r["left"], dtype=np.uint8).astype(np.int64)))[before - x]
+                same = {c: np.full(len(x), r[c]) for c in ("gram", "row", "pos", "n")}
+                out.append(pa.record_batch({"window": key.astype(np.int64), **same, "x": x, "l": ahead}))
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+
+    return run
+
+
+def _extended(length: int, gram: int):
+    """Contexts and the offsets ``xs`` of their windows to a row per longer string that begins with the window.
+
+    (group, gram, row, pos, n, before, size, l, r), ``l`` and ``r`` the bytes around it, -1 where the context ends.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, sums in _each_context(batch):
+                before, after = len(r["left"]), len(r["right"])
+                xs = np.array(r["xs"], dtype=np.int64)
+                x = np.repeat(xs, after - (length - xs) + 1)
+                b = np.concatenate([np.arange(length - v, after + 1) for v in xs])
+                free = _anchored(sums, before, gram)
+                own = np.minimum(x, free[0]) + np.minimum(b - gram, free[1]) >= length - gram
+                x, b = x[own], b[own]
+                key = mix(_hash(sums, before - x, before + b) + mix(x.astype(np.uint64) + np.array([r["gram"]], dtype=np.int64).astype(np.uint64)))
+                left = np.concatenate(([-1], np.frombuffer(r["left"], dtype=np.uint8).astype(np.int64)))[before - x]
+                right = np.concatenate((np.frombuffer(r["right"], dtype=np.uint8).astype(np.int64), [-1]))[b]
+                same = {c: np.full(len(x), r[c]) for c in ("gram", "row", "pos", "n")}
+                yield pa.record_batch({"group": key.astype(np.int64), **same, "before": x, "size": x + b, "l": left, "r": right})
+
+    return run
+
+
+def _split_groups(split: DataFrame, length: int, gram: int) -> DataFrame:
+    """As :func:`_groups`, of buckets of any size, by counts with partial aggregation.
+
+    A string that reaches ``before`` bytes left of the anchor begins with the
+    window of that offset. It is a maximal repeat if it occurs again and neither
+    the bytes before it nor those after it are all the same, the ends of
+    contexts being unlike any byte. Windows that fail this on the left are no
+    repeat's first window, so only the others are made longer.
+    """
+    ends = lambda c: F.min(c).eqNullSafe(-1) | (F.min(c) < F.max(c))
+    windows = materialize(split.mapInArrow(_left_windows(length, gram), "window long, gram long, row long, pos long, n long, x long, l long"), "left-windows")
+    begins = windows.groupBy("window").agg(F.sum("n").alias("_n"), ends("l").alias("_l")).filter("_n > 1 AND _l").select("window")
+    offsets = windows.join(begins, "window").groupBy("gram", "row", "pos").agg(F.collect_list("x").alias("xs"))  # one context's windows
+    longer = split.join(offsets, ["gram", "row", "pos"]).select("gram", "row", "pos", "n", "left", "right", "xs")
+    longer = materialize(longer.mapInArrow(_extended(length, gram), "group long, gram long, row long, pos long, n long, before long, size long, l long, r long"), "longer")
+    found = longer.groupBy("group").agg(F.sum("n").alias("_n"), ends("l").alias("_l"), ends("r").alias("_r")).filter("_n > 1 AND _l AND _r").select("group")
+    return longer.join(found, "group").select("group", "gram", "row", "pos", "before", "size")
+
+
 def _classes(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(anchors whose gram occurs again, classes of equal contexts in them) of ``docs``: row, text."""
     anchors = docs.filter(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "gram long, ctx long, row long, pos int")
@@ -428,10 +516,19 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal repeats of the buckets that are one suffix array: group, row, start, size, with a row per occurrence (equal contexts once)."""
+    """Maximal repeats around each anchor: group, row, start, size, with a row per occurrence.
+
+    They are maximal in the anchors' contexts: a repeat that is longer than
+    these gives a group of its part in the context for each of its anchors.
+    """
     named = docs.select(row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    _, classes = _classes(named, length, gram)
-    return _in_buckets(_contexts(named, classes.filter("classes > 1"), length, gram)).mapInArrow(_groups(length), "group long, row long, start long, size long")
+    shared, classes = _classes(named, length, gram)
+    contexts = materialize(_contexts(named, classes, length, gram), "contexts")
+    schema = "group long, gram long, row long, pos long, before long, size long"
+    held = _in_buckets(contexts).mapInArrow(_groups(length, gram), schema).unionAll(_split_groups(contexts.filter(F.col("classes") > BUCKET), length, gram))
+    # From the first of a class to all its members.
+    by_class = held.join(classes.select("gram", "row", "pos", "ctx"), ["gram", "row", "pos"]).select("gram", "ctx", "group", "before", "size")
+    return by_class.join(shared, ["gram", "ctx"]).select("group", "row", (F.col("pos") - F.col("before")).alias("start"), "size")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:

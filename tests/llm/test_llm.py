@@ -103,6 +103,34 @@ def test_op1_keeps_columns_and_lists_groups(spark):
     assert suffix_dedup.repeat_digests(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [8192, 3, 0])
+def test_op1_groups_hold_every_occurrence(spark, monkeypatch, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    rnd = random.Random(12)
+    licence, exact = prose(rnd, 16), prose(rnd, 60)
+    docs = [*passages(5, 40), (906, "same text here " * 5), (906, "same text here " * 5)]
+    docs += [(100 + i, prose(rnd, 6) + licence + prose(rnd, 6)) for i in range(12)] + [(200 + i, exact) for i in range(7)]
+    df = spark.createDataFrame(docs, DOC).repartition(3)
+    keys = spark.createDataFrame(docs, DOC).select(suffix_dedup.row_key("doc_id", "text").alias("row"), "text").collect()
+    text = {r["row"]: r["text"] for r in keys}
+    groups = {}
+    for r in suffix_dedup.repeat_groups(df, 40, 12).collect():
+        groups.setdefault((r["group"], text[r["row"]][r["start"] : r["start"] + r["size"]]), []).append((r["row"], r["start"]))
+    covered = {row: bytearray(len(t)) for row, t in text.items()}
+    for (_, s), at in groups.items():
+        want = [(r["row"], p) for r in keys for p in range(len(r["text"]) - len(s) + 1) if r["text"].startswith(s, p)]
+        assert len(s) >= 40 and len(want) > 1 and sorted(at) == sorted(want)
+        for row, p in at:
+            covered[row][p : p + len(s)] = b"\1" * len(s)
+    assert len({g for g, _ in groups}) == len(groups)
+    assert [covered[r["row"]] for r in keys] == repeated_bytes([r["text"].encode() for r in keys], 40)
+    found = hashlib.sha256(repr(sorted((s, sorted(at)) for (_, s), at in groups.items())).encode()).hexdigest()
+    assert found == _GROUPS.setdefault("found", found)  # the same groups whatever the bucket
+
+
+_GROUPS: dict[str, str] = {}
+
+
 # --- 2: chat formatting --------------------------------------------------------
 
 
