@@ -503,8 +503,38 @@ def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*[batch.column(n) for n in names], pa.array(kept, pa.string())], names=[*names, "text"])
 
 
-def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _word_cores(words: int):
+    """Rows (row, text, spans) to (core, row, start, stop): all strings of more than ``words`` words in the spans.
+
+    A string of so many words holds, from the last byte of its first word to the
+    first byte of its last, what any such string has in common with its copies
+    (its outer words may be cut). Those bytes are named by ``core``; start and
+    stop are those of the outer words, as far as they lie in the span.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, spans in zip(*[batch.column(c).to_pylist() for c in ("row", "text", "spans")], strict=True):
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                sums, told = _prefix(data), (data != 32) & ((data < 9) | (data > 13))
+                for first, last in _merged(spans, len(data)):
+                    edges = np.diff(np.concatenate(([0], told[first:last].view(np.int8), [0])))
+                    starts, stops = first + np.flatnonzero(edges == 1), first + np.flatnonzero(edges == -1)
+                    if len(starts) > words:
+                        core = _hash(sums, stops[:-words] - 1, starts[words:] + 1)
+                        yield pa.record_batch({"core": core.astype(np.int64), "row": np.full(len(core), row), "start": starts[:-words], "stop": stops[words:]})
+
+    return run
+
+
+def _with_spans(docs: DataFrame, length: int, gram: int, words: int = 0) -> DataFrame:
+    """``docs`` with what is repeated in ``length`` bytes and more, or only, of that, in more than ``words`` words."""
     by_row = _reached(docs.select("row", "text"), length, gram).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # one text's spans
+    if words:
+        cores = docs.select("row", "text").join(by_row, "row").mapInArrow(_word_cores(words), "core long, row long, start long, stop long")
+        cores = materialize(cores, "word-cores")
+        twice = cores.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("core")
+        by_row = cores.join(twice, "core").select("row", "start", "stop").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return docs.join(by_row, "row", "left")
 
 
@@ -531,11 +561,17 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     return by_class.join(shared, ["gram", "ctx"]).select("group", "row", (F.col("pos") - F.col("before")).alias("start"), "size")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated bytes cut out of its text; bytes of a character cut in two go as well."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of its text; bytes of a character cut in two go as well.
+
+    With ``words`` only repeats of more than so many words are cut; for all of
+    them to be found, ``length`` must be at most 2 * words + 1.
+    """
+    if words and length > 2 * words + 1:
+        raise ValueError(f"{words + 1} words may have less than {length} bytes")
     others = [c for c in docs.columns if c != text]
     renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    made = _with_spans(renamed, length, gram).select(*[f"c{i}" for i in range(len(others))], "text", "spans")
+    made = _with_spans(renamed, length, gram, words).select(*[f"c{i}" for i in range(len(others))], "text", "spans")
     schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)], "text string"])
     clean = made.mapInArrow(_cleaned, schema)
     back = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)} | {text: F.col("text").alias(text)}

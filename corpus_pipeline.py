@@ -18,8 +18,9 @@ from concord.llm.queries import MIX_WEIGHTS, mix_levels
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Passages of more than 50 words have some 300 bytes and more.
-PASSAGE_BYTES, PASSAGE_GRAM = 256, 48
+#: Passages of more than 50 words are cut; 51 words of one byte each have 101 bytes.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES, PASSAGE_GRAM = 2 * PASSAGE_WORDS + 1, 32
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM)
+    return suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM, words=PASSAGE_WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,27 @@ def test_op1_groups_hold_every_occurrence(spark, monkeypatch, bucket):
 _GROUPS: dict[str, str] = {}
 
 
+def test_op1_removes_only_repeats_of_many_words(spark):
+    rnd, words = random.Random(14), 6
+    docs = [(i, t + (" " + " ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 25))))) for i, t in passages(15, 40)]
+    docs += [*EDGE, (300, "x y z u v w q"), (301, ". x y z u v w q."), (302, "longer words are five here qq"), (303, "and longer words are five here rr")]
+    bodies = [(t or "").encode() for _, t in docs]
+    seen, found = {}, []
+    for d, (body, marks) in enumerate(zip(bodies, repeated_bytes(bodies, 2 * words + 1), strict=True)):
+        for run in re.finditer(b"\1+", bytes(marks)):
+            at = [m.span() for m in re.compile(rb"[^\x20\x09-\x0D]+").finditer(body, *run.span())]
+            for (a, b), (c, e) in zip(at, at[words:], strict=False):
+                found.append((body[b - 1 : c + 1], d, a, e))
+                seen[found[-1][0]] = seen.get(found[-1][0], 0) + 1
+    gone = [bytearray(len(b)) for b in bodies]
+    for core, d, a, e in found:
+        if seen[core] > 1:
+            gone[d][a:e] = b"\1" * (e - a)
+    want = [(d, None if t is None else bytes(x for x, m in zip(b, g, strict=True) if not m).decode(errors="ignore")) for (d, t), b, g in zip(docs, bodies, gone, strict=True)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOC).repartition(3), 2 * words + 1, 5, words=words).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and (300, "") in want and docs[-1] in want
+
+
 # --- 2: chat formatting --------------------------------------------------------
 
 

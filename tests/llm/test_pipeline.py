@@ -37,5 +37,14 @@ def test_stages_in_order(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["packing"]
 
 
+def test_passages_of_short_words_are_cut_and_short_ones_stay(spark):
+    rnd = random.Random(8)
+    passage, phrase = " ".join(rnd.choice("abcdefgh") for _ in range(51)), " ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(40))
+    texts = [prose(rnd, 70) + " " + p + " " + prose(rnd, 70) for p in (passage, passage, phrase, phrase)]
+    got = corpus_pipeline.passages_stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    kept = {r["doc_id"]: r["text"] for r in got}
+    assert passage not in kept[0] + kept[1] and len(kept[0]) + 101 <= len(texts[0]) and [kept[2], kept[3]] == texts[2:]
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
