@@ -146,7 +146,7 @@ def _identities(n: int):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), n))
             yield pa.record_batch(
-                {"doc_id": batch.column("doc_id"), "node": pa.array([node_id(x) if len(x) else None for x in sets], pa.int64()), "n_shingles": pa.array([len(x) for x in sets], pa.int64())}
+                {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "node": pa.array([node_id(x) if len(x) else None for x in sets], pa.int64()), "n_shingles": pa.array([len(x) for x in sets], pa.int64())}
             )
 
     return run
@@ -231,8 +231,8 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(whole.mapInArrow(_identities(n), "doc_id long, node long, n_shingles long"), "sets")
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    sets = materialize(whole.mapInArrow(_identities(n), "doc_id long, row long, node long, n_shingles long"), "sets")
 
     # One exchange by key serves both the count and the join back to it.
     signed = whole.filter("text IS NOT NULL").select("text").mapInArrow(_signatures(n, percent), "key long, node long").repartition("key")
@@ -247,9 +247,10 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("_top")).select("key", F.col("_top.node").alias("pivot"))
     cands = materialize(met_often.join(pivots, "key").select("key", "node", "pivot", "members"), "candidates")
 
-    first = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    needed = cands.select("node").distinct().join(first, "node").select("doc_id", "node")
-    texts = materialize(whole.join(needed, "doc_id").dropDuplicates(["doc_id"]).select("node", "text"), "texts")
+    # By row, as an id may be null or stand for several texts.
+    first = sets.groupBy("node").agg(F.min("row").alias("row"))
+    needed = cands.select("node").distinct().join(first, "node").select("row", "node")
+    texts = materialize(whole.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("node", "text"), "texts")
 
     pairs = cands.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     checked = materialize(_links(pairs, texts, n, percent), "checked")

@@ -328,6 +328,17 @@ def test_op5_components_of_all_pairs(spark, monkeypatch, n, percent):
         assert ngram_join.similarity_groups(df.limit(0), n, percent).count() == 0
 
 
+def test_op5_ids_that_repeat_or_are_null(spark):
+    rnd = random.Random(21)
+    one, two, other = ([prose(rnd, 1) for _ in range(60)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    docs = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (None, " ".join(other)), (4, near(other)), (5, "alone " * 3)]
+    sets = {t: shingle_set(t, 3) for _, t in docs}
+    got = ngram_join.similarity_groups(spark.createDataFrame(docs, DOC).repartition(3), 3, 90).collect()
+    ids = [1, 1, 1, 1, 4, 4, 5]
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, len(sets[t]), c)) for (d, t), c in zip(docs, ids, strict=True))
+
+
 def test_op5_schemes_share_enough_keys():
     rnd = np.random.default_rng(3)
     for percent in (80, 90):
