@@ -85,27 +85,46 @@ def candidates(events: DataFrame, config: ReconcileConfig = ReconcileConfig(), p
     return scored(pairs, config).filter(F.col("score") >= config.candidate_floor)
 
 
-def assign(found: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def _tied(ranked: DataFrame) -> DataFrame:
+    """The pairs that the greedy pass takes of blocks of equal scores.
+
+    A block is a set of rows of both sides that all have the same best score,
+    all with each other and with nobody else. No pair outside touches it before
+    it is used up, so it is taken in order: first with first, second with second.
+    ``_c`` and ``_k`` are a pair's ranks in the lists of its two rows.
+    """
+    per_c, per_k = Window.partitionBy("c_id", "score"), Window.partitionBy("k_id", "score")
+    of_c = {"_top_c": F.max("score").over(Window.partitionBy("c_id")), "_n_k": F.count(F.lit(1)).over(per_c), "_low_k": F.min("k_id").over(per_c)}
+    of_k = {"_top_k": F.max("score").over(Window.partitionBy("k_id")), "_n_c": F.count(F.lit(1)).over(per_k), "_low_c": F.min("c_id").over(per_k)}
+    met = ranked.withColumns(of_c).withColumns(of_k).filter("score = _top_c AND score = _top_k AND _n_k > 1 AND _n_c > 1")
+    name = ["score", "_low_c", "_low_k", "_n_c", "_n_k"]
+    blocks = met.groupBy(*name).agg(F.count(F.lit(1)).alias("_pairs"), F.countDistinct("c_id").alias("_cs"), F.countDistinct("k_id").alias("_ks"))
+    blocks = blocks.filter("_pairs = _n_c * _n_k AND _cs = _n_c AND _ks = _n_k")
+    return met.filter("_c = _k").join(blocks.select(*name), name).select("c_id", "k_id", "score")
+
+
+def assign(found: DataFrame) -> DataFrame:
     """Greedy one-to-one pairs in the order (score descending, c_id, k_id), with the round in which each was made.
 
     The order is total, so the best remaining pair of a row that is also the
     best of its partner is what the greedy pass would take. Each round takes all
-    such pairs and removes both their rows from the rest; at least the best
-    remaining pair goes, so it ends.
+    such pairs, and blocks of equal scores as a whole, and removes their rows
+    from the rest; at least the best remaining pair goes, so it ends.
     """
     rest = store(found.select("c_id", "k_id", "score"), "candidates")
     by_c = Window.partitionBy("c_id").orderBy(F.desc("score"), "k_id")
     by_k = Window.partitionBy("k_id").orderBy(F.desc("score"), "c_id")
     taken: DataFrame | None = None
-    for turn in range(1, max_rounds + 1):
-        if rest.isEmpty():
-            break
-        best = rest.withColumns({"_c": F.row_number().over(by_c), "_k": F.row_number().over(by_k)}).filter("_c = 1 AND _k = 1")
-        made = store(best.select("c_id", "k_id", "score", F.lit(turn).alias("round")), "assigned")
+    turn = 0
+    while not rest.isEmpty():
+        turn += 1
+        ranked = rest.withColumns({"_c": F.row_number().over(by_c), "_k": F.row_number().over(by_k)})
+        best = ranked.filter("_c = 1 AND _k = 1").select("c_id", "k_id", "score").unionAll(_tied(ranked)).distinct()
+        made = store(best.withColumn("round", F.lit(turn)), "assigned")
         taken = made if taken is None else taken.unionAll(made)
+        if turn % 64 == 0:  # the union stays small, whatever the number of rounds
+            taken = store(taken, "assigned")
         rest = store(rest.join(made.select("c_id"), "c_id", "left_anti").join(made.select("k_id"), "k_id", "left_anti").select("c_id", "k_id", "score"), "rest")
-    else:
-        raise RuntimeError(f"not assigned after {max_rounds} rounds")
     return taken if taken is not None else rest.withColumn("round", F.lit(0))
 
 

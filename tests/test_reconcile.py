@@ -175,6 +175,24 @@ def test_assignment_is_the_greedy_one(spark):
     assert match.assign(df.limit(0)).collect() == []
 
 
+def test_assignment_of_many_ties(spark):
+    n = 1001
+    ids = lambda name: spark.range(n).select(F.format_string(f"{name}%04d", F.col("id")).alias(f"{name}_id"))
+    got = match.assign(ids("c").crossJoin(ids("k")).withColumn("score", F.lit(0.7))).collect()
+    assert sorted((r["c_id"], r["k_id"]) for r in got) == [(f"c{i:04d}", f"k{i:04d}") for i in range(n)]
+    rnd = random.Random(11)
+    for _ in range(3):  # blocks of unequal sides, pairs that leave them, and worse scores around
+        pairs = []
+        for b in range(6):
+            cs, ks = ([f"{name}{b}{i}" for i in range(rnd.randint(1, 5))] for name in "ck")
+            pairs += [(0.5 + b % 3 / 10, c, k) for c in cs for k in ks]
+        have = {p[1:] for p in pairs}
+        every = list(itertools.product(sorted({p[1] for p in pairs}), sorted({p[2] for p in pairs})))
+        pairs += [(rnd.choice((0.5, 0.6, 0.7)), *p) for p in rnd.sample(every, 12) if p not in have]
+        df = spark.createDataFrame([(c, k, s) for s, c, k in pairs], "c_id string, k_id string, score double")
+        assert {(r["c_id"], r["k_id"]) for r in match.assign(df).collect()} == greedy(pairs)
+
+
 def test_blocking_and_pruning(spark):
     crm = [crm_row("c0"), crm_row("c1", meeting_date="2025-03-12"), crm_row("c2", meeting_date="x"), crm_row("c3", meeting_time=None), crm_row("c4", meeting_time="08:00")]
     calendar = [cal_row("k0"), cal_row("k1", start_time="2025-03-11T14:00:00", organizer="tom@firma.com", attendees=["z@zz.com"]), cal_row("k2", start_time="2025-03-15T14:00:00")]
