@@ -1,10 +1,10 @@
 r"""Chat formatting: layouts told apart by fingerprint, one reversible template.
 
 *Layouts.* The nested field paths of a record, sorted and hashed, are its
-fingerprint. A small table of declarative mappings says for each fingerprint
-how to reach canonical turns ``(role, text)``: which paths hold the prompt, the
+fingerprint. A small table of declarative mappings, each for the records that
+hold its paths, says how to reach canonical turns ``(role, text)``: which paths hold the prompt, the
 instruction, the message list, and so on. Records of a layout that no mapping
-knows keep a null turn list, so that nothing is lost.
+knows keep a null turn list and are reported by fingerprint.
 
 *Template.* A turn is ``### <role>: <text></turn>\n``. Inside roles and texts
 every backslash and every ``#`` gets a backslash before it, and so does the
@@ -54,24 +54,33 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     return found
 
 
-def json_fingerprint(payload: str) -> Column:
-    """The fingerprint of the JSON objects in the column named ``payload``.
+def json_paths(payload: str) -> Column:
+    """The leaf paths, sorted and of any depth, of the JSON objects in the column named ``payload``.
 
-    Paths go two levels deep, objects and lists of objects included: enough to
-    tell the layouts below apart. Anything but an object has a null fingerprint.
+    They are read from the record's variant schema: names, opened and closed
+    objects and lists, and types. Anything but an object has null paths.
     """
+    kind = f"schema_of_variant(try_parse_json({payload}))"
+    top = "element_at(s.open, -1)"
     return F.expr(f"""
-        substring(sha2(array_join(array_sort(array_distinct(flatten(transform(
-          map_entries(from_json({payload}, 'map<string,string>')), e -> CASE
-            WHEN ltrim(e.value) LIKE '[%' THEN coalesce(nullif(transform(
-              array_distinct(flatten(transform(from_json(e.value, 'array<map<string,string>>'), m -> coalesce(map_keys(m), array())))),
-              k -> concat(e.key, '[].', k)), array()), array(concat(e.key, '[]')))
-            WHEN ltrim(e.value) LIKE '{{%' THEN coalesce(
-              transform(map_keys(from_json(e.value, 'map<string,string>')), k -> concat(e.key, '.', k)), array(e.key))
-            ELSE array(e.key) END)))), '\n'), 256), 1, 16)
+        CASE WHEN {kind} LIKE 'OBJECT<%' THEN array_sort(array_distinct(aggregate(
+          regexp_extract_all({kind}, '(`(?:[^`]|``)*`: |[^ <>,:`]+: |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+)', 1),
+          named_struct('open', array(''), 'at', '', 'found', cast(array() AS array<string>)),
+          (s, t) -> CASE
+            WHEN t LIKE '%: ' THEN named_struct('open', s.open, 'at', concat({top}, trim(BOTH '`' FROM substring(t, 1, length(t) - 2))), 'found', s.found)
+            WHEN t = 'OBJECT<' THEN named_struct('open', array_append(s.open, CASE WHEN s.at = '' THEN '' ELSE concat(s.at, '.') END), 'at', s.at, 'found', s.found)
+            WHEN t = 'ARRAY<' THEN named_struct('open', array_append(s.open, ''), 'at', concat(s.at, '[]'), 'found', s.found)
+            WHEN t = '>' THEN named_struct('open', slice(s.open, 1, size(s.open) - 1), 'at', s.at, 'found', s.found)
+            ELSE named_struct('open', s.open, 'at', s.at, 'found', array_append(s.found, s.at)) END,
+          s -> s.found))) END
     """)
 
 
+def json_fingerprint(payload: str) -> Column:
+    """The fingerprint of all paths of the JSON objects in the column named ``payload``; null for anything else."""
+    return F.substring(F.sha2(F.array_join(json_paths(payload), "\n"), 256), 1, 16)
+
+
 @dataclass(frozen=True)
 class Mapping:
     """A layout: its field paths, and how turns are read from ``_payload``."""
@@ -124,26 +133,40 @@ ROW_MAPPINGS: dict[str, tuple[str, str, str, str]] = {
 
 
 def canonical_turns(records: DataFrame, payload: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Add ``layout`` and ``turns`` to JSON records of mixed layouts."""
-    keyed = records.withColumn("_payload", F.col(payload)).withColumn("_print", json_fingerprint("_payload"))
+    """Add ``layout`` and ``turns`` to JSON records of mixed layouts.
+
+    The widest mapping whose paths a record holds is taken (of equally wide
+    ones the first), so further fields do no harm. See :func:`unmapped`.
+    """
+    keyed = records.withColumn("_payload", F.col(payload)).withColumn("_paths", json_paths("_payload"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in mappings:
-        hit = F.col("_print") == m.key
+    for m in sorted(reversed(mappings), key=lambda m: len(m.paths)):
+        hit = F.lit(True)
+        for p in m.paths:
+            hit = hit & F.expr(f"exists(_paths, q -> q = '{p}' OR startswith(q, '{p}.') OR startswith(q, '{p}[]'))")
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
         turns = F.when(hit, F.expr(m.turns).cast(TURNS)).otherwise(turns)
     return keyed.select(*[c for c in records.columns if c not in ("layout", "turns")], layout.alias("layout"), turns.alias("turns"))
 
 
+def unmapped(records: DataFrame, payload: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """fingerprint, paths, n of the records that no mapping knows; null for what is no object."""
+    left = canonical_turns(records.select(F.col(payload).alias("payload")), mappings=mappings).filter("layout IS NULL")
+    return left.select(json_fingerprint("payload").alias("fingerprint"), json_paths("payload").alias("paths")).groupBy("fingerprint", "paths").agg(F.count(F.lit(1)).alias("n"))
+
+
 def turn_rows(rows: DataFrame) -> DataFrame:
     """Rows of one turn each, of any known typed layout, as conv_id, turn, role, text.
 
-    The widest known layout among the columns wins, so extra columns do no harm.
+    The table's own fingerprint is looked up first; else the first layout whose
+    paths are among the table's is taken, so extra columns do no harm.
     """
-    have = set(rows.columns)
-    for key, named in ROW_MAPPINGS.items():
-        if set(named) <= have and fingerprint(schema_paths(rows.select(*named).schema)) == key:
-            return rows.select(*[F.col(c).alias(a) for c, a in zip(named, ("conv_id", "turn", "role", "text"), strict=True)])
-    raise ValueError(f"no mapping for a layout with the paths {schema_paths(rows.schema)}")
+    paths = schema_paths(rows.schema)
+    held = [named for named in ROW_MAPPINGS.values() if set(named) <= set(paths)]
+    named = ROW_MAPPINGS.get(fingerprint(paths)) or (held[0] if held else None)
+    if named is None:
+        raise ValueError(f"no mapping for a layout with the paths {paths}")
+    return rows.select(*[F.col(c).alias(a) for c, a in zip(named, ("conv_id", "turn", "role", "text"), strict=True)])
 
 
 # --- template --------------------------------------------------------------

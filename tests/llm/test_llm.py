@@ -188,6 +188,21 @@ def test_op2_layouts_by_fingerprint(spark):
         chat_format.turn_rows(spark.createDataFrame([(1,)], "a int"))
 
 
+def test_op2_layouts_with_further_fields(spark):
+    said = [("user", "u"), ("assistant", "v")]
+    records = [
+        '{"id": 7, "prompt": "[u", "completion": "{v", "meta": {"a": {"b": [{"c": 1}]}}}', '{"source": "s", "output": "v", "instruction": "u", "input": ""}',
+        '{"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": "v", "tool": {"a": {"b": 1}}}]}', '{"we ird": {"x": {"y-z": []}}}', '{"we ird": {"x": {"y-z": []}}}', "[1]",
+    ]
+    df = spark.createDataFrame([(r,) for r in records], "payload string")
+    got = chat_format.canonical_turns(df).collect()
+    assert [r["layout"] for r in got] == ["prompt", "instruction_input", "messages", None, None, None]
+    assert [[tuple(t) for t in r["turns"]] for r in got[:3]] == [[("user", "[u"), ("assistant", "{v")], said, said]
+    paths = df.limit(1).select(chat_format.json_paths("payload").alias("p"), chat_format.json_fingerprint("payload").alias("f")).first()
+    assert paths["p"] == ["completion", "id", "meta.a.b[].c", "prompt"] and paths["f"] == chat_format.fingerprint(paths["p"])
+    assert {(tuple(r["paths"] or ()), r["n"]) for r in chat_format.unmapped(df).collect()} == {(("we ird.x.y-z[]",), 2), ((), 1)}
+
+
 # --- 3: quality rules ------------------------------------------------------------
 
 
