@@ -486,12 +486,15 @@ def _left_over(body: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bodies = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        bodies = [(t or "").encode() for t in texts]
         runs = [_merged(s, len(b)) for s, b in zip(batch.column("spans").to_pylist(), bodies, strict=True)]
+        left = [_left_over(b, r) for b, r in zip(bodies, runs, strict=True)]
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()),
             "n_removed": pa.array([sum(e - s for s, e in r) for r in runs], pa.int64()), "n_spans": pa.array([len(r) for r in runs], pa.int64()),
-            "kept_sha256": [hashlib.sha256(_left_over(b, r)).hexdigest() for b, r in zip(bodies, runs, strict=True)],
+            "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left], "n_kept": pa.array([len(x) for x in left], pa.int64()),
+            "text": pa.array([None if t is None else x.decode(errors="ignore") for t, x in zip(texts, left, strict=True)], pa.string()),
         })
 
 
@@ -539,10 +542,10 @@ def _with_spans(docs: DataFrame, length: int, gram: int, words: int = 0) -> Data
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and what is left of the text, for every row."""
     named = docs.select(F.col(key).alias("doc_id"), row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return _with_spans(named, length, gram).select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(named, length, gram).select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string")
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
