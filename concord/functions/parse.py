@@ -102,8 +102,15 @@ def email_domain(email: Column) -> Column:
     return F.when(F.contains(email, F.lit("@")), F.lower(F.substring_index(email, "@", -1)))
 
 
-def flag(code: Column, field: str, raw: Column) -> Column:
-    """A flag struct; null where ``code`` is null."""
-    told = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for c, known in FLAG_CODES.items() for x in (c, known[k])]), code)
-    made = F.struct(code.alias("code"), F.lit(field).alias("field"), raw.cast("string").alias("raw_value"), told(0).alias("severity"), told(1).alias("message"))
-    return F.when(code.isNotNull(), made).cast(FLAG)
+def flag(code: Column, field: str, raw: Column, *codes: str) -> Column:
+    """A flag struct; null where ``code`` is null. ``codes`` are the values that it may have.
+
+    Each gives a struct of its own with constant severity and message, so that
+    no table is looked up row by row.
+    """
+    made = F.lit(None)
+    for known in codes:
+        severity, message = FLAG_CODES[known]
+        one = F.struct(F.lit(known).alias("code"), F.lit(field).alias("field"), raw.cast("string").alias("raw_value"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+        made = F.when(code == known, one).otherwise(made)
+    return made.cast(FLAG)

@@ -11,7 +11,7 @@ TITLE_STOPWORDS = (
     "meeting", "session", "sync", "review", "update", "prep", "discussion", "check",
     "annual", "quarterly", "q1", "q2", "q3", "q4", "year", "end",
 )
-#: Parts of a location that name no room.
+#: Parts of a location that stand for a call, not a place.
 VIRTUAL_MARKERS = ("zoom", "teams", "meet", "webex", "virtual", "http", "dial")
 #: Words that tell no place from another.
 LOCATION_STOPWORDS = ("the", "office", "room", "floor", "at", "in", "-")
@@ -45,14 +45,37 @@ def identity_key(value: Column) -> Column:
     return email_key(value)
 
 
-def company_matches_domain(company: Column, domain: Column) -> Column:
-    """The domain's root starts with the company's first long word or the other way round, or is its initials."""
-    root = F.lower(F.substring_index(domain, ".", 1))
+def domain_root(domain: Column) -> Column:
+    return F.lower(F.substring_index(domain, ".", 1))
+
+
+def company_parts(company: Column) -> tuple[Column, Column]:
+    """A company's first word, null if it is short, and its initials, null without words."""
     words = tokens(company)
-    first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
-    initials = F.array_join(F.transform(words, lambda t: F.substring(t, 1, 1)), "")
-    near = (F.length(first) >= LONG) & (F.startswith(root, first) | F.startswith(first, root))
-    return F.coalesce((root != "") & (F.size(words) > 0) & (near | (root == initials)), F.lit(False))
+    first = F.get(words, F.lit(0))
+    initials = F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda t: F.substring(t, 1, 1)), ""))
+    return F.when(F.length(first) >= LONG, first), initials
+
+
+def root_is_of(root: Column, first: Column, initials: Column) -> Column:
+    """The root starts with the company's first long word or the other way round, or is its initials."""
+    near = F.startswith(root, first) | F.startswith(first, root)
+    return (root != "") & (F.coalesce(near, F.lit(False)) | F.coalesce(root == initials, F.lit(False)))
+
+
+def company_matches_domain(company: Column, domain: Column) -> Column:
+    return F.coalesce(root_is_of(domain_root(domain), *company_parts(company)), F.lit(False))
+
+
+def company_cells(first: Column, initials: Column) -> Column:
+    """Keys of which a company shares one at least with every root that is its own (:func:`root_cells`)."""
+    short = [F.concat(F.lit("r"), F.substring(first, 1, n)) for n in range(1, LONG)]
+    return F.array_compact(F.array(F.concat(F.lit("p"), F.substring(first, 1, LONG)), *short, F.concat(F.lit("i"), initials)))
+
+
+def root_cells(roots: Column) -> Column:
+    whole = F.transform(roots, lambda r: F.array(F.when(F.length(r) >= LONG, F.concat(F.lit("p"), F.substring(r, 1, LONG))).otherwise(F.concat(F.lit("r"), r)), F.concat(F.lit("i"), r)))
+    return F.array_distinct(F.flatten(whole))
 
 
 def content_tokens(*parts: Column) -> Column:

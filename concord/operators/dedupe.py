@@ -120,9 +120,9 @@ def collapse(events: DataFrame, config: ReconcileConfig = ReconcileConfig()) ->
     who = F.transform("_everyone", lambda p: F.lower(F.regexp_replace(F.coalesce(p["email"], p["display"]), r"^\s+|\s+$", "")))
     what = F.transform("_flags", lambda f: F.struct(f["code"], f["field"], f["raw_value"]))
     ids = F.array_distinct(F.col("_all.source_id"))
-    collapsed = parse.flag(F.when(F.size("_all") > 1, "DUPLICATE_COLLAPSED"), "event_id", F.array_join(F.slice("source_ids", 1, 2), ", "))
+    collapsed = parse.flag(F.when(F.size("_all") > 1, "DUPLICATE_COLLAPSED"), "event_id", F.array_join(F.slice("source_ids", 1, 2), ", "), "DUPLICATE_COLLAPSED")
     # The collapse is noted when the second record joins; flags of a third come after it.
-    early, late = F.flatten(F.transform(F.slice("_all", 1, 2), lambda r: r["flags"])), F.flatten(F.transform(F.slice("_all", 3, 1_000_000), lambda r: r["flags"]))
+    early, late = F.flatten(F.transform(F.slice("_all", 1, 2), lambda r: r["flags"])), F.flatten(F.transform(F.slice("_all", F.lit(3), F.size("_all")), lambda r: r["flags"]))
     swapped = F.transform(F.filter("_all", lambda r: r["place"] != F.col("_lead")), lambda r: r["raw"])
     out = folded.withColumns({"source_ids": ids, "_everyone": everyone, "duplicates": swapped})
     out = out.withColumn("_flags", F.concat(early, F.array_compact(F.array(collapsed)), late))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,76 +17,125 @@ from . import signals
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write to the folder named in ``spark.checkpoint.dir`` and read back: lineage ends in a table that outlives executors."""
     spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/concord-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only on a single machine one is chosen where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"/tmp/concord-shared-{uuid.uuid4().hex[:8]}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/concord-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
+
+
+def _met(own: DataFrame, near: DataFrame, keys: list[str], salt: int) -> DataFrame:
+    """``own`` joined with ``near`` on ``keys``, each key dealt over ``salt`` tasks."""
+    if salt > 1:
+        near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        own = own.withColumn("_salt", F.pmod(F.xxhash64("c_id"), F.lit(salt)).cast("int"))
+        keys = [*keys, "_salt"]
+    return own.join(near, keys).drop(*keys)
 
 
-def blocked(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = ReconcileConfig(), salt: int = 1) -> DataFrame:
+def _on_days(calendar: DataFrame, days: int) -> DataFrame:
+    """Calendar rows on every date that they may meet."""
+    return calendar.filter("k_date IS NOT NULL").withColumn("_day", F.explode(F.sequence(F.date_sub("k_date", days), F.date_add("k_date", days))))
+
+
+def blocked(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
     """Feature rows (c_*, k_*) of all pairs whose dates are at most ``block_days`` apart.
 
     The range join becomes an equi-join: calendar rows stand on every date that
-    they may meet, CRM rows on their own, so each pair is made once. With
-    ``salt`` over 1 each date is dealt over so many tasks.
+    they may meet, CRM rows on their own, so each pair is made once.
     """
-    days = config.block_days
-    near = calendar.filter("k_date IS NOT NULL").withColumn("_day", F.explode(F.sequence(F.date_sub("k_date", days), F.date_add("k_date", days))))
     own = crm.filter("c_date IS NOT NULL").withColumn("_day", F.col("c_date"))
-    if salt > 1:
-        near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        own = own.withColumn("_salt", F.pmod(F.xxhash64("c_id"), F.lit(salt)).cast("int"))
-        return own.join(near, ["_day", "_salt"]).drop("_day", "_salt")
-    return own.join(near, "_day").drop("_day")
+    return _met(own, _on_days(calendar, config.block_days), ["_day"], config.block_salt)
 
 
 def pruned(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
-    """As :func:`blocked`, without pairs that cannot reach the floor, and without making most of them.
+    """As :func:`blocked`, without most of the pairs that cannot reach the floor: they are not made at all.
+
+    With nothing but the other signals at their best, a pair without a party in
+    common needs starts that are *close*. So pairs are made by
+
+    * time slot, if they are close;
+    * owner or client in common, if they are not;
+    * a company's domain, if they share neither, near in time or, where the
+      company alone can carry a pair, whatever their starts;
+    * day, if one of the two has no start.
 
-    Far apart in time a pair can only reach the floor with a party in common. So
-    pairs are made by time slot (starts less than the window apart), by party
-    (owner, client or company), and in whole for rows without a start; the union
-    of the three holds every pair that the floor lets through.
+    The conditions shut each other out, so each pair is made once, in the join
+    that also brings what it is scored by: pairs are neither made distinct nor
+    joined back to their rows.
     """
-    width = int(config.time_window_hours * 3600)
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
-    near_days = F.abs(F.date_diff("c_date", "k_date")) <= config.block_days
+    w = config.weights
+    rest = sum(v for name, v in w.items() if name not in ("participants", "time"))
+    if rest >= config.candidate_floor or w.get("time", 0) <= 0 or w.get("participants", 0) <= 0:
+        return blocked(crm, calendar, config)  # nothing follows from a lack of parties
+    reach = max(0.0, 1 - (config.candidate_floor - rest) / w["time"]) * config.time_window_hours
+    close, near_days = signals.gap_hours() <= reach + 1e-6, F.abs(F.date_diff("c_date", "k_date")) <= config.block_days
+    columns, salt = [*crm.columns, *calendar.columns], config.block_salt
     crm, calendar = crm.filter("c_date IS NOT NULL"), calendar.filter("k_date IS NOT NULL")
     timed_c, timed_k = crm.filter("c_start IS NOT NULL"), calendar.filter("k_start IS NOT NULL")
-    spread = timed_k.withColumn("_slot", F.explode(F.array(*[slot("k_start") + d for d in (-1, 0, 1)])))
-    by_time = timed_c.withColumn("_slot", slot("c_start")).join(spread, "_slot").filter(near_days).select("c_id", "k_id")
-    days = lambda df, c, n: df.withColumn("_day", F.explode(F.sequence(F.date_sub(c, n), F.date_add(c, n))))
-    roots = F.transform("k_domains", lambda d: F.lower(F.substring_index(d, ".", 1)))
-    parties = F.array_distinct(F.concat(F.array("k_organizer"), F.col("k_attendees")))
-    people_k = days(timed_k, "k_date", config.block_days).withColumn("_party", F.explode(parties)).filter("_party <> ''")
-    people_c = timed_c.withColumn("_day", F.col("c_date")).withColumn("_party", F.explode(F.array_distinct(F.array("c_owner", "c_client")))).filter("_party <> ''")
-    by_party = people_c.join(people_k, ["_day", "_party"]).select("c_id", "k_id")
-    first = F.substring(F.get(signals.tx.tokens(F.col("c_company")), F.lit(0)), 1, 1)
-    firm_c = timed_c.filter("c_company IS NOT NULL").withColumns({"_day": F.col("c_date"), "_letter": first})
-    firm_k = days(timed_k, "k_date", config.block_days).withColumn("_root", F.explode(roots)).withColumn("_letter", F.substring("_root", 1, 1))
-    by_firm = firm_c.join(firm_k, ["_day", "_letter"]).filter(signals.tx.company_matches_domain(F.col("c_company"), F.col("_root"))).select("c_id", "k_id")
-    untimed = blocked(crm.filter("c_start IS NULL"), calendar, config).select("c_id", "k_id").unionAll(blocked(timed_c, calendar.filter("k_start IS NULL"), config).select("c_id", "k_id"))
-    ids = by_time.unionAll(by_party).unionAll(by_firm).unionAll(untimed).distinct()
-    return ids.join(crm, "c_id").join(calendar, "k_id")
+
+    def in_slots(own: DataFrame, near: DataFrame, hours: float, *keys: str) -> DataFrame:
+        """Pairs that start less than ``hours`` apart, and others of neighbouring slots."""
+        slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (math.ceil(hours * 3600) + 1))
+        spread = near.withColumn("_slot", F.explode(F.array(*[slot("k_start") + d for d in (-1, 0, 1)])))
+        return _met(own.withColumn("_slot", slot("c_start")), spread, ["_slot", *keys], salt).filter(near_days)
+
+    by_time = in_slots(timed_c, timed_k, reach).filter(close)
+
+    on_days, own_day = _on_days(timed_k, config.block_days), timed_c.withColumn("_day", F.col("c_date"))
+    parties = F.array_distinct(F.filter(F.array("c_owner", "c_client"), lambda p: p != ""))
+    both = _met(own_day.withColumn("party", F.explode(parties)).withColumn("_party", F.col("party")), on_days.withColumn("_party", F.explode("k_parties")), ["_day", "_party"], salt)
+    by_party = both.filter(~close & ((F.col("party") == F.col("c_owner")) | ~F.array_contains("k_parties", F.col("c_owner"))))
+
+    known = F.lit(signals.PARTICIPANT_SHARES["company"]) + F.when(F.col("c_owner") != "", signals.PARTICIPANT_SHARES["owner"]).otherwise(0.0) + F.when(F.col("c_usable_client"), signals.PARTICIPANT_SHARES["client"]).otherwise(0.0)
+    enough = config.candidate_floor - rest - 1e-9
+    carries = w["participants"] * (signals.PARTICIPANT_SHARES["company"] / known) >= enough
+    firms_c = lambda df: df.withColumn("cell", F.explode("c_cells")).withColumn("_cell", F.col("cell"))
+    firms_k = lambda df: df.withColumn("_cell", F.explode("k_cells"))
+    alone = ~close & ~F.arrays_overlap(parties, "k_parties") & (F.col("cell") == F.get(F.array_intersect("c_cells", "k_cells"), F.lit(0)))
+    reached = w["participants"] * signals.participant_overlap() + w["time"] * signals.time_proximity(config) >= enough
+    far = _met(firms_c(own_day.filter(carries)), firms_k(on_days), ["_day", "_cell"], salt)
+    near = in_slots(firms_c(timed_c.filter(~carries)), firms_k(timed_k), config.time_window_hours, "_cell")
+    by_firm = [x.filter(alone).filter(reached) for x in (far, near)]
+
+    untimed = [blocked(crm.filter("c_start IS NULL"), calendar, config), blocked(timed_c, calendar.filter("k_start IS NULL"), config)]
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in (by_time, by_party, *by_firm, *untimed)])
 
 
 def scored(pairs: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
     """c_id, k_id, the signals ``s_*``, ``score`` and ``confidence`` of every pair."""
-    with_signals = pairs.select("c_id", "k_id", *[c.alias(f"s_{n}") for n, c in signals.signals(config).items()])
+    with_signals = signals.with_shared(pairs).select("c_id", "k_id", *[c.alias(f"s_{n}") for n, c in signals.signals(config).items()])
     return with_signals.withColumn("score", signals.total(config)).withColumn("confidence", signals.confidence(F.col("score"), config))
 
 
-def candidates(events: DataFrame, config: ReconcileConfig = ReconcileConfig(), prune: bool = False) -> DataFrame:
-    """Scored pairs of (collapsed or plain) events at or above the floor."""
-    crm = signals.crm_features(events.filter("source = 'crm'"))
-    calendar = signals.calendar_features(events.filter("source = 'calendar'"))
+def features(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What pairing reads of the CRM's and of the calendar's events, each made once and stored."""
+    crm = store(signals.crm_features(events.filter("source = 'crm'")), "crm-features")
+    return crm, store(signals.calendar_features(events.filter("source = 'calendar'")), "calendar-features")
+
+
+def candidates(events: DataFrame, config: ReconcileConfig = ReconcileConfig(), prune: bool = False, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Scored pairs of (collapsed or plain) events at or above the floor; ``read`` are their features, if at hand."""
+    crm, calendar = read or features(events)
     pairs = pruned(crm, calendar, config) if prune else blocked(crm, calendar, config)
     return scored(pairs, config).filter(F.col("score") >= config.candidate_floor)
 
 
+def explained(pairs: DataFrame, read: tuple[DataFrame, DataFrame], config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
+    """``pairs`` with ``d_<signal>``: what each signal's score rests on, in words."""
+    whole = pairs.join(read[0], "c_id").join(read[1], "k_id")
+    return signals.with_shared(whole).select(*pairs.columns, *[c.alias(f"d_{n}") for n, c in signals.details(config).items()])
+
+
 def _tied(ranked: DataFrame) -> DataFrame:
     """The pairs that the greedy pass takes of blocks of equal scores.
 
@@ -108,23 +159,28 @@ def assign(found: DataFrame) -> DataFrame:
 
     The order is total, so the best remaining pair of a row that is also the
     best of its partner is what the greedy pass would take. Each round takes all
-    such pairs, and blocks of equal scores as a whole, and removes their rows
-    from the rest; at least the best remaining pair goes, so it ends.
+    such pairs and removes their rows from the rest; at least the best remaining
+    pair goes, so it ends. After a round that took few of the rows, ties hold
+    the rest up, and blocks of equal scores are taken as a whole as well.
     """
     rest = store(found.select("c_id", "k_id", "score"), "candidates")
     by_c = Window.partitionBy("c_id").orderBy(F.desc("score"), "k_id")
     by_k = Window.partitionBy("k_id").orderBy(F.desc("score"), "c_id")
     taken: DataFrame | None = None
-    turn = 0
-    while not rest.isEmpty():
+    turn, left, slow = 0, rest.count(), False
+    while left:
         turn += 1
         ranked = rest.withColumns({"_c": F.row_number().over(by_c), "_k": F.row_number().over(by_k)})
-        best = ranked.filter("_c = 1 AND _k = 1").select("c_id", "k_id", "score").unionAll(_tied(ranked)).distinct()
+        best = ranked.filter("_c = 1 AND _k = 1").select("c_id", "k_id", "score")
+        if slow:
+            best = best.unionAll(_tied(ranked)).distinct()
         made = store(best.withColumn("round", F.lit(turn)), "assigned")
         taken = made if taken is None else taken.unionAll(made)
         if turn % 64 == 0:  # the union stays small, whatever the number of rounds
             taken = store(taken, "assigned")
         rest = store(rest.join(made.select("c_id"), "c_id", "left_anti").join(made.select("k_id"), "k_id", "left_anti").select("c_id", "k_id", "score"), "rest")
+        before, left = left, rest.count()
+        slow = left > 0.5 * before
     return taken if taken is not None else rest.withColumn("round", F.lit(0))
 
 

@@ -15,7 +15,7 @@ FIELDS = {
     "title": "string", "start_time": "timestamp_ntz", "end_time": "timestamp_ntz", "location": "string", "participants": PARTICIPANTS,
     "client_name": "string", "client_company": "string", "owner_name": "string", "meeting_type": "string", "notes": "string", "status": "string",
 }
-EVIDENCE = "struct<score:double,confidence:string,signals:array<struct<name:string,weight:double,score:double,contribution:double>>>"
+EVIDENCE = "struct<score:double,confidence:string,signals:array<struct<name:string,weight:double,score:double,detail:string,contribution:double>>>"
 
 
 def field_type(kind: str) -> str:
@@ -101,7 +101,7 @@ def _laid_out(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def merge_pairs(events: DataFrame, pairs: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
-    """One meeting per pair; ``pairs``: c_id, k_id, score and the signals ``s_*``."""
+    """One meeting per pair; ``pairs``: c_id, k_id, score, the signals ``s_*`` and their details ``d_*``."""
     crm = events.filter("source = 'crm'").select(F.col("source_id").alias("c_id"), F.struct(*events.columns).alias("c"))
     calendar = events.filter("source = 'calendar'").select(F.col("source_id").alias("k_id"), F.struct(*events.columns).alias("k"))
     both = pairs.join(crm, "c_id").join(calendar, "k_id")

@@ -34,9 +34,9 @@ def normalize_crm(crm: DataFrame, config: ReconcileConfig = ReconcileConfig(), o
     read = read.withColumns({"_start": parse.combine(c("_day"), c("_seconds")), "_gap_code": gap})
     read = read.withColumn("_zone_code", F.when(c("_start").isNotNull(), "TIMEZONE_ASSUMED"))
     flags = F.array_compact(F.array(
-        parse.flag(c("_day_code"), "meeting_date", c("meeting_date")), parse.flag(c("_time_code"), "meeting_time", c("meeting_time")),
-        parse.flag(c("_zone_code"), "meeting_time", c("meeting_time")), parse.flag(c("_status_code"), "status", c("status")),
-        parse.flag(c("_gap_code"), "client_name", F.when(c("_client").isNotNull(), c("client_name"))),
+        parse.flag(c("_day_code"), "meeting_date", c("meeting_date"), "MALFORMED_DATE", "UNPARSABLE_DATE"), parse.flag(c("_time_code"), "meeting_time", c("meeting_time"), "TIME_MISSING"),
+        parse.flag(c("_zone_code"), "meeting_time", c("meeting_time"), "TIMEZONE_ASSUMED"), parse.flag(c("_status_code"), "status", c("status"), "UNKNOWN_STATUS"),
+        parse.flag(c("_gap_code"), "client_name", F.when(c("_client").isNotNull(), c("client_name")), "INTERNAL_NO_CLIENT", "PLACEHOLDER_CLIENT"),
     ))
     none = F.lit(None).cast("string")
     people = F.array_compact(F.array(
@@ -85,10 +85,10 @@ def normalize_calendar(calendar: DataFrame, config: ReconcileConfig = ReconcileC
         "_start_shape": shape("_start_code"), "_end_shape": shape("_end_code"),
     })
     fixed = F.array_compact(F.array(
-        parse.flag(c("_start_shape"), "start_time", c("start_time")), parse.flag(c("_end_shape"), "end_time", c("end_time")),
-        parse.flag(c("_zone_code"), "start_time", c("start_time")), parse.flag(c("_status_code"), "status", c("status")),
+        parse.flag(c("_start_shape"), "start_time", c("start_time"), "MALFORMED_DATETIME"), parse.flag(c("_end_shape"), "end_time", c("end_time"), "MALFORMED_DATETIME"),
+        parse.flag(c("_zone_code"), "start_time", c("start_time"), "TIMEZONE_ASSUMED"), parse.flag(c("_status_code"), "status", c("status"), "UNKNOWN_STATUS"),
     ))
-    mail = F.array_compact(F.transform("_read", lambda a: parse.flag(a["code"], "attendees", a["raw"])))
+    mail = F.array_compact(F.transform("_read", lambda a: parse.flag(a["code"], "attendees", a["raw"], "NON_EMAIL_ATTENDEE", "MALFORMED_EMAIL")))
     return _shaped(read, {
         "source": F.lit("calendar"), "source_id": F.coalesce(F.nullif(c("event_id"), F.lit("")), F.lit("CAL-UNKNOWN")), "ordinal": c(ordinal).cast("string"),
         "title": parse.clean(c("title")), "text": parse.clean(c("description")), "location": parse.clean(c("location")), "organizer": c("_organizer"),

@@ -13,10 +13,10 @@ from .merge import FIELDS
 
 FLAG_LINKS = 6
 
-#: Provenance field -> (keys in CRM records, keys in calendar records).
+#: Provenance field -> (keys in CRM records, keys in calendar records).
 SOURCE_KEYS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "title": (("subject",), ("title",)), "start_time": (("meeting_date", "meeting_time"), ("start_time",)), "end_time": ((), ("end_time",)),
-    "location": (("location",), ("location",)), "participants": (("client_name", "relationship_owner"), ("attendees", "organizer")),
+    "location": (("location",), ("location",)), "participants": (("client_name",), ("attendees", "organizer")),
     "client_name": (("client_name",), ()), "client_company": (("client_company",), ()), "owner_name": (("relationship_owner",), ("organizer",)),
     "meeting_type": (("meeting_type",), ()), "notes": (("notes",), ("description",)), "status": (("status",), ("status",)),
 }

@@ -19,29 +19,32 @@ PARTICIPANT_SHARES = {"owner": 0.4, "client": 0.4, "company": 0.2}
 def crm_features(events: DataFrame) -> DataFrame:
     """Narrow rows for pairing: c_id, c_date and what the signals read."""
     placeholder = F.exists("flags", lambda f: f["code"] == "PLACEHOLDER_CLIENT")
-    words = tx.tokens(F.col("title"))
+    words, (first, initials) = tx.tokens(F.col("title")), tx.company_parts(F.col("client_company"))
+    kind = F.nullif("meeting_type", F.lit(""))
     return events.select(
         F.col("source_id").alias("c_id"), F.col("event_date").alias("c_date"), F.col("start").alias("c_start"),
         tx.name_key(F.col("owner_name")).alias("c_owner"), tx.name_key(F.col("client_name")).alias("c_client"),
-        (F.coalesce(F.col("client_name"), F.lit("")) != "").alias("_has_client"), placeholder.alias("_placeholder"),
-        F.nullif("client_company", F.lit("")).alias("c_company"), tx.content_tokens(F.col("title"), F.col("text"), F.col("client_company")).alias("c_content"),
-        words.alias("c_words"), tx.acronyms(words).alias("c_acronyms"), F.lower("location").alias("c_place"), tx.long_tokens(F.col("location")).alias("c_place_words"),
-        F.nullif("meeting_type", F.lit("")).alias("c_type"),
-    ).withColumn("c_usable_client", F.col("_has_client") & ~F.col("_placeholder")).drop("_has_client", "_placeholder")
+        ((F.coalesce(F.col("client_name"), F.lit("")) != "") & ~placeholder).alias("c_usable_client"),
+        (F.coalesce(F.col("client_company"), F.lit("")) != "").alias("c_has_company"), first.alias("c_first"), initials.alias("c_initials"),
+        tx.content_tokens(F.col("title"), F.col("text"), F.col("client_company")).alias("c_content"), words.alias("c_words"), tx.acronyms(words).alias("c_acronyms"),
+        F.lower("location").alias("c_place"), tx.long_tokens(F.col("location")).alias("c_place_words"), kind.alias("c_type"), (F.lower(kind) == "virtual").alias("c_virtual"),
+    ).withColumn("c_cells", tx.company_cells(F.col("c_first"), F.col("c_initials")))
 
 
 def calendar_features(events: DataFrame) -> DataFrame:
     """Narrow rows for pairing: k_id, k_date and what the signals read."""
     emails = F.array_compact(F.transform("participants", lambda p: F.nullif(p["email"], F.lit(""))))
+    domains = F.array_compact(F.transform("participants", lambda p: F.nullif(p["domain"], F.lit(""))))
     words = tx.tokens(F.col("title"))
-    return events.select(
+    made = events.select(
         F.col("source_id").alias("k_id"), F.col("event_date").alias("k_date"), F.col("start").alias("k_start"),
         tx.email_key(F.col("organizer")).alias("k_organizer"), (F.coalesce(F.col("organizer"), F.lit("")) != "").alias("k_has_organizer"),
-        F.array_distinct(F.transform(emails, tx.email_key)).alias("k_attendees"),
-        F.array_distinct(F.array_compact(F.transform("participants", lambda p: F.nullif(p["domain"], F.lit(""))))).alias("k_domains"),
+        F.array_distinct(F.transform(emails, tx.email_key)).alias("k_attendees"), F.array_distinct(F.transform(domains, tx.domain_root)).alias("k_roots"),
         tx.content_tokens(F.col("title"), F.col("text")).alias("k_content"), words.alias("k_words"), tx.acronyms(words).alias("k_acronyms"),
         F.lower("location").alias("k_place"), tx.long_tokens(F.col("location")).alias("k_place_words"), tx.looks_virtual(F.col("location")).alias("k_virtual"),
     )
+    parties = F.array_distinct(F.filter(F.concat(F.array("k_organizer"), "k_attendees"), lambda p: p != ""))
+    return made.withColumns({"k_parties": parties, "k_cells": tx.root_cells(F.col("k_roots"))})
 
 
 def owner_presence() -> Column:
@@ -62,8 +65,8 @@ def client_presence() -> Column:
 
 def company_presence() -> Column:
     """1 or 0 for a company, null without one."""
-    hit = F.exists("k_domains", lambda d: tx.company_matches_domain(F.col("c_company"), d))
-    return F.when(F.col("c_company").isNotNull(), F.when(hit, 1.0).otherwise(0.0))
+    hit = F.exists("k_roots", lambda r: tx.root_is_of(r, F.col("c_first"), F.col("c_initials")))
+    return F.when(F.col("c_has_company"), F.when(hit, 1.0).otherwise(0.0))
 
 
 def participant_overlap() -> Column:
@@ -88,10 +91,14 @@ def time_proximity(config: ReconcileConfig) -> Column:
     return F.when(F.col("c_start").isNull() | F.col("k_start").isNull(), 0.5).otherwise(near)
 
 
+def with_shared(pairs: DataFrame) -> DataFrame:
+    """Add ``_shared``, the number of words that both titles have, which several signals read."""
+    return pairs.withColumn("_shared", F.size(F.array_intersect("c_content", "k_content")))
+
+
 def title_similarity() -> Column:
     """Shared words over the smaller set, or 0.6 for an acronym of the other title."""
-    left, right = F.col("c_content"), F.col("k_content")
-    shared = F.size(F.array_intersect(left, right))
+    left, right, shared = F.col("c_content"), F.col("k_content"), F.col("_shared")
     acronym = F.arrays_overlap("c_acronyms", "k_words") | F.arrays_overlap("k_acronyms", "c_words")
     return (
         F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).when(shared > 0, shared / F.least(F.size(left), F.size(right)))
@@ -108,7 +115,7 @@ def location_agreement() -> Column:
 
 
 def modality_agreement() -> Column:
-    return F.when(F.col("c_type").isNull() | F.col("k_place").isNull(), 0.5).when((F.lower("c_type") == "virtual") == F.col("k_virtual"), 1.0).otherwise(0.0)
+    return F.when(F.col("c_type").isNull() | F.col("k_place").isNull(), 0.5).when(F.col("c_virtual") == F.col("k_virtual"), 1.0).otherwise(0.0)
 
 
 def structural_agreement() -> Column:
@@ -134,9 +141,54 @@ def confidence(score: Column, config: ReconcileConfig) -> Column:
     return F.when(score >= config.high_confidence, "high").otherwise("low")
 
 
+def participant_detail() -> Column:
+    owner, client, company = owner_presence(), client_presence(), company_presence()
+    said = F.concat_ws(
+        ", ", F.when(owner == 1.0, "owner organised it").when(owner == 0.7, "owner attended").when(owner == 0.0, "owner absent"),
+        F.when(client == 1.0, "client found").when(client == 0.0, "client absent"), F.when(company == 1.0, "company = domain").when(company == 0.0, "company ≠ domain"),
+    )
+    return F.when(said == "", "no comparable party information").otherwise(said)
+
+
+def time_detail(config: ReconcileConfig) -> Column:
+    gap = gap_hours()
+    return (
+        F.when(F.col("c_start").isNull() | F.col("k_start").isNull(), "one side has no time of day").when(gap >= config.time_window_hours, F.format_string("%.1fh apart", F.bround(gap, 1)))
+        .when(gap == 0, "same start time").otherwise(F.format_string("%.0f min apart", F.bround(gap * 60, 0)))
+    )
+
+
+def title_detail() -> Column:
+    shared = F.array_intersect("c_content", "k_content")
+    return (
+        F.when((F.size("c_content") == 0) | (F.size("k_content") == 0), "no comparable text").when(F.col("_shared") > 0, F.concat(F.lit("shared: "), F.array_join(F.array_sort(shared), ", ")))
+        .when(title_similarity() == 0.6, "acronym match").otherwise("no shared terms")
+    )
+
+
+def structure_detail() -> Column:
+    a, b = F.col("c_place"), F.col("k_place")
+    place = (
+        F.when(a.isNull() | b.isNull(), "location unknown on one side").when(a == b, "same location").when(F.contains(a, b) | F.contains(b, a), "one location contains the other")
+        .when(F.arrays_overlap("c_place_words", "k_place_words"), F.concat(F.lit("locations share "), F.array_join(F.array_sort(F.array_intersect("c_place_words", "k_place_words")), ", ")))
+        .otherwise("locations differ")
+    )
+    kind = (
+        F.when(F.col("c_type").isNull() | b.isNull(), "modality unknown").when(F.col("c_virtual") == F.col("k_virtual"), "modality agrees")
+        .otherwise(F.concat(F.col("c_type"), F.lit(" vs "), F.when(F.col("k_virtual"), "virtual").otherwise("physical"), F.lit(" location")))
+    )
+    return F.concat(place, F.lit("; "), kind)
+
+
+def details(config: ReconcileConfig) -> dict[str, Column]:
+    """Signal name -> what the score rests on, in words. The wording."""
+    made = {"participants": participant_detail(), "time": time_detail(config), "title": title_detail(), "structure": structure_detail()}
+    return {name: made[name] for name in config.weights}
+
+
 def evidence(config: ReconcileConfig) -> Column:
-    """The signals of a pair with their weights, scores and contributions."""
+    """The signals of a pair with their weights, scores, details and contributions, from ``s_<signal>`` and ``d_<signal>``."""
     return F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), F.col(f"s_{n}").alias("score"), (F.lit(w) * F.col(f"s_{n}")).alias("contribution"))
+        F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), F.col(f"s_{n}").alias("score"), F.col(f"d_{n}").alias("detail"), (F.lit(w) * F.col(f"s_{n}")).alias("contribution"))
         for n, w in config.weights.items()
     ])

@@ -31,8 +31,9 @@ def reconcile(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Rec
     if check and (repeated := events.groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()):
         raise ValueError(f"source id {repeated['source_id']} occurs {repeated['n']} times in {repeated['source']}")
     collapsed = match.store(dedupe.collapse(events, config), "collapsed")
-    found = match.store(match.candidates(collapsed, config, prune), "scored")
-    pairs = match.store(match.assign(found).join(found, ["c_id", "k_id", "score"]), "pairs")
+    read = match.features(collapsed)
+    found = match.store(match.candidates(collapsed, config, prune, read), "scored")
+    pairs = match.store(match.explained(match.assign(found).join(found, ["c_id", "k_id", "score"]), read, config), "pairs")
     meetings = merge.merge_pairs(collapsed, pairs, config)
     for source in ("crm", "calendar"):
         meetings = meetings.unionByName(merge.merge_singles(match.unmatched(collapsed, pairs, source), source))

@@ -202,12 +202,48 @@ def test_blocking_and_pruning(spark):
     c, k = signals.crm_features(events.filter("source = 'crm'")), signals.calendar_features(events.filter("source = 'calendar'"))
     whole = {(r["c_id"], r["k_id"]) for r in match.blocked(c, k).collect()}
     assert whole == {("c0", "k0"), ("c0", "k1"), ("c1", "k1"), ("c3", "k0"), ("c3", "k1"), ("c4", "k0"), ("c4", "k1")}
-    assert {(r["c_id"], r["k_id"]) for r in match.blocked(c, k, salt=3).collect()} == whole
+    assert {(r["c_id"], r["k_id"]) for r in match.blocked(c, k, ReconcileConfig(block_salt=3)).collect()} == whole
     plain = {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events).collect()}
     assert plain == {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events, prune=True).collect()}
+    assert plain == {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events, ReconcileConfig(block_salt=2), prune=True).collect()}
     assert max(plain, key=lambda p: p[2])[:2] == ("c0", "k0")
 
 
+@pytest.mark.parametrize("settings", [{}, {"candidate_floor": 0.62}, {"candidate_floor": 0.2}, {"weights": {"participants": 0.3, "time": 0.5, "title": 0.1, "structure": 0.1}}, {"block_days": 0, "time_window_hours": 1.5}])
+def test_pruning_loses_no_pair(spark, settings):
+    rnd, config = random.Random(17), ReconcileConfig(**settings)
+    people, firms = ["Sarah Chen", "Tom Okafor", "Ann Lee", "David Park", ""], ["Atlas Ventures", "Blue Oak", "Ox Hill Group", "Atlantic Trust", None, "at"]
+    roots, places = ["atlasvc", "bo", "ohg", "atl", "atla", "a", "zz"], ["Palm Court", "Zoom", "Palm Court Room 4", None]
+    mail = lambda name: (name or "nobody").lower().replace(" ", ".")
+    hour = lambda: f"{rnd.randint(0, 23):02d}:{rnd.choice((0, 15, 30)):02d}"
+    crm = [
+        crm_row(f"c{i:03d}", relationship_owner=rnd.choice(people), client_name=rnd.choice([*people, "multiple", None]), client_company=rnd.choice(firms), meeting_date=f"2025-03-1{rnd.randint(0, 3)}",
+                meeting_time=rnd.choice([hour(), hour(), None]), subject=rnd.choice(("LP Advisory Committee", "Fund Update")), location=rnd.choice(places), meeting_type=rnd.choice(("Virtual", "In-Person", "")))
+        for i in range(60)
+    ]
+    calendar = [
+        cal_row(f"k{i:03d}", organizer=rnd.choice([f"{mail(rnd.choice(people))}@firma.com", None, ""]), start_time=f"2025-03-1{rnd.randint(0, 3)}T{hour()}:00", title=rnd.choice(("LPAC", "Fund session", "Lunch")),
+                location=rnd.choice(places), attendees=[f"{mail(rnd.choice(people))}@{rnd.choice(roots)}.com" for _ in range(rnd.randint(0, 3))] + rnd.choice([[], ["guests"]]))
+        for i in range(60)
+    ]
+    events = match.store(normalize.normalize_feeds(crm_df(spark, crm), cal_df(spark, calendar)), "events")
+    read = match.features(events)
+    got = [sorted((r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events, config, prune, read).collect()) for prune in (False, True)]
+    assert got[0] == got[1] and len(got[0]) > 30
+    made = match.pruned(*read, config).select("c_id", "k_id")
+    assert made.count() == made.distinct().count()
+
+
+def test_evidence_says_what_scores_rest_on(spark):
+    done = run(spark, [crm_row("c0", subject="LP Advisory Committee", notes=None, client_company=None), crm_row("c1", meeting_date="2025-04-10", meeting_time=None, client_name="Multiple", location=None)],
+               [cal_row("k0", title="LPAC", description=None, start_time="2025-03-10T14:30:00", location="Zoom"), cal_row("k1", start_time="2025-04-10T09:00:00", location="Palm")])
+    told = {r["id"]: {s["name"]: s["detail"] for s in r["match_evidence"]["signals"]} for r in done.meetings.collect()}
+    assert told == {
+        "c0-k0": {"participants": "owner organised it, client found", "time": "30 min apart", "title": "acronym match", "structure": "locations differ; In-Person vs virtual location"},
+        "c1-k1": {"participants": "owner organised it, company = domain", "time": "one side has no time of day", "title": "shared: equities, meridian, portfolio", "structure": "location unknown on one side; modality agrees"},
+    }
+
+
 def test_merge_rules(spark):
     done = run(spark, [
         crm_row("c0", location="Palm Court - Room 4", status="Completed", meeting_time="13:00"), crm_row("c1", meeting_date="2025-04-10", status="Cancelled", location=None, client_name="Ann Lee"), crm_row("c2", meeting_date="2025-05-01"),
