@@ -20,32 +20,45 @@ STATUSES = {
 }
 
 
+#: The white space that is taken off around a value.
+SPACE = " \t\n\x0b\f\r"
+
+
+def trimmed(raw: Column) -> Column:
+    return F.btrim(raw, F.lit(SPACE))
+
+
 def clean(raw: Column) -> Column:
     """Without white space around it; null if nothing is left."""
-    return F.nullif(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(trimmed(raw), F.lit(""))
 
 
 def _date(text: Column, shape: str, pattern: str) -> Column:
     return F.when(text.rlike(shape), F.try_to_date(text, pattern))
 
 
-def parse_date(raw: Column) -> tuple[Column, Column]:
-    """ISO (with or without dashes), then month-first shapes, which are flagged."""
-    text = clean(raw)
-    iso = F.coalesce(_date(text, r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"), _date(text, r"^\d{8}$", "yyyyMMdd"))
-    other = F.coalesce(_date(text, r"^\d{1,2}-\d{1,2}/\d{4}$", "M-d/yyyy"), _date(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"))
+def with_date(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Add ``name``, the date in ``raw``, and ``<name>_code``: ISO (with or without dashes), then month-first shapes, which are flagged.
+
+    As all that adds columns here it takes steps, so that no part is computed twice.
+    """
+    text, iso, other = (F.col(f"_{name}_{x}") for x in ("text", "iso", "other"))
+    df = df.withColumn(f"_{name}_text", trimmed(F.col(raw)))
+    df = df.withColumn(f"_{name}_iso", F.coalesce(_date(text, r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"), _date(text, r"^\d{8}$", "yyyyMMdd")))
+    late = F.coalesce(_date(text, r"^\d{1,2}-\d{1,2}/\d{4}$", "M-d/yyyy"), _date(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"))
+    df = df.withColumn(f"_{name}_other", F.when(iso.isNull(), late))
     code = F.when(iso.isNotNull(), F.lit(None)).when(other.isNotNull(), "MALFORMED_DATE").otherwise("UNPARSABLE_DATE")
-    return F.coalesce(iso, other), code
+    return df.withColumns({name: F.coalesce(iso, other), f"{name}_code": code}).drop(text, iso, other)
 
 
-def parse_time(raw: Column) -> tuple[Column, Column]:
-    """Seconds of the day of ``H:M`` or ``H:M:S``."""
-    shape = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
-    text = clean(raw)
-    part = lambda k: F.regexp_extract(text, shape, k).try_cast("int")
-    hour, minute, second = part(1), part(2), F.coalesce(part(3), F.lit(0))
-    seconds = F.when(text.rlike(shape) & (hour < 24) & (minute < 60) & (second < 60), hour * 3600 + minute * 60 + second)
-    return seconds, F.when(seconds.isNull(), "TIME_MISSING")
+def with_time(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Add ``name``, the seconds of the day of ``H:M`` or ``H:M:S`` in ``raw``, and ``<name>_code``."""
+    parts, kept = F.col(f"_{name}_parts"), F.col(f"_{name}_kept")
+    text = trimmed(F.col(raw))
+    df = df.withColumn(f"_{name}_parts", F.when(text.rlike(r"^\d{1,2}:\d{1,2}(:\d{1,2})?$"), F.transform(F.split(text, ":"), lambda p: p.cast("int"))))
+    second = F.coalesce(F.get(parts, F.lit(2)), F.lit(0))
+    df = df.withColumn(f"_{name}_kept", F.when((parts[0] < 24) & (parts[1] < 60) & (second < 60), parts[0] * 3600 + parts[1] * 60 + second))
+    return df.withColumns({name: kept, f"{name}_code": F.when(kept.isNull(), "TIME_MISSING")}).drop(parts, kept)
 
 
 def combine(day: Column, seconds: Column) -> Column:
@@ -64,33 +77,46 @@ def with_timestamp(df: DataFrame, raw: str, name: str, zone: str) -> DataFrame:
     so that no part is computed twice.
     """
     shape = r"^(\d{4})-?(\d\d)-?(\d\d)(?:[T ](\d\d)(?::(\d\d)(?::(\d\d)(\.\d{1,6})?)?)?)?(Z|[+-]\d\d:?\d\d)?$"
-    text, wall, offset, shift = (F.col(f"_{name}_{x}") for x in ("text", "wall", "offset", "shift"))
-    part = lambda k: F.nullif(F.regexp_extract(text, shape, k), F.lit(""))
-    number = lambda k: F.coalesce(part(k), F.lit("0")).try_cast("int")
-    second = F.concat(F.coalesce(part(6), F.lit("0")), F.coalesce(part(7), F.lit(""))).try_cast("decimal(16,6)")
-    digits = F.regexp_replace(offset, r"[^0-9]", "")
-    hours, minutes = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+    text, parts, wall, offset, shift, cut = (F.col(f"_{name}_{x}") for x in ("text", "parts", "wall", "offset", "shift", "cut"))
+    number = lambda k: F.coalesce(F.nullif(parts[k], F.lit("")), F.lit("0")).cast("int")
+    df = df.withColumn(f"_{name}_text", trimmed(F.col(raw)))
     clock = F.regexp_replace(F.element_at(F.split(text, "T"), -1), r"[+Z].*$", "")
-    cut = text.contains("T") & (F.regexp_count(clock, F.lit(":")) == 1)
-    df = df.withColumn(f"_{name}_text", clean(F.col(raw)))
     df = df.withColumns({
-        f"_{name}_wall": F.when(text.rlike(shape), F.try_make_timestamp_ntz(number(1), number(2), number(3), number(4), number(5), F.when(second < 60, second))),
-        f"_{name}_offset": part(8),
+        # One match for all groups; those that are missing are empty.
+        f"_{name}_parts": F.when(text.rlike(shape), F.split(F.regexp_replace(text, shape, "$1,$2,$3,$4,$5,$6,$7,$8"), ",")),
+        f"_{name}_cut": text.contains("T") & (F.length(clock) - F.length(F.replace(clock, F.lit(":"), F.lit(""))) == 1),
+    })
+    second = F.concat(F.coalesce(F.nullif(parts[5], F.lit("")), F.lit("0")), parts[6]).cast("decimal(16,6)")
+    df = df.withColumns({
+        f"_{name}_wall": F.try_make_timestamp_ntz(number(0), number(1), number(2), number(3), number(4), F.when(second < 60, second)),
+        f"_{name}_offset": F.nullif(parts[7], F.lit("")),
     })
+    digits = F.replace(offset, F.lit(":"), F.lit(""))
+    hours, minutes = F.substring(digits, 2, 2).try_cast("int"), F.substring(digits, 4, 2).try_cast("int")
     moved = F.when(offset == "Z", F.lit(0)).when((hours < 24) & (minutes < 60), F.when(offset.startswith("-"), -1).otherwise(1) * (hours * 60 + minutes))
     df = df.withColumn(f"_{name}_shift", moved)
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), wall - F.make_dt_interval(F.lit(0), F.lit(0), shift))
     df = df.withColumn(name, F.when(offset.isNull(), wall).when(shift.isNotNull(), local))
     code = F.when(F.col(name).isNull() | cut, "MALFORMED_DATETIME").when(offset.isNull(), "TIMEZONE_ASSUMED")
-    return df.withColumn(f"{name}_code", code).drop(*[f"_{name}_{x}" for x in ("text", "wall", "offset", "shift")])
+    return df.withColumn(f"{name}_code", code).drop(text, parts, wall, offset, shift, cut)
 
 
-def repair_email(raw: Column) -> tuple[Column, Column]:
-    """An address in lower case, with ``[at]`` and ``[dot]`` undone; null for a label."""
-    text = clean(raw)
-    fixed = F.replace(F.replace(text, F.lit("[at]"), F.lit("@")), F.lit("[dot]"), F.lit("."))
-    address = F.when(F.contains(fixed, F.lit("@")), F.lower(fixed))
-    return address, F.when(address.isNull(), "NON_EMAIL_ATTENDEE").when(fixed != text, "MALFORMED_EMAIL")
+def read_emails(raws: Column) -> Column:
+    """Each raw value as (raw, email, key, code), in order.
+
+    ``email`` is an address in lower case, with ``[at]`` and ``[dot]`` undone,
+    and null for a label; ``key`` is the address, or else the label in lower case.
+    """
+    texts = F.transform(raws, lambda r: F.struct(r.alias("raw"), clean(r).alias("text")))
+    fixed = F.transform(texts, lambda r: F.struct(r["raw"].alias("raw"), r["text"].alias("text"), F.replace(F.replace(r["text"], F.lit("[at]"), F.lit("@")), F.lit("[dot]"), F.lit(".")).alias("fixed")))
+    mails = F.transform(fixed, lambda r: F.struct(r["raw"].alias("raw"), r["text"].alias("text"), (r["fixed"] != r["text"]).alias("mended"), F.when(F.contains(r["fixed"], F.lit("@")), F.lower(r["fixed"])).alias("email")))
+    return F.transform(
+        mails,
+        lambda r: F.struct(
+            r["raw"].alias("raw"), r["email"].alias("email"), F.coalesce(r["email"], F.lower(r["text"]), F.lit("")).alias("key"),
+            F.when(r["email"].isNull(), "NON_EMAIL_ATTENDEE").when(r["mended"], "MALFORMED_EMAIL").alias("code"),
+        ),
+    )
 
 
 def parse_status(raw: Column) -> tuple[Column, Column]:

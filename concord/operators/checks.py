@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,11 @@ def all_checks(events: DataFrame, meetings: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def counted(found: dict[str, DataFrame]) -> DataFrame:
+    """(check, n_violations) of the rows that each check gave."""
+    return reduce(DataFrame.unionAll, [df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n_violations")) for name, df in found.items()])
+
+
 def violations(events: DataFrame, meetings: DataFrame) -> DataFrame:
     """(check, n_violations) for every check."""
-    counted = [df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n_violations")) for name, df in all_checks(events, meetings).items()]
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionAll(more)
-    return out
+    return counted(all_checks(events, meetings))

@@ -1,18 +1,20 @@
 """Duplicate collapse inside a source.
 
-Only rows of one source, date and convener can be duplicates, so that is the
-grouping; recurring rows and rows without a date or convener pass by. Inside a
-group the order matters: a record joins the first survivor that it matches *as
-the survivor stands by then*, so this is no transitive closure. A small grouped
-helper decides that on a few narrow columns; what the decision means for the
-wide rows is done with windows and array functions.
-
-A convener's day is short in real data. A group above ``warn_rows`` shows in
-:func:`group_sizes`.
+Only rows of one source, date and convener can be duplicates; recurring rows
+and rows without a date or convener pass by. Inside such a group the order
+matters: a record joins the first survivor that it matches *as the survivor
+stands by then*, so this is no transitive closure. But a survivor's parties all
+come from its own records, so rows that no chain of shared parties connects
+never meet: groups are split into these components first, with Spark joins. A
+small helper then goes through each component's narrow rows in order, holding
+its survivors only. What it decides for the wide rows is done with windows and
+array functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,77 +22,73 @@ from pyspark.sql.window import Window
 
 from ..config import ReconcileConfig
 from ..functions import parse
+from .components import components
+from .stored import store
 
 
 def client_keys(config: ReconcileConfig) -> Column:
     """Parties that are neither the organizer nor of the own domain, and the client's name."""
     outside = F.filter("participants", lambda p: ~p["is_organizer"] & ~F.coalesce(F.lower(p["domain"]) == config.internal_domain.lower(), F.lit(False)))
-    named = F.transform(outside, lambda p: F.lower(F.regexp_replace(F.coalesce(p["email"], p["display"]), r"^\s+|\s+$", "")))
+    named = F.transform(outside, lambda p: F.lower(parse.trimmed(F.coalesce(p["email"], p["display"]))))
     return F.array_distinct(F.concat(named, F.array_compact(F.array(F.lower("client_name")))))
 
 
 def _first_fit(minutes: int):
-    """Rows of one group to (row, survivor, place): which survivor a row joins, as its how-manieth."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ordinal", "row"], kind="stable")
-        survivors: list[dict] = []
-        out = []
-        for r in pdf.itertuples(index=False):
-            keys = set(r.keys)
-            start, created = (None if pd.isna(x) else int(x) for x in (r.start, r.created))
-            own = r.client or None
-            for s in survivors:
-                near = s["start"] is None or start is None or abs(s["start"] - start) <= minutes * 60_000_000
-                if near and keys & (s["people"] | s["client"]):
-                    if created is not None and s["created"] is not None and created < s["created"]:
-                        s |= {"start": start, "created": created, "client": {own} if own else set()}
-                    s["people"] |= set(r.people)
-                    s["n"] += 1
-                    out.append((r.row, s["row"], s["n"]))
-                    break
-            else:
-                survivors.append({"row": r.row, "start": start, "created": created, "people": set(r.people), "client": {own} if own else set(), "n": 0})
-                out.append((r.row, r.row, 0))
-        return pd.DataFrame(out, columns=["row", "survivor", "place"])
+    """Rows in order of component, group and input to (source, row, survivor, place): which survivor a row joins, as its how-manieth."""
+    width = minutes * 60_000_000
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, alive, by_key = None, [], {}
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if at != (group := (r.component, r.source, r.event_date, r.convener)):
+                    at, alive, by_key = group, [], {}
+                keys, people = set(r.keys), set(r.people)
+                start, created = (None if pd.isna(x) else int(x) for x in (r.start, r.created))
+                client = {r.client} if r.client else set()
+                for i in sorted({i for k in keys for i in by_key.get(k, ())}):
+                    s = alive[i]
+                    near = s["start"] is None or start is None or abs(s["start"] - start) <= width
+                    if near and keys & (s["people"] | s["client"]):
+                        if created is not None and s["created"] is not None and created < s["created"]:
+                            s |= {"start": start, "created": created, "client": client}
+                        s["people"] |= people
+                        s["n"] += 1
+                        out.append((r.source, r.row, s["row"], s["n"]))
+                        break
+                else:
+                    i = len(alive)
+                    alive.append({"row": r.row, "start": start, "created": created, "people": people, "client": client, "n": 0})
+                    out.append((r.source, r.row, r.row, 0))
+                for k in people | client:
+                    by_key.setdefault(k, set()).add(i)
+            yield pd.DataFrame(out, columns=["source", "source_id", "survivor", "place"])
 
     return run
 
 
 def _grouped(events: DataFrame) -> DataFrame:
-    convener = F.lower(F.regexp_replace("organizer", r"^\s+|\s+$", ""))
+    convener = F.lower(parse.trimmed(F.col("organizer")))
     return events.withColumn("_convener", F.when(~F.col("is_recurring") & F.col("event_date").isNotNull(), F.nullif(convener, F.lit(""))))
 
 
-def group_sizes(events: DataFrame, warn_rows: int = 10_000) -> DataFrame:
-    """Groups of more than ``warn_rows`` rows, which one task handles each."""
-    groups = _grouped(events).filter("_convener IS NOT NULL").groupBy("source", "event_date", "_convener")
-    return groups.agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > warn_rows).withColumnRenamed("_convener", "convener")
-
-
 def survivors(events: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
-    """(source, source_id, survivor, place) for the rows of groups of two and more."""
-    grouped = _grouped(events).filter("_convener IS NOT NULL").withColumn("_keys", client_keys(config))
-    # A row that shares no party with another of its group can join none, so only the others go to the helper.
+    """(source, source_id, survivor, place) for the rows that share a party with another of their group."""
     own = ["source", "event_date", "_convener"]
-    told = grouped.select(*own, "source_id", F.explode("_keys").alias("_party"))
-    shared = told.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*own, "_party"))).filter("_n > 1").select(*own, "source_id").distinct()
     listed = F.transform(F.filter("participants", lambda p: ~p["is_organizer"] & ~F.coalesce(F.lower(p["domain"]) == config.internal_domain.lower(), F.lit(False))), lambda p: F.lower(F.coalesce(p["email"], p["display"])))
-    slim = grouped.join(shared, [*own, "source_id"], "left_semi").select(
-        *own, F.col("source_id").alias("row"), "ordinal", F.unix_micros(F.col("start").cast("timestamp")).alias("start"),
-        F.unix_micros(F.col("created").cast("timestamp")).alias("created"), F.col("_keys").alias("keys"), listed.alias("people"), F.lower("client_name").alias("client"),
+    grouped = _grouped(events).filter("_convener IS NOT NULL").select(
+        *own, "source_id", "ordinal", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), F.unix_micros(F.col("created").cast("timestamp")).alias("created"),
+        client_keys(config).alias("keys"), listed.alias("people"), F.lower("client_name").alias("client"), F.xxhash64("source", "source_id").alias("node"),
     )
-    placed = slim.groupBy("source", "event_date", "_convener").applyInPandas(
-        _with_source(_first_fit(config.dedupe_minutes)), "source string, row string, survivor string, place long"
-    )
-    return placed.withColumnRenamed("row", "source_id")
-
-
-def _with_source(solve):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return solve(pdf).assign(source=pdf["source"].iloc[0])[["source", "row", "survivor", "place"]]
-
-    return run
+    grouped = store(grouped, "convened")
+    # Nodes are rows, and parties of a group; a hash that two of them share only puts components together.
+    told = grouped.select("node", F.explode("keys").alias("_key"), *own).select("node", F.xxhash64(F.lit("party"), *own, "_key").alias("party"))
+    met = told.groupBy("party").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("party")
+    found = components(told.join(met, "party"), "node", "party")
+    placed = grouped.join(found, "node").select("component", *own[:2], F.col("_convener").alias("convener"), F.col("source_id").alias("row"), "ordinal", "start", "created", "keys", "people", "client")
+    order = ["component", "source", "event_date", "convener", "ordinal", "row"]
+    return placed.repartition("component").sortWithinPartitions(*order).mapInPandas(_first_fit(config.dedupe_minutes), "source string, source_id string, survivor string, place long")
 
 
 #: Fields that come from the record created first.
@@ -117,7 +115,7 @@ def collapse(events: DataFrame, config: ReconcileConfig = ReconcileConfig()) ->
         *firsts, F.sort_array(F.collect_list(record)).alias("_all"), F.max(F.col("_lead")).alias("_lead"), F.min("ordinal").alias("ordinal")
     )
     everyone = F.flatten(F.col("_all.participants"))
-    who = F.transform("_everyone", lambda p: F.lower(F.regexp_replace(F.coalesce(p["email"], p["display"]), r"^\s+|\s+$", "")))
+    who = F.transform("_everyone", lambda p: F.lower(parse.trimmed(F.coalesce(p["email"], p["display"]))))
     what = F.transform("_flags", lambda f: F.struct(f["code"], f["field"], f["raw_value"]))
     ids = F.array_distinct(F.col("_all.source_id"))
     collapsed = parse.flag(F.when(F.size("_all") > 1, "DUPLICATE_COLLAPSED"), "event_id", F.array_join(F.slice("source_ids", 1, 2), ", "), "DUPLICATE_COLLAPSED")

@@ -3,34 +3,15 @@
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import ReconcileConfig
 from . import signals
-
-
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the folder named in ``spark.checkpoint.dir`` and read back: lineage ends in a table that outlives executors."""
-    spark: SparkSession = df.sparkSession
-    path = f"{shared_folder(spark)}/concord-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only on a single machine one is chosen where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = f"/tmp/concord-shared-{uuid.uuid4().hex[:8]}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from .stored import store
 
 
 def _met(own: DataFrame, near: DataFrame, keys: list[str], salt: int) -> DataFrame:
@@ -111,10 +92,22 @@ def pruned(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Reconc
     return reduce(DataFrame.unionByName, [x.select(*columns) for x in (by_time, by_party, *by_firm, *untimed)])
 
 
-def scored(pairs: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
-    """c_id, k_id, the signals ``s_*``, ``score`` and ``confidence`` of every pair."""
-    with_signals = signals.with_shared(pairs).select("c_id", "k_id", *[c.alias(f"s_{n}") for n, c in signals.signals(config).items()])
-    return with_signals.withColumn("score", signals.total(config)).withColumn("confidence", signals.confidence(F.col("score"), config))
+def scored(pairs: DataFrame, config: ReconcileConfig = ReconcileConfig(), floor: float | None = None) -> DataFrame:
+    """c_id, k_id, the signals ``s_*``, ``score`` and ``confidence`` of every pair, or of those that reach ``floor``.
+
+    Signals are taken one by one, the cheap ones first; with a floor, a pair goes
+    as soon as it could not reach it with all the others at their best.
+    """
+    made, done = signals.signals(config), []
+    out = pairs
+    for name in sorted(made, key=lambda n: n == "title"):
+        out = (signals.with_shared(out) if name == "title" else out).withColumn(f"s_{name}", made[name])
+        done.append(name)
+        if floor is not None and len(done) < len(made):
+            best = sum((F.lit(config.weights[n]) * F.col(f"s_{n}") for n in done), F.lit(sum(w for n, w in config.weights.items() if n not in done) + 1e-9))
+            out = out.filter(best >= floor)
+    out = out.select("c_id", "k_id", *[f"s_{n}" for n in made]).withColumn("score", signals.total(config)).withColumn("confidence", signals.confidence(F.col("score"), config))
+    return out if floor is None else out.filter(F.col("score") >= floor)
 
 
 def features(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +120,7 @@ def candidates(events: DataFrame, config: ReconcileConfig = ReconcileConfig(), p
     """Scored pairs of (collapsed or plain) events at or above the floor; ``read`` are their features, if at hand."""
     crm, calendar = read or features(events)
     pairs = pruned(crm, calendar, config) if prune else blocked(crm, calendar, config)
-    return scored(pairs, config).filter(F.col("score") >= config.candidate_floor)
+    return scored(pairs, config, config.candidate_floor)
 
 
 def explained(pairs: DataFrame, read: tuple[DataFrame, DataFrame], config: ReconcileConfig = ReconcileConfig()) -> DataFrame:

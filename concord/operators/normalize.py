@@ -22,19 +22,16 @@ def _person(email: Column, display: Column, organizer: Column, raw: Column) -> C
 def normalize_crm(crm: DataFrame, config: ReconcileConfig = ReconcileConfig(), ordinal: str = "crm_id") -> DataFrame:
     """CRM rows as events. ``ordinal`` names the column that stands for input order."""
     c = F.col
-    day, day_code = parse.parse_date(c("meeting_date"))
-    seconds, time_code = parse.parse_time(c("meeting_time"))
     status, status_code = parse.parse_status(c("status"))
     texts = {"_title": "subject", "_text": "notes", "_place": "location", "_owner": "relationship_owner", "_client": "client_name", "_company": "client_company", "_kind": "meeting_type"}
+    read = parse.with_time(parse.with_date(parse.with_timestamp(crm, "created_at", "_created", config.timezone), "meeting_date", "_day"), "meeting_time", "_seconds")
     # In steps of columns, so that no expression is computed more than once.
-    read = parse.with_timestamp(crm, "created_at", "_created", config.timezone).withColumns(
-        {"_day": day, "_day_code": day_code, "_seconds": seconds, "_time_code": time_code, "_status": status, "_status_code": status_code} | {k: parse.clean(c(v)) for k, v in texts.items()}
-    )
+    read = read.withColumns({"_status": status, "_status_code": status_code} | {k: parse.clean(c(v)) for k, v in texts.items()})
     gap = F.when(c("_client").isNull() & (c("_kind") == "Internal"), "INTERNAL_NO_CLIENT").when(F.lower("_client").isin(*PLACEHOLDER_CLIENTS), "PLACEHOLDER_CLIENT")
     read = read.withColumns({"_start": parse.combine(c("_day"), c("_seconds")), "_gap_code": gap})
     read = read.withColumn("_zone_code", F.when(c("_start").isNotNull(), "TIMEZONE_ASSUMED"))
     flags = F.array_compact(F.array(
-        parse.flag(c("_day_code"), "meeting_date", c("meeting_date"), "MALFORMED_DATE", "UNPARSABLE_DATE"), parse.flag(c("_time_code"), "meeting_time", c("meeting_time"), "TIME_MISSING"),
+        parse.flag(c("_day_code"), "meeting_date", c("meeting_date"), "MALFORMED_DATE", "UNPARSABLE_DATE"), parse.flag(c("_seconds_code"), "meeting_time", c("meeting_time"), "TIME_MISSING"),
         parse.flag(c("_zone_code"), "meeting_time", c("meeting_time"), "TIMEZONE_ASSUMED"), parse.flag(c("_status_code"), "status", c("status"), "UNKNOWN_STATUS"),
         parse.flag(c("_gap_code"), "client_name", F.when(c("_client").isNotNull(), c("client_name")), "INTERNAL_NO_CLIENT", "PLACEHOLDER_CLIENT"),
     ))
@@ -51,16 +48,6 @@ def normalize_crm(crm: DataFrame, config: ReconcileConfig = ReconcileConfig(), o
     })
 
 
-def _read_attendees() -> Column:
-    """Each attendee as (raw, email, key, code), in order."""
-
-    def read(raw: Column) -> Column:
-        email, code = parse.repair_email(raw)
-        return F.struct(raw.alias("raw"), email.alias("email"), F.coalesce(email, F.lower(F.regexp_replace(raw, r"^\s+|\s+$", ""))).alias("key"), code.alias("code"))
-
-    return F.transform(F.coalesce(F.col("attendees"), F.array().cast("array<string>")), lambda a: read(F.coalesce(a, F.lit("None"))))
-
-
 def _people() -> Column:
     """Attendees of ``_read``, each address or label once, and ``_organizer`` last if not among them (``_keys``)."""
     low = F.lower("_organizer")
@@ -77,7 +64,7 @@ def normalize_calendar(calendar: DataFrame, config: ReconcileConfig = ReconcileC
     read = calendar
     for raw, name in (("start_time", "_start"), ("end_time", "_end"), ("created_at", "_created")):
         read = parse.with_timestamp(read, raw, name, config.timezone)
-    read = read.withColumns({"_status": status, "_status_code": status_code, "_organizer": parse.clean(c("organizer")), "_read": _read_attendees()})
+    read = read.withColumns({"_status": status, "_status_code": status_code, "_organizer": parse.clean(c("organizer")), "_read": parse.read_emails(F.transform(F.coalesce(c("attendees"), F.array().cast("array<string>")), lambda a: F.coalesce(a, F.lit("None"))))})
     assumed = lambda name: F.coalesce(c(name) == "TIMEZONE_ASSUMED", F.lit(False))
     shape = lambda name: F.when(c(name) != "TIMEZONE_ASSUMED", c(name))
     read = read.withColumns({

@@ -79,7 +79,7 @@ CALENDAR_SQL = " UNION ALL ".join([
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The tables; orders, on whose rows all the work is done, are dealt by key, as a small file may be one split."""
     read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
-    return read | {"orders": read["orders"].repartition("o_orderkey")}
+    return read | {"orders": read["orders"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")}
 
 
 def crm_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from ..config import ReconcileConfig
 from ..functions import parse
 from ..functions import text as tx
-from ..operators import dedupe, filters, match, normalize, reports, signals
-from ..sources import snapshots
+from ..operators import checks, dedupe, filters, match, normalize, reports, signals
+from ..operators.stored import shared_folder
+from ..sources import feeds, snapshots
 from . import derive, pipeline
 from .oracle import ORACLE_SQL  # noqa: F401  registered beside QUERIES
 
@@ -19,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = ReconcileConfig()
 _runs: dict[tuple[str, str], pipeline.Reconciled] = {}
 _events: dict[tuple[str, str], DataFrame] = {}
+_found: dict[tuple[str, str], DataFrame] = {}
+_published: dict[tuple[str, str], str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -42,6 +47,24 @@ def run_of(spark: SparkSession, sf_dir: str) -> pipeline.Reconciled:
     return _runs[key]
 
 
+def plain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the plain (not collapsed) events by the pruned join; made once in a session and stored."""
+    key = _key(spark, sf_dir)
+    if key not in _found:
+        _found[key] = match.store(match.candidates(events_of(spark, sf_dir), CONFIG, prune=True), "plain-candidates")
+    return _found[key]
+
+
+def snapshot_of(spark: SparkSession, sf_dir: str) -> str:
+    """The folder where the run's meetings have been published; once in a session."""
+    key = _key(spark, sf_dir)
+    if key not in _published:
+        run, root = run_of(spark, sf_dir), f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+        snapshots.publish(run.meetings, pipeline.summary(run), root)
+        _published[key] = root
+    return _published[key]
+
+
 def _stamp(c: str):
     return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss")
 
@@ -110,8 +133,7 @@ def candidate_pairs(spark, sf_dir):
 
 def candidate_pairs_pruned(spark, sf_dir):
     """The same pairs by the pruned join."""
-    found = match.candidates(events_of(spark, sf_dir), CONFIG, prune=True)
-    return found.select("c_id", "k_id", F.round("score", 6).alias("score"))
+    return plain_candidates(spark, sf_dir).select("c_id", "k_id", F.round("score", 6).alias("score"))
 
 
 def signal_contributions(spark, sf_dir):
@@ -120,8 +142,14 @@ def signal_contributions(spark, sf_dir):
     return rows.select("c_id", "k_id", F.col("s.name").alias("signal"), F.round("s.contribution", 6).alias("contribution"))
 
 
+def match_details(spark, sf_dir):
+    """What the score of each signal of each matched pair rests on."""
+    rows = run_of(spark, sf_dir).meetings.filter("origin = 'both'").select("id", F.explode("match_evidence.signals").alias("s"))
+    return rows.select("id", F.col("s.name").alias("signal"), F.col("s.detail").alias("detail"))
+
+
 def _plain_pairs(spark, sf_dir):
-    return match.assign(match.candidates(events_of(spark, sf_dir), CONFIG, prune=True))
+    return match.assign(plain_candidates(spark, sf_dir))
 
 
 def assignment(spark, sf_dir):
@@ -204,12 +232,71 @@ def filtered_list(spark, sf_dir):
     return filters.apply_filters(run_of(spark, sf_dir).meetings, **wanted).select("id", F.col("owner_name.value").alias("owner"))
 
 
+def merged_values(spark, sf_dir):
+    """The seven fields without rules of their own."""
+    m = run_of(spark, sf_dir).meetings
+    told = lambda f, v: [v.alias(f), F.col(f"{f}.source").alias(f"{f}_source"), F.col(f"{f}.conflict_kind").alias(f"{f}_kind"), F.size(f"{f}.alternatives").alias(f"{f}_others")]
+    people = F.array_join(F.transform("participants.value", lambda p: p["display"]), ",")
+    plain = [c for f in ("title", "client_name", "client_company", "meeting_type", "notes") for c in told(f, F.col(f"{f}.value"))]
+    return m.select("id", *plain, *told("end_time", _stamp("end_time.value")), *told("participants", people))
+
+
 def published_list(spark, sf_dir):
-    """S4, S5, Q-7: publish, then read the current snapshot back."""
+    """Publish, then read the current snapshot back."""
+    return snapshots.read_meetings(spark, snapshot_of(spark, sf_dir)).select("id", "origin")
+
+
+def published_period(spark, sf_dir):
+    """S5, Q-3: a period of the current snapshot, read from its months alone."""
+    first, last = dt.date(1995, 1, 15), dt.date(1995, 3, 20)
+    return snapshots.read_meetings(spark, snapshot_of(spark, sf_dir), first, last).select("id", F.col("event_date").cast("string").alias("event_date"))
+
+
+def published_summary(spark, sf_dir):
+    """The summary of the current snapshot."""
+    return snapshots.read_summary(spark, snapshot_of(spark, sf_dir)).select("metric", "key", "count")
+
+
+def meeting_detail(spark, sf_dir):
+    """Q-7: one meeting by its id, with its raw records: the last of those that both sources hold."""
+    root = snapshot_of(spark, sf_dir)
+    wanted = snapshots.read_meetings(spark, root).filter("origin = 'both'").agg(F.max("id").alias("id")).first()["id"]
+    shown = snapshots.read_meeting(spark, root, wanted or "")
+    return shown.select("id", "origin", F.col("title.value").alias("title"), F.size("raw_crm").alias("n_crm"), F.size("raw_calendar").alias("n_calendar"), F.get_json_object(F.col("raw_crm")[0], "$.notes").alias("raw_notes"))
+
+
+def sources(spark, sf_dir):
+    """Both feeds written as JSON Lines, JSON arrays and Parquet, read back and normalized."""
+    root, out = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}", None
+    for name, feed, read, shape in (
+        ("crm", derive.crm_feed(spark, sf_dir), feeds.read_crm, normalize.normalize_crm), ("calendar", derive.calendar_feed(spark, sf_dir), feeds.read_calendar, normalize.normalize_calendar),
+    ):
+        feed = match.store(feed, f"{name}-feed")
+        feed.select("raw").write.text(f"{root}/{name}-lines")
+        feed.drop("raw").write.parquet(f"{root}/{name}-parquet")
+        feeds.write_json_arrays(feed, f"{root}/{name}-array")
+        for kind in ("lines", "array", "parquet"):
+            e = shape(read(spark, f"{root}/{name}-{kind}", kind), CONFIG)
+            told = e.select(F.lit(kind).alias("kind"), "source", "source_id", F.size("participants").alias("n_participants"), F.size("flags").alias("n_flags"), F.length(F.get_json_object("raw", "$.location")).alias("raw_location_chars"))
+            out = told if out is None else out.unionByName(told)
+    return out
+
+
+def broken_integrity(spark, sf_dir):
+    """C1-C6 over meetings that are broken on purpose: all of one year."""
     run = run_of(spark, sf_dir)
-    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/snapshots-{abs(hash(_key(spark, sf_dir)))}"
-    snapshots.publish(run.meetings, pipeline.summary(run), root)
-    return snapshots.read_meetings(spark, root).select("id", "origin")
+    hit = F.coalesce(F.year("event_date") == 1995, F.lit(False))
+    m, e = run.meetings, run.events
+    flipped = F.col("start_time").withField("conflict", ~F.col("start_time.conflict"))
+    broken = {
+        "origin": checks.wrong_origin(m.withColumn("origin", F.when(hit, "crm_only").otherwise(F.col("origin")))),
+        "score": checks.wrong_score(m.withColumn("match_evidence", F.when(hit, F.col("match_evidence").withField("score", F.col("match_evidence.score") / 2)).otherwise(F.col("match_evidence")))),
+        "conflict": checks.wrong_conflict(m.withColumn("start_time", F.when(hit, flipped).otherwise(F.col("start_time")))),
+        "date": checks.wrong_date(m.withColumn("event_date", F.when(hit, F.date_add("event_date", 1)).otherwise(F.col("event_date")))),
+        "event_date": checks.wrong_date(e.withColumn("event_date", F.when(hit, F.date_add("event_date", 1)).otherwise(F.col("event_date"))), "source_id"),
+        "ids": checks.repeated_ids(m.unionAll(m.filter(hit))), "conservation": checks.lost_or_repeated(e, m.filter(~hit)),
+    }
+    return checks.counted(broken)
 
 
 def integrity(spark, sf_dir):
@@ -223,5 +310,6 @@ QUERIES: dict[str, Query] = {
         crm_normalized, calendar_normalized, flags_by_code, flags_by_severity, records_in, status_vocabulary, gap_census, text_functions, candidate_pairs,
         candidate_pairs_pruned, signal_contributions, assignment, unmatched_records, duplicates, collapsed, duplicate_count, merged_fields, meeting_states,
         run_summary, conflict_kinds, conflict_fields, flag_report, conflict_report, conflict_keys, chronological, filtered_list, published_list, integrity,
+        match_details, merged_values, published_period, published_summary, meeting_detail, sources, broken_integrity,
     )
 }

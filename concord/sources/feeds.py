@@ -28,6 +28,13 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("raw")).filter("trim(raw) <> ''")
 
 
+def write_json_arrays(feed: DataFrame, path: str, rows: int = 10_000) -> None:
+    """The ``raw`` records of a feed as JSON arrays, a file for about ``rows`` of them."""
+    cells = max(1, -(-feed.count() // rows))
+    arrays = feed.groupBy(F.pmod(F.xxhash64("raw"), F.lit(cells)).alias("_cell")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns and ``raw``, which also keeps unknown keys."""
     return raw.select(F.from_json("raw", schema).alias("_r"), "raw").select("_r.*", "raw")

@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import chronological
+from ..operators.filters import between, chronological
 
 
 def publish(meetings: DataFrame, summary: DataFrame, root: str, run_id: str | None = None) -> str:
     """Write a run below ``root`` and make it the current one as the last step.
 
-    Meetings lie in order and are partitioned by month, so date filters prune.
+    Meetings lie in order and are partitioned by month; :func:`read_meetings` reads the months of a period alone.
     A run that fails before the end leaves the manifest, and so the readers, as
     they were. Manifests are small tables of their own; the latest complete one counts.
     """
@@ -35,9 +35,16 @@ def current_run(spark: SparkSession, root: str) -> str:
     return latest["run"]
 
 
-def read_meetings(spark: SparkSession, root: str) -> DataFrame:
-    """The current meetings, in order."""
-    return spark.read.parquet(f"{root}/run_id={current_run(spark, root)}/meetings").orderBy(*chronological())
+def read_meetings(spark: SparkSession, root: str, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """The current meetings, in order; with ``first`` or ``last`` (inclusive) those of the period, without reading other months."""
+    found = spark.read.parquet(f"{root}/run_id={current_run(spark, root)}/meetings").withColumn("month", F.col("month").cast("string"))
+    if first is not None:
+        found = found.filter(F.col("month") >= first.strftime("%Y-%m"))
+    if last is not None:
+        found = found.filter(F.col("month") <= last.strftime("%Y-%m"))
+    if first is not None or last is not None:
+        found = found.filter(between(first, last))
+    return found.orderBy(*chronological())
 
 
 def read_meeting(spark: SparkSession, root: str, meeting_id: str) -> DataFrame:

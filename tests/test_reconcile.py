@@ -53,11 +53,9 @@ def test_dates_and_times(spark):
         " 3/5/2025\t": (dt.date(2025, 3, 5), "MALFORMED_DATE"), "not a date": (None, "UNPARSABLE_DATE"), "2025-13-45": (None, "UNPARSABLE_DATE"),
         "": (None, "UNPARSABLE_DATE"), None: (None, "UNPARSABLE_DATE"), "03-15-2025-extra": (None, "UNPARSABLE_DATE"),
     }
-    value, code = parse.parse_date(F.col("x"))
-    got = spark.createDataFrame([(k,) for k in cases], "x string").select(value, code).collect()
+    got = parse.with_date(spark.createDataFrame([(k,) for k in cases], "x string"), "x", "d").select("d", "d_code").collect()
     assert [tuple(r) for r in got] == list(cases.values())
-    value, code = parse.parse_time(F.col("x"))
-    got = spark.createDataFrame([("14:00",), ("9:05:07",), ("25:00",), ("noon",), (None,)], "x string").select(value, code).collect()
+    got = parse.with_time(spark.createDataFrame([("14:00",), ("9:05:07",), ("25:00",), ("noon",), (None,)], "x string"), "x", "t").select("t", "t_code").collect()
     assert [tuple(r) for r in got] == [(50400, None), (32707, None), (None, "TIME_MISSING"), (None, "TIME_MISSING"), (None, "TIME_MISSING")]
 
 
@@ -77,7 +75,8 @@ def test_timestamps(spark, raw, value, code):
 
 def test_mail_and_status(spark):
     df = spark.createDataFrame([("A.B[at]x[dot]com",), (" Me@X.com ",), ("external-guests",), (None,)], "x string")
-    assert [tuple(r) for r in df.select(*parse.repair_email(F.col("x"))).collect()] == [("a.b@x.com", "MALFORMED_EMAIL"), ("me@x.com", None), (None, "NON_EMAIL_ATTENDEE"), (None, "NON_EMAIL_ATTENDEE")]
+    got = df.select(F.explode(parse.read_emails(F.array("x"))).alias("m")).select("m.email", "m.code").collect()
+    assert [tuple(r) for r in got] == [("a.b@x.com", "MALFORMED_EMAIL"), ("me@x.com", None), (None, "NON_EMAIL_ATTENDEE"), (None, "NON_EMAIL_ATTENDEE")]
     df = spark.createDataFrame([("Canceled",), ("confirmed",), ("moved",), (None,)], "x string")
     assert [r[0] for r in df.select(parse.parse_status(F.col("x"))[0]).collect()] == ["cancelled", "confirmed", "unknown", "unknown"]
 
