@@ -180,6 +180,46 @@ joint AS (
 """
 _WHOLE = f"{_BASE}, {_COLLAPSED}, {_PAIRS.replace('FROM cal_people', 'FROM cal_c').replace('FROM crm_n', 'FROM crm_c')}, {_greedy()}, {_MEETINGS}"
 
+_TO_PAIRS = f"{_BASE}, {_COLLAPSED}, {_PAIRS.replace('FROM cal_people', 'FROM cal_c').replace('FROM crm_n', 'FROM crm_c')}, {_greedy()}"
+_display = "array_to_string(list_transform(once, lambda p: coalesce(p.email, p.raw)), ',')"
+# Both sides of every meeting: those of a pair, or one of them.
+_SIDES = f"""
+sides AS (
+  SELECT lower(replace(c.ids || ',' || k.ids, ',', '-')) AS id, c.crm_id, k.event_id, subject, title, client, client_company, meeting_type, nullif(c.notes, '') AS cn, k.description AS kn, k.end_at, c.relationship_owner AS owner, {_display} AS listed
+  FROM pairs p JOIN crm_c c ON c.crm_id = p.c_id JOIN cal_c k ON k.event_id = p.k_id
+  UNION ALL SELECT lower(replace(ids, ',', '-')), crm_id, NULL, subject, NULL, client, client_company, meeting_type, nullif(notes, ''), NULL, NULL, relationship_owner, NULL FROM crm_c WHERE crm_id NOT IN (SELECT c_id FROM pairs)
+  UNION ALL SELECT lower(replace(ids, ',', '-')), NULL, event_id, NULL, title, NULL, NULL, NULL, NULL, description, end_at, NULL, {_display} FROM cal_c WHERE event_id NOT IN (SELECT k_id FROM pairs)
+)
+"""
+
+
+def _preferred(name: str, first: str, first_source: str, second: str, second_source: str) -> str:
+    """Value, source, kind and number of alternatives of a field that prefers one source. An absence counts in pairs alone."""
+    both = "crm_id IS NOT NULL AND event_id IS NOT NULL"
+    return f"""coalesce({first}, {second}) AS {name}, CASE WHEN {first} IS NOT NULL THEN '{first_source}' WHEN {second} IS NOT NULL THEN '{second_source}' END AS {name}_source,
+  CASE WHEN {both} AND {first} IS NULL AND {second} IS NOT NULL THEN 'absence' END AS {name}_kind,
+  CASE WHEN {both} AND {second} IS NOT NULL AND {first} IS DISTINCT FROM {second} THEN 1 ELSE 0 END AS {name}_others"""
+
+
+_people_crm = "(owner || coalesce(',' || client, ''))"
+_end = "strftime(end_at, '%Y-%m-%d %H:%M:%S')"
+_none = "CAST(NULL AS STRING)"
+_DETAILS = f"""
+told AS (
+  SELECT lower(replace(c.ids || ',' || k.ids, ',', '-')) AS id,
+    concat_ws(', ', CASE p_owner WHEN 1.0 THEN 'owner organised it' WHEN 0.7 THEN 'owner attended' WHEN 0.0 THEN 'owner absent' END, CASE p_client WHEN 1.0 THEN 'client found' WHEN 0.0 THEN 'client absent' END,
+      CASE p_company WHEN 1.0 THEN 'company = domain' WHEN 0.0 THEN 'company ≠ domain' END) AS participants,
+    CASE WHEN c_start IS NULL OR k_start IS NULL THEN 'one side has no time of day' WHEN abs(epoch(c_start) - epoch(k_start)) >= 14400 THEN printf('%.1f', abs(epoch(c_start) - epoch(k_start)) / 3600) || 'h apart'
+      WHEN c_start = k_start THEN 'same start time' ELSE printf('%.0f', abs(epoch(c_start) - epoch(k_start)) / 60) || ' min apart' END AS time,
+    CASE WHEN len(cw.content) = 0 OR len(kw.content) = 0 THEN 'no comparable text' WHEN len(list_intersect(cw.content, kw.content)) > 0 THEN 'shared: ' || array_to_string(list_sort(list_intersect(cw.content, kw.content)), ', ')
+      WHEN len(list_intersect(cw.acronyms, kw.words)) > 0 OR len(list_intersect(kw.acronyms, cw.words)) > 0 THEN 'acronym match' ELSE 'no shared terms' END AS title,
+    CASE WHEN cw.place IS NULL OR kw.place IS NULL THEN 'location unknown on one side' WHEN cw.place = kw.place THEN 'same location' WHEN contains(cw.place, kw.place) OR contains(kw.place, cw.place) THEN 'one location contains the other'
+      WHEN len(list_intersect(cw.place_words, kw.place_words)) > 0 THEN 'locations share ' || array_to_string(list_sort(list_distinct(list_intersect(cw.place_words, kw.place_words))), ', ') ELSE 'locations differ' END
+    || '; ' || CASE WHEN kw.place IS NULL THEN 'modality unknown' WHEN (lower(cw.meeting_type) = 'virtual') = kw.virtual THEN 'modality agrees' ELSE cw.meeting_type || ' vs ' || CASE WHEN kw.virtual THEN 'virtual' ELSE 'physical' END || ' location' END AS structure
+  FROM pairs JOIN p USING (c_id, k_id) JOIN cw USING (c_id) JOIN kw USING (k_id) JOIN crm_c c ON c.crm_id = c_id JOIN cal_c k ON k.event_id = k_id
+)
+"""
+
 _CODES = ", ".join(f"('{c}', '{s}')" for c, (s, _) in FLAG_CODES.items())
 
 
@@ -189,7 +229,8 @@ def _census(source: str, raw: str, fields: tuple[str, ...]) -> str:
 
 _title = "c_mktsegment || ' LP Advisory Committee for the ' || c_name"
 
-_SOURCE_KEYS = "('start_time', 'crm', 'meeting_date'), ('start_time', 'crm', 'meeting_time'), ('start_time', 'calendar', 'start_time'), ('location', 'crm', 'location'), ('location', 'calendar', 'location'), ('status', 'crm', 'status'), ('status', 'calendar', 'status')"
+# Field -> raw keys, for every field that two sources can have.
+_SOURCE_KEYS = "('title', 'crm', 'subject'), ('title', 'calendar', 'title'), ('end_time', 'calendar', 'end_time'), ('participants', 'crm', 'client_name'), ('participants', 'calendar', 'attendees'), ('participants', 'calendar', 'organizer'), ('client_name', 'crm', 'client_name'), ('client_company', 'crm', 'client_company'), ('owner_name', 'crm', 'relationship_owner'), ('owner_name', 'calendar', 'organizer'), ('meeting_type', 'crm', 'meeting_type'), ('notes', 'crm', 'notes'), ('notes', 'calendar', 'description'), ('start_time', 'crm', 'meeting_date'), ('start_time', 'crm', 'meeting_time'), ('start_time', 'calendar', 'start_time'), ('location', 'crm', 'location'), ('location', 'calendar', 'location'), ('status', 'crm', 'status'), ('status', 'calendar', 'status')"
 
 ORACLE_SQL: dict[str, str] = {
     "rec_crm_normalized": f"""WITH {_BASE}
@@ -237,7 +278,7 @@ SELECT id, origin, strftime(st_value, '%Y-%m-%d %H:%M:%S') AS start_time, st_sou
     "rec_filtered_list": f"""WITH {_WHOLE}
 SELECT id, owner FROM meetings WHERE origin = 'both' AND (owner = 'Priya Sharma' OR organizer = 'priya.sharma@firma.com') AND event_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'
   AND id IN (SELECT id FROM kinds WHERE kind = 'contradiction')""",
-    "rec_signal_contributions": f"""WITH {_WHOLE}
+    "rec_signal_contributions": f"""WITH {_TO_PAIRS}
 SELECT c_id, k_id, unnest(['participants', 'time', 'title', 'structure']) AS signal,
   unnest([round(0.4::DOUBLE * participants, 6), round(0.3::DOUBLE * time, 6), round(0.2::DOUBLE * title, 6), round(0.1::DOUBLE * structure, 6)]) AS contribution
 FROM found SEMI JOIN pairs USING (c_id, k_id)""",
@@ -250,6 +291,24 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY event_date NU
 SELECT code, v.severity, n.n::BIGINT AS n_flags, m.n AS n_meetings, m.ids AS first_ids, greatest(m.n - 6, 0) AS more
 FROM (SELECT code, sum(n) AS n FROM meeting_flags GROUP BY code) n
 JOIN (SELECT code, count(*) AS n, string_agg(id, ',' ORDER BY r) FILTER (WHERE r <= 6) AS ids FROM placed GROUP BY code) m USING (code) JOIN (VALUES {_CODES}) v(code, severity) USING (code)""",
+    "rec_match_details": f"""WITH {_TO_PAIRS}, {_DETAILS}
+SELECT id, unnest(['participants', 'time', 'title', 'structure']) AS signal, unnest([participants, time, title, structure]) AS detail FROM told""",
+    "rec_merged_values": f"""WITH {_TO_PAIRS}, {_SIDES}
+SELECT id, {_preferred("title", "subject", "crm", "title", "calendar")}, {_preferred("client_name", "client", "crm", _none, "calendar")}, {_preferred("client_company", "client_company", "crm", _none, "calendar")},
+  {_preferred("meeting_type", "meeting_type", "crm", _none, "calendar")}, {_preferred("notes", "cn", "crm", "kn", "calendar")}, {_preferred("end_time", _end, "calendar", _none, "crm")},
+  {_preferred("participants", "listed", "calendar", _people_crm, "crm")} FROM sides""",
+    "rec_published_period": f"WITH {_WHOLE} SELECT id, CAST(event_date AS STRING) AS event_date FROM meetings WHERE event_date BETWEEN DATE '1995-01-15' AND DATE '1995-03-20'",
+    "rec_meeting_detail": f"""WITH {_TO_PAIRS}, {_SIDES}, last AS (SELECT max(id) AS id FROM sides WHERE crm_id IS NOT NULL AND event_id IS NOT NULL)
+SELECT id, 'both' AS origin, sides.subject AS title, len(string_split(id, 'crm-')) - 1 AS n_crm, len(string_split(id, 'cal-')) - 1 AS n_calendar, crm_c.notes AS raw_notes FROM last JOIN sides USING (id) JOIN crm_c USING (crm_id)""",
+    "rec_sources": f"""WITH {_BASE}
+SELECT kind, source, source_id, n_participants, n_flags, raw_location_chars FROM (VALUES ('lines'), ('array'), ('parquet')) v(kind), (
+  SELECT 'crm' AS source, crm_id AS source_id, CASE WHEN client IS NULL THEN 1 ELSE 2 END AS n_participants, len(flags) AS n_flags, length(location) AS raw_location_chars FROM crm_n JOIN crm_flags ON source_id = crm_id
+  UNION ALL SELECT 'calendar', event_id, len(once), len(flags), length(location) FROM cal_people JOIN cal_flags ON source_id = event_id)""",
+    "rec_broken_integrity": f"""WITH {_WHOLE}, year AS (SELECT * FROM meetings WHERE year(event_date) = 1995)
+SELECT 'origin' AS "check", count(*) FILTER (WHERE origin <> 'crm_only') AS n_violations FROM year
+UNION ALL SELECT 'score', count(*) FROM year WHERE origin = 'both' UNION ALL SELECT 'conflict', count(*) FROM year UNION ALL SELECT 'date', count(*) FROM year WHERE start IS NOT NULL
+UNION ALL SELECT 'event_date', (SELECT count(*) FROM crm_n WHERE year(event_date) = 1995 AND start IS NOT NULL) + (SELECT count(*) FROM cal_people WHERE year(event_date) = 1995)
+UNION ALL SELECT 'ids', count(*) FROM year UNION ALL SELECT 'conservation', coalesce(sum(len(string_split(id, 'crm-')) + len(string_split(id, 'cal-')) - 2), 0)::BIGINT FROM year""",
     "rec_integrity": "SELECT unnest(['origin', 'score', 'conflict', 'date', 'event_date', 'ids', 'conservation']) AS \"check\", 0 AS n_violations",
     "rec_conflict_keys": f"""WITH {_WHOLE}
 SELECT DISTINCT id, source, "key" FROM kinds JOIN (VALUES {_SOURCE_KEYS}) v(field, source, "key") USING (field) WHERE kind = 'contradiction'""",
@@ -264,3 +323,4 @@ UNION ALL SELECT 'conflicts_by_field', field, count(*) FROM kinds WHERE kind = '
 UNION ALL SELECT 'flags_by_code', code, sum(n)::BIGINT FROM meeting_flags GROUP BY code
 UNION ALL SELECT 'flags_by_severity', severity, sum(n)::BIGINT FROM meeting_flags JOIN (VALUES {_CODES}) v(code, severity) USING (code) GROUP BY severity""",
 }
+ORACLE_SQL["rec_published_summary"] = ORACLE_SQL["rec_run_summary"]

@@ -19,17 +19,23 @@ class Reconciled:
     collapsed: DataFrame
     pairs: DataFrame
     meetings: DataFrame
+    #: source, source_id, n: ids that occur more than once, whose rows take no part where they are set aside.
+    set_aside: DataFrame
 
 
-def reconcile(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = ReconcileConfig(), prune: bool = False, check: bool = True) -> Reconciled:
+def reconcile(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = ReconcileConfig(), prune: bool = False, repeated: str = "raise") -> Reconciled:
     """Reconcile two feeds (columns of their schemas, and ``raw``).
 
-    Input ids must be unique in their source, as assignment goes by id; with
-    ``check``, a repeated one raises.
+    Assignment goes by id, so ids must be unique in their source; records
+    without one share the id of unknown records. A repeated id raises, or with
+    ``repeated="aside"`` its rows are left out and told in ``set_aside``.
     """
     events = match.store(normalize.normalize_feeds(crm, calendar, config), "events")
-    if check and (repeated := events.groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()):
-        raise ValueError(f"source id {repeated['source_id']} occurs {repeated['n']} times in {repeated['source']}")
+    twice = match.store(events.groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-ids")
+    if first := twice.first():
+        if repeated == "raise":
+            raise ValueError(f"source id {first['source_id']} occurs {first['n']} times in {first['source']}")
+        events = match.store(events.join(twice, ["source", "source_id"], "left_anti"), "events")
     collapsed = match.store(dedupe.collapse(events, config), "collapsed")
     read = match.features(collapsed)
     found = match.store(match.candidates(collapsed, config, prune, read), "scored")
@@ -37,7 +43,7 @@ def reconcile(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Rec
     meetings = merge.merge_pairs(collapsed, pairs, config)
     for source in ("crm", "calendar"):
         meetings = meetings.unionByName(merge.merge_singles(match.unmatched(collapsed, pairs, source), source))
-    return Reconciled(events, collapsed, pairs, merge.with_derived(match.store(meetings, "meetings")))
+    return Reconciled(events, collapsed, pairs, merge.with_derived(match.store(meetings, "meetings")), twice)
 
 
 def summary(run: Reconciled) -> DataFrame:

@@ -41,7 +41,7 @@ def read_meetings(spark: SparkSession, root: str, first: dt.date | None = None,
     if first is not None:
         found = found.filter(F.col("month") >= first.strftime("%Y-%m"))
     if last is not None:
-        found = found.filter(F.col("month") <= last.strftime("%Y-%m"))
+        found = found.filter(F.col("month") <= last.strftime("%Y-%m-31"))  # read as a date, a month is its first day
     if first is not None or last is not None:
         found = found.filter(between(first, last))
     return found.orderBy(*chronological())

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +273,8 @@ def test_checks_find_what_is_wrong(spark):
     assert checks.lost_or_repeated(done.events, broken.limit(0)).count() == 2
     with pytest.raises(ValueError, match="occurs 2 times"):
         run(spark, [crm_row("c0"), crm_row("c0")], [])
+    done = run(spark, [crm_row("c0"), crm_row("c0"), crm_row("c1"), crm_row(None), crm_row("")], [], repeated="aside")
+    assert [r["id"] for r in done.meetings.collect()] == ["c1"] and {tuple(r) for r in done.set_aside.collect()} == {("crm", "c0", 2), ("crm", "CRM-UNKNOWN", 2)}
 
 
 def test_filters_and_reports(spark):
@@ -314,6 +317,8 @@ def test_sources_and_snapshots(spark, tmp_path):
     done, root = run(spark, [crm_row("c0"), crm_row("c1", meeting_date="2025-05-01")], [cal_row("k0")]), str(tmp_path / "published")
     snapshots.publish(done.meetings, pipeline.summary(done), root)
     assert [r["id"] for r in snapshots.read_meetings(spark, root).collect()] == ["c0-k0", "c1"]
+    later = snapshots.read_meetings(spark, root, dt.date(2025, 4, 1), dt.date(2025, 5, 1))
+    assert [r["id"] for r in later.collect()] == ["c1"] and "month" in re.search(r"PartitionFilters: \[([^]]*)", later._jdf.queryExecution().toString())[1]
     with pytest.raises(Exception):  # noqa: B017
         snapshots.publish(done.meetings.withColumn("id", F.raise_error(F.lit("broken"))), pipeline.summary(done), root)
     assert snapshots.read_meeting(spark, root, "c1").count() == 1 and snapshots.read_summary(spark, root).count() > 5
