@@ -1,10 +1,13 @@
 r"""Chat formatting: layouts told apart by fingerprint, one reversible template.
 
 *Layouts.* The nested field paths of a record, sorted and hashed, are its
-fingerprint. A small table of declarative mappings, each for the records that
-hold its paths, says how to reach canonical turns ``(role, text)``: which paths hold the prompt, the
-instruction, the message list, and so on. Records of a layout that no mapping
-knows keep a null turn list and are reported by fingerprint.
+fingerprint. A small table of declarative mappings, looked up by fingerprint,
+says how to reach canonical turns ``(role, text)``: which paths hold the prompt,
+the instruction, the message list, and so on. A fingerprint that no mapping has
+goes to the widest mapping whose paths it holds, so further fields do no harm.
+Records hold whole conversations (:func:`canonical_turns`) or a turn each
+(:func:`canonical_rows`). Those of a layout that no mapping knows keep nulls and
+are reported by fingerprint (:func:`unmapped`).
 
 *Template.* A turn is ``### <role>: <text></turn>\n``. Inside roles and texts
 every backslash and every ``#`` gets a backslash before it, and so does the
@@ -124,49 +127,101 @@ MAPPINGS: tuple[Mapping, ...] = (
     Mapping("conversations", ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
 )
 
-#: Typed layouts of one turn to a row: paths -> the columns of (conversation, turn, role, text).
-ROW_MAPPINGS: dict[str, tuple[str, str, str, str]] = {
-    fingerprint(["conv_id", "turn", "role", "text"]): ("conv_id", "turn", "role", "text"),
-    fingerprint(["conversation_id", "index", "role", "content"]): ("conversation_id", "index", "role", "content"),
-    fingerprint(["thread", "position", "speaker", "utterance"]): ("thread", "position", "speaker", "utterance"),
-}
+@dataclass(frozen=True)
+class RowMapping:
+    """A layout of one turn a record: the paths of its conversation, turn number, role and text."""
 
+    name: str
+    conv_id: str
+    turn: str
+    role: str
+    text: str
 
-def canonical_turns(records: DataFrame, payload: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Add ``layout`` and ``turns`` to JSON records of mixed layouts.
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return self.conv_id, self.turn, self.role, self.text
 
-    The widest mapping whose paths a record holds is taken (of equally wide
-    ones the first), so further fields do no harm. See :func:`unmapped`.
-    """
-    keyed = records.withColumn("_payload", F.col(payload)).withColumn("_paths", json_paths("_payload"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    @property
+    def key(self) -> str:
+        return fingerprint(list(self.paths))
+
+
+ROW_MAPPINGS: tuple[RowMapping, ...] = (
+    RowMapping("turn", "conv_id", "turn", "role", "text"),
+    RowMapping("content", "conversation_id", "index", "role", "content"),
+    RowMapping("thread", "thread.id", "thread.position", "speaker", "utterance"),
+    RowMapping("message", "meta.conversation", "meta.turn", "message.author.role", "message.content.text"),
+)
+
+
+def _chosen(mappings: tuple) -> list[tuple]:
+    """(mapping, condition over ``_paths`` and ``_print``), each before those that win over it."""
+    known = F.col("_print").isin(*[m.key for m in mappings])
+    found = []
     for m in sorted(reversed(mappings), key=lambda m: len(m.paths)):
-        hit = F.lit(True)
+        held = ~known
         for p in m.paths:
-            hit = hit & F.expr(f"exists(_paths, q -> q = '{p}' OR startswith(q, '{p}.') OR startswith(q, '{p}[]'))")
+            held = held & F.expr(f"exists(_paths, q -> q = '{p}' OR startswith(q, '{p}.') OR startswith(q, '{p}[]'))")
+        found.append((m, held))
+    return found + [(m, F.col("_print") == m.key) for m in mappings]
+
+
+def _printed(records: DataFrame, payload: str) -> DataFrame:
+    keyed = records.withColumn("_payload", F.col(payload)).withColumn("_paths", json_paths("_payload"))
+    return keyed.withColumn("_print", F.substring(F.sha2(F.array_join("_paths", "\n"), 256), 1, 16))
+
+
+def canonical_turns(records: DataFrame, payload: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Add ``layout`` and ``turns`` to JSON records of mixed layouts, each a whole conversation. See :func:`unmapped`."""
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for m, hit in _chosen(mappings):
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
         turns = F.when(hit, F.expr(m.turns).cast(TURNS)).otherwise(turns)
-    return keyed.select(*[c for c in records.columns if c not in ("layout", "turns")], layout.alias("layout"), turns.alias("turns"))
+    return _printed(records, payload).select(*[c for c in records.columns if c not in ("layout", "turns")], layout.alias("layout"), turns.alias("turns"))
+
+
+def canonical_rows(records: DataFrame, payload: str = "payload", mappings: tuple[RowMapping, ...] = ROW_MAPPINGS) -> DataFrame:
+    """``layout``, conv_id, turn, role, text of JSON records of mixed layouts, each one turn; roles and texts as they stand."""
+    layout = F.lit(None).cast("string")
+    for m, hit in _chosen(mappings):
+        layout = F.when(hit, F.lit(m.name)).otherwise(layout)
+    keyed = _printed(records, payload).withColumns({"layout": layout, "_v": F.try_parse_json("_payload")})
+
+    def value(part: str, kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for m in mappings:
+            out = F.when(F.col("layout") == m.name, F.try_variant_get("_v", f"$.{getattr(m, part)}", kind)).otherwise(out)
+        return out.alias(part)
+
+    return keyed.select("layout", value("conv_id", "bigint"), value("turn", "bigint"), value("role", "string"), value("text", "string"))
 
 
-def unmapped(records: DataFrame, payload: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def unmapped(records: DataFrame, payload: str = "payload", mappings: tuple = MAPPINGS) -> DataFrame:
     """fingerprint, paths, n of the records that no mapping knows; null for what is no object."""
-    left = canonical_turns(records.select(F.col(payload).alias("payload")), mappings=mappings).filter("layout IS NULL")
-    return left.select(json_fingerprint("payload").alias("fingerprint"), json_paths("payload").alias("paths")).groupBy("fingerprint", "paths").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.lit(False)
+    for _, one in _chosen(mappings):
+        hit = hit | F.coalesce(one, F.lit(False))
+    left = _printed(records.select(F.col(payload).alias("payload")), "payload").filter(~hit)
+    return left.groupBy(F.col("_print").alias("fingerprint"), F.col("_paths").alias("paths")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def turn_rows(rows: DataFrame) -> DataFrame:
-    """Rows of one turn each, of any known typed layout, as conv_id, turn, role, text.
+def mixed_records(turns: DataFrame) -> DataFrame:
+    """Typed turns (conv_id, turn, role, text) as JSON records, ``payload``, of all row layouts, dealt by conversation; some hold a further field.
 
-    The table's own fingerprint is looked up first; else the first layout whose
-    paths are among the table's is taken, so extra columns do no harm.
+    There are no records of mixed layouts among the given tables, so they follow
+    from the typed rows by arithmetic. Nulls stay fields that hold null.
     """
-    paths = schema_paths(rows.schema)
-    held = [named for named in ROW_MAPPINGS.values() if set(named) <= set(paths)]
-    named = ROW_MAPPINGS.get(fingerprint(paths)) or (held[0] if held else None)
-    if named is None:
-        raise ValueError(f"no mapping for a layout with the paths {paths}")
-    return rows.select(*[F.col(c).alias(a) for c, a in zip(named, ("conv_id", "turn", "role", "text"), strict=True)])
+    conv, turn, role, text = (F.col(c) for c in ("conv_id", "turn", "role", "text"))
+    by_layout = [
+        F.struct(conv.alias("conv_id"), turn.alias("turn"), role.alias("role"), text.alias("text")),
+        F.struct(text.alias("content"), role.alias("role"), turn.alias("index"), conv.alias("conversation_id")),
+        F.struct(F.struct(conv.alias("id"), turn.alias("position")).alias("thread"), role.alias("speaker"), text.alias("utterance"), F.lit("web").alias("origin")),
+        F.struct(F.struct(turn.alias("turn"), conv.alias("conversation")).alias("meta"), F.struct(F.struct(role.alias("role")).alias("author"), F.struct(text.alias("text")).alias("content")).alias("message")),
+    ]
+    kind, payload = F.pmod(F.coalesce(conv, F.lit(0)), F.lit(len(by_layout))), F.lit(None).cast("string")
+    for k, shape in enumerate(by_layout):
+        payload = F.when(kind == k, F.to_json(shape, {"ignoreNullFields": "false"})).otherwise(payload)
+    return turns.select(payload.alias("payload"))
 
 
 # --- template --------------------------------------------------------------

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.stored import store
+
 #: What the contracts call a word: a run of characters other than these six.
 ASCII_SPACE = " \t\n\v\f\r"
 WORDS_SPLIT = r"[\x20\x09-\x0D]+"
@@ -18,28 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, a single
-    machine) a folder is chosen here and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"/tmp/concord-shared-{uuid.uuid4().hex[:8]}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts lineage with a real table that outlives a lost executor. The
-    folder belongs to the cluster, which clears it as it does checkpoints.
-    """
-    path = f"{shared_folder(df.sparkSession)}/concord-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the folder that ``spark.checkpoint.dir`` names and read it back: a table that outlives a lost executor."""
+    return store(df, tag)
 
 
 def words_of(text: Column) -> Column:
@@ -61,25 +42,49 @@ def spread(key: Column, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(11)), n)
 
 
+def join_one_of_each(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """``left`` joined (inner) with ``right``, which has one row for each ``key`` and in ``n`` how many rows of ``left`` bear it.
+
+    Keys on more than one of ``parts`` of the rows are fewer than ``parts``: those
+    are broadcast, so that no task gets all rows of one of them. ``left`` should
+    be a stored table, as it is read twice.
+    """
+    total = right.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(right.filter(F.col("n") * parts > total).drop("n"))  # fewer than ``parts`` rows
+    rare = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") * parts <= total).drop("n"), key)
+    return left.join(hot, key).unionByName(rare)
+
+
+def running_sums(cells: DataFrame, groups: list[str], at: str, value: str, name: str, width: int = 1024) -> DataFrame:
+    """``cells`` (one row for each group and number ``at``) with ``name``: the sum of ``value`` over the group's cells of lower number.
+
+    Taken in two levels, over ``width`` cells and over the sums of these, so that
+    the cells of a group are no task of their own.
+    """
+    cells = cells.withColumn("_block", F.floor(F.col(at) / width))
+    blocks = cells.groupBy(*groups, "_block").agg(F.sum(value).alias("_all"))
+    over = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_all").over(over(groups, "_block")), F.lit(0)))
+    inside = cells.withColumn("_within", F.coalesce(F.sum(value).over(over([*groups, "_block"], at)), F.lit(0)))
+    on = [F.col(f"i.{g}").eqNullSafe(F.col(f"b.{g}")) for g in (*groups, "_block")]
+    kept = [c for c in cells.columns if c != "_block"]
+    return inside.alias("i").join(blocks.alias("b"), on).select(*[f"i.{c}" for c in kept], (F.col("i._within") + F.col("b._ahead")).alias(name))
+
+
 def gapless_slots(df: DataFrame, groups: list[str], order: list[str], cell_rows: int = 512, name: str = "slot") -> DataFrame:
     """Add ``slot``: 0, 1, 2, ... within each group, without a task per group.
 
     Rows are spread over hashed cells of about ``cell_rows`` rows; each cell is
     numbered by itself, and a running sum over the cells' counts (one row per
-    group and cell) gives each cell its offset. So a group that holds a third
-    of all rows is numbered by many tasks. The slot depends on the rows only,
-    not on the partitioning; rows equal in ``order`` are interchangeable.
-    ``df`` should be a stored table, as it is read twice.
+    group and cell, summed in two levels) gives each cell its offset. So a group
+    that holds a third of all rows is numbered by many tasks. The slot depends
+    on the rows only, not on the partitioning; rows equal in ``order`` are
+    interchangeable. ``df`` should be a stored table, as it is read twice.
     """
     cells = max(1, -(-df.count() // cell_rows))
     df = df.withColumn("_cell", spread(F.struct(*order), cells))
     keys = [*groups, "_cell"]
-    ahead = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-        .drop("_n")
-    )
+    offsets = running_sums(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), groups, "_cell", "_n", "_offset").drop("_n")
     inner = Window.partitionBy(*keys).orderBy(*order)
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     numbered = df.withColumn("_inner", F.row_number().over(inner) - 1)

@@ -9,8 +9,8 @@ can use goes up to the ancestor's siblings.
 A leaf then draws whole epochs and a prefix of one more. In each epoch its
 documents stand in an order seeded by leaf and epoch, and the prefix ends with
 the document that reaches the budget. The running token count is taken in two
-steps, inside hashed cells and then over the cells' sums, so a leaf with a
-third of all rows is no task of its own.
+steps, inside cells of the seeded order and then over the cells' sums, these in
+two levels, so a leaf with a third of all rows is no task of its own.
 
 Only the leaves' totals reach the driver: as many rows as there are distinct
 paths in the tree, at most ``max_leaves``, else an error is raised.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, row_key, words_of
+from .common import materialize, row_key, running_sums, words_of
 
 Path = tuple[str | None, ...]
 
@@ -140,8 +140,7 @@ def mix(
     drawn = drawn.withColumn("_cell", F.floor((F.shiftrightunsigned("_at", 1) / F.lit(float(2**63))) * F.col("_cells")).cast("long"))
     drawn = drawn.withColumn("_at", F.shiftrightunsigned("_at", 1))
     leaf = [*names, "epoch"]
-    ahead = Window.partitionBy(*leaf).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = drawn.groupBy(*leaf, "_cell").agg(F.sum("n_tokens").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
+    cells = running_sums(drawn.groupBy(*leaf, "_cell").agg(F.sum("n_tokens").alias("_sum")), leaf, "_cell", "_sum", "_before").drop("_sum")
     inner = Window.partitionBy(*leaf, "_cell").orderBy("_at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     inside = drawn.withColumn("_run", F.sum("n_tokens").over(inner))
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*leaf, "_cell")]

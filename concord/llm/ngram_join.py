@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, row_key
-from .components import components
+from ..operators.components import components
 from .shingles import U, mix, shingle_sets
 
 _P = U(0x9E3779B97F4A7C15)

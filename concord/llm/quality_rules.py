@@ -2,9 +2,10 @@
 
 Each rule looks at a few counts of a text and votes *good* (1), *bad* (0) or
 abstains (null). No rule decides by itself: expectation-maximisation over all
-documents estimates how often each rule is right, without labels, and a
-document is kept when its posterior probability of being good reaches a
-threshold.
+documents estimates, without labels, how often each rule gives each of the three
+answers to good and to bad texts, so that a rule that can only say *bad* tells
+something by how much more often it does so of bad texts. A document is kept
+when its posterior probability of being good reaches a threshold.
 
 The only thing that leaves the executors is the table of vote patterns with
 their counts: three outcomes per rule, so at most 3 ** rules rows whatever the
@@ -94,77 +95,80 @@ class Rule:
         return F.expr(f"CASE WHEN {self.bad} THEN 0 WHEN {self.good} THEN 1 END").alias(f"vote_{self.name}")
 
 
-#: Most rules know signs of one class only and abstain otherwise, so that the
-#: mere absence of a defect is no evidence for a text.
+#: No two rules read the same defect, as the estimation takes them as independent given the class.
 RULES: tuple[Rule, ...] = (
-    Rule("length", "false", "n_words < 50"),
     Rule("symbols", "n_symbols * 100 <= n_words", "n_symbols * 20 > n_words"),
-    Rule("symbol_chars", "false", "n_symbols * 50 > word_chars"),
-    Rule("lines", "false", "n_dup_lines * 5 >= n_lines AND n_dup_lines > 0"),
+    Rule("lines", "n_lines >= 3 AND n_dup_lines = 0", "n_dup_lines * 5 >= n_lines AND n_dup_lines > 0"),
     Rule("repeats", "n_words >= 3 AND n_repeat_words * 10 < n_words", "n_repeat_words * 10 > 3 * n_words"),
-    Rule("word_length", "false", "word_chars NOT BETWEEN 2 * n_words AND 15 * n_words"),
+    Rule("word_length", "n_words > 0 AND word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars NOT BETWEEN 2 * n_words AND 15 * n_words"),
     Rule("function_words", "n_function_words >= 4", "n_words >= 30 AND n_function_words <= 1"),
     Rule("sentences", "n_ended * 40 >= n_words", "n_words >= 60 AND n_ended * 100 < n_words"),
 )
+#: Outcomes in the order of the tables: bad, good, abstention.
+OUTCOMES = (0, 1, None)
 
 
 @dataclass
 class LabelModel:
-    """What EM has learnt: the share of good documents, and P(vote | class) by rule."""
+    """What EM has learnt: the share of good documents, and P(outcome | class) by rule."""
 
     prior: float
-    #: rule -> ((P(bad vote | bad), P(good vote | bad)), (P(bad vote | good), P(good vote | good))), given a vote.
-    tables: dict[str, tuple[tuple[float, float], tuple[float, float]]] = field(default_factory=dict)
+    #: rule -> (P of each outcome for bad texts, the same for good ones).
+    tables: dict[str, tuple[tuple[float, ...], tuple[float, ...]]] = field(default_factory=dict)
+
+    def weight(self, rule: str, vote: int | None) -> float:
+        """The log-likelihood ratio of an outcome, never against what the vote says."""
+        bad, good = self.tables[rule]
+        k = OUTCOMES.index(vote)
+        told = math.log(good[k] / bad[k])
+        return max(told, 0.0) if vote == 1 else min(told, 0.0) if vote == 0 else told
 
     def log_odds(self) -> Column:
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for rule, (bad, good) in self.tables.items():
+        for rule in self.tables:
             v = F.col(f"vote_{rule}")
-            total = total + F.when(v == 1, F.lit(math.log(good[1] / bad[1]))).when(v == 0, F.lit(math.log(good[0] / bad[0]))).otherwise(F.lit(0.0))
+            total = total + F.when(v == 1, F.lit(self.weight(rule, 1))).when(v == 0, F.lit(self.weight(rule, 0))).otherwise(F.lit(self.weight(rule, None)))
         return total
 
     def posterior(self) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds()))
 
 
-def fit_label_model(patterns: list[tuple[tuple[int | None, ...], int]], rules: tuple[Rule, ...] = RULES, rounds: int = 50, start: float = 0.8, smooth: float = 1.0) -> LabelModel:
-    """EM on vote patterns and counts. An abstention carries no evidence.
+def fit_label_model(patterns: list[tuple[tuple[int | None, ...], int]], rules: tuple[Rule, ...] = RULES, rounds: int = 200, start: float = 0.8, smooth: float = 1.0) -> LabelModel:
+    """EM on vote patterns and counts; an abstention is an outcome like the votes.
 
-    It starts from rules that are right with probability ``start`` and a
-    majority of good documents; ``smooth`` pseudo-counts keep each estimate off
-    0 and 1, and no rule's estimate may fall below one half, which fixes which
-    of the two classes is called good.
+    It starts from a majority of good documents and from rules that, of all the
+    votes that they cast, give bad texts a bad one and good texts a good one
+    with odds of ``start``. ``smooth`` pseudo-counts keep each estimate off 0,
+    and no vote may ever speak against what it says, which fixes which of the
+    two classes is called good.
     """
-    prior = start
-    tables = {r.name: ((start, 1 - start), (1 - start, start)) for r in rules}
     total = sum(n for _, n in patterns)
+    first = LabelModel(start)
+    for r, rule in enumerate(rules):
+        seen = [sum(n for votes, n in patterns if votes[r] == o) + smooth for o in OUTCOMES]
+        lean = [(start, 1 - start, 0.5), (1 - start, start, 0.5)]
+        mass = [[s * x for s, x in zip(seen, side, strict=True)] for side in lean]
+        first.tables[rule.name] = tuple(tuple(x / sum(side) for x in side) for side in mass)
+    model = first
     if not total:
-        return LabelModel(prior, tables)
+        return model
     for _ in range(rounds):
-        mass = {r.name: [[smooth * start, smooth * (1 - start)], [smooth * (1 - start), smooth * start]] for r in rules}
+        mass = {r.name: [[smooth * x for x in side] for side in first.tables[r.name]] for r in rules}
         good_mass = 0.0
         for votes, n in patterns:
-            log_odds = math.log(prior / (1 - prior))
-            for rule, v in zip(rules, votes, strict=True):
-                if v is not None:
-                    bad, good = tables[rule.name]
-                    log_odds += math.log(good[v] / bad[v])
-            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, log_odds))))
+            odds = math.log(model.prior / (1 - model.prior)) + sum(model.weight(r.name, v) for r, v in zip(rules, votes, strict=True))
+            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
             good_mass += n * p
-            for rule, v in zip(rules, votes, strict=True):
-                if v is not None:
-                    mass[rule.name][1][v] += n * p
-                    mass[rule.name][0][v] += n * (1 - p)
-        before = prior
-        prior = min(max((good_mass + smooth * start) / (total + smooth), 0.01), 0.99)
-        for rule in rules:
-            bad, good = mass[rule.name]
-            right_bad = min(max(bad[0] / sum(bad), 0.5), 0.999)
-            right_good = min(max(good[1] / sum(good), 0.5), 0.999)
-            tables[rule.name] = ((right_bad, 1 - right_bad), (1 - right_good, right_good))
-        if abs(prior - before) < 1e-9:
+            for r, v in zip(rules, votes, strict=True):
+                k = OUTCOMES.index(v)
+                mass[r.name][1][k] += n * p
+                mass[r.name][0][k] += n * (1 - p)
+        before = model.prior
+        model = LabelModel(min(max((good_mass + smooth * start) / (total + smooth), 0.01), 0.99), {name: tuple(tuple(x / sum(side) for x in side) for side in sides) for name, sides in mass.items()})
+        if abs(model.prior - before) < 1e-9:
             break
-    return LabelModel(prior, tables)
+    return model
 
 
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"

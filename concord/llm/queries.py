@@ -28,13 +28,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat_format.turn_rows(read_table(spark, sf_dir, "conversations"))
+    """The rows become records of mixed layouts; what is formatted is what fingerprints and mappings make of these."""
+    rows = read_table(spark, sf_dir, "conversations")
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TURN).alias("text"),
     )
     whole = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(planted)
-    return chat_format.digests(chat_format.read_back(chat_format.format_conversations(whole)))
+    turns = chat_format.canonical_rows(chat_format.mixed_records(whole))
+    return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns)))
 
 
 OP2_SQL = r"""

@@ -1,59 +1,89 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Documents with equal texts form a group, and a group is placed as one item.
-Small groups are first put together into hashed bundles, so that the number of
-items is bounded by a parameter and not by the corpus; groups above a bundle's
-share stand for themselves, and a group too large for any shard is split into
-pieces. Items go, largest first, to the shard whose residual capacity vector
-has the highest dot product with the item's vector among those with room.
-
-Only the items' sums (at most ``max_items``-many) reach the driver; texts are
-never shuffled, only narrow rows are.
-
-Defined cases: a null text has no bytes and its own group; an empty text is a
-group too; repeated rows are rows of one group, each with a slot; an empty
-table gives an empty result; other columns are ignored.
+Documents with equal texts form a group, and a group is placed as a whole:
+groups go, largest first, to the shard whose residual capacity vector has the
+highest dot product with the group's vector among those with room.
+
+Groups that are alike by what is packed, their bytes, tokens and rows, are
+interchangeable. So the packer sees *kinds* of groups, each with how many there
+are, and deals a kind out over the shards; which of its groups go where follows
+from their order. Small groups are alike to within a step of the sizes, so
+that the number of kinds does not grow with the corpus: sizes are measured in
+steps of one part in ``steps`` of a shard, and by one in eight in what is below
+that, and a kind stands for the mean of its groups.
+
+Only a group that no shard can hold, as it has more than a shard's share of the
+bytes, tokens or rows, is split, into as few pieces as fit: no law of near equal
+shards could be met with it in one.
+
+Only the kinds' sums reach the driver; texts are never shuffled, only narrow
+rows are.
+
+Defined cases: a null text has no bytes and is in one group with empty texts; repeated rows are rows of one group, each with a slot; texts of any
+length are one row, and one above a shard's share fills a shard of its own; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gapless_slots, materialize, spread, words_of
+from .common import gapless_slots, join_one_of_each, materialize, spread, words_of
 
 ROW_BYTES = 8
 
 
 def pack_vectors(items: list[tuple[int, tuple[float, ...]]], n_bins: int) -> dict[int, int]:
-    """Item -> bin: largest first, to the highest dot product with what is left.
+    """Item -> bin: largest first, to the highest dot product with what is left."""
+    return {k: next(b for b, n in enumerate(counts) if n) for k, counts in pack_kinds([(k, 1, v) for k, v in items], n_bins).items()}
+
 
-    Every dimension is scaled to its total, so a bin's capacity is 1 / n_bins in
-    each. If no bin has room in every dimension, the bin whose fullest dimension
-    stays lowest takes the item. Ties: the lower bin.
+def pack_kinds(kinds: list[tuple[int, int, tuple[float, ...]]], n_bins: int) -> dict[int, list[int]]:
+    """Kind -> how many of its items each bin gets; ``kinds``: name, number of items, sum of their vectors.
+
+    Largest item first, each to the bin with the highest dot product of its
+    vector with what is left, among bins with room in every dimension, which are
+    scaled to their totals: a bin's capacity is 1 / n_bins in each. If none has
+    room, the bin whose fullest dimension stays lowest takes it. Ties: the lower
+    bin. The many items of a kind are placed by portions of at most one in
+    ``16 * n_bins`` of them.
     """
-    if not items:
+    if not kinds:
         return {}
-    load = np.array([v for _, v in items], dtype=np.float64)
+    many, load = np.array([n for _, n, _ in kinds]), np.array([v for _, _, v in kinds], dtype=np.float64)
     total = load.sum(axis=0)
-    share = load / np.where(total > 0, total, 1.0) * n_bins
-    keys = np.array([k for k, _ in items])
-    order = np.lexsort((keys, -share.max(axis=1)))
+    share = load / np.where(total > 0, total, 1.0) * n_bins / many[:, None]
+    keys = np.array([k for k, _, _ in kinds])
     left, placed = np.ones((n_bins, share.shape[1])), {}
-    for i in order:
-        v = share[i]
-        room = (left >= v - 1e-12).all(axis=1)
-        score = np.where(room, left @ v, -np.inf) if room.any() else (left - v).min(axis=1)
-        best = int(score.argmax())
-        left[best] -= v
-        placed[int(keys[i])] = best
+    for i in np.lexsort((keys, -share.max(axis=1))):
+        counts, rest = [0] * n_bins, int(many[i])
+        portion = max(1, rest // (16 * n_bins))
+        while rest:
+            n = min(portion, rest)
+            v = share[i] * n
+            room = (left >= v - 1e-12).all(axis=1)
+            score = np.where(room, left @ v, -np.inf) if room.any() else (left - v).min(axis=1)
+            best = int(score.argmax())
+            left[best] -= v
+            counts[best] += n
+            rest -= n
+        placed[int(keys[i])] = counts
     return placed
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 24, bundles_per_shard: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, size, text_crc32, n_tokens, group columns, ``shard`` and ``slot``."""
+def _step(amount: Column, fine: float) -> Column:
+    """A number that grows with the amount: even steps of ``fine`` above it, and by one part in eight below."""
+    low = F.floor(F.log(F.greatest(amount, F.lit(1)) / F.lit(fine)) / F.lit(math.log(1.125)))
+    return F.when(amount >= fine, F.floor(amount / F.lit(fine))).otherwise(F.least(low, F.lit(0)) - 1).cast("long")
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 24, steps: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, size, text_crc32, n_tokens, ``group``, ``shard`` and ``slot``."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = materialize(
         docs.select(
@@ -61,31 +91,39 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, bundles_per_shard: int =
             (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
             F.size(words_of(F.col(text))).cast("long").alias("n_tokens"),
-            F.when(F.col(text).isNull(), F.lit("")).otherwise(F.md5(body.cast("binary"))).alias("group"),
+            F.md5(body.cast("binary")).alias("group"),
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size"), F.sum("n_tokens"), F.count(F.lit(1))).first()
-    n_bundles = n_shards * bundles_per_shard
+    sums = {"b": F.sum("size"), "t": F.sum("n_tokens"), "r": F.count(F.lit(1))}
+    total = rows.agg(*sums.values()).first()
     if not total[2]:
         empty = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
         return rows.sparkSession.createDataFrame([], empty)
-    sums = [F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("r")]
-    share = F.greatest(F.col("b") / total[0], F.col("t") / max(total[1], 1), F.col("r") / total[2])
-    groups = rows.groupBy("group").agg(*sums).withColumn("share", share)
-    # Groups larger than a bundle: fewer than 3 * n_bundles of them, as each takes 1 / n_bundles of some total.
-    large = groups.filter(F.col("share") > 1.0 / n_bundles).select(
-        F.col("group").alias("_large"), F.when(F.col("share") > 0.5 / n_shards, F.ceil(F.col("share") * n_bundles)).otherwise(F.lit(1)).cast("int").alias("_pieces")
-    )
-    joined = rows.join(F.broadcast(large), rows["group"] == large["_large"], "left")
-    item = (
-        F.when(F.col("_large").isNull(), F.concat(F.lit("b"), spread(F.col("group"), n_bundles).cast("string")))
-        .when(F.col("_pieces") == 1, F.concat(F.lit("g"), F.col("group")))
-        .otherwise(F.concat(F.lit("g"), F.col("group"), F.lit("/"), spread(F.struct("doc_id"), F.col("_pieces")).cast("string")))
-    )
-    dealt = materialize(joined.withColumn("item", F.xxhash64(item)).drop("_large", "_pieces"), "shard-items")
-    items = [(r["item"], (r["b"], r["t"], r["r"])) for r in dealt.groupBy("item").agg(*sums).collect()]
-    shard_of = pack_vectors(items, n_shards)
-    places = rows.sparkSession.createDataFrame([(k, v) for k, v in shard_of.items()], "item long, shard int")
-    placed = materialize(dealt.join(F.broadcast(places), "item").drop("item"), "shard-placed")  # at most 5 * n_bundles rows
-    return gapless_slots(placed, ["shard"], ["doc_id", "group"])
+    share = F.greatest(*[F.col(n) / F.lit(max(float(t or 0), 1.0)) for n, t in zip(sums, total, strict=True)])
+    large = rows.groupBy("group").agg(*[c.alias(n) for n, c in sums.items()]).filter(share * n_shards > 1).select("group", F.ceil(share * n_shards).cast("int").alias("_pieces"))
+    large = F.broadcast(materialize(large, "large-groups"))  # fewer than 3 * n_shards
+    piece = F.concat("group", F.lit("/"), spread(F.struct("doc_id"), F.col("_pieces")).cast("string"))
+    cut = rows.join(large, "group").withColumn("unit", piece).select(*rows.columns, "unit")
+    rows = materialize(rows.join(large, "group", "left_anti").withColumn("unit", F.col("group")).select(*cut.columns).unionAll(cut), "shard-units")
+    groups = rows.groupBy("unit").agg(*[c.alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("n"))
+    fine = [max(1.0, (t or 0) / (n_shards * steps)) for t in total]
+    # The number of kinds is bounded by the steps: fewer than n_shards * steps groups reach a step in any one dimension, and those below share some tens of steps each.
+    kind = F.xxhash64(*[_step(F.col(n), f) for n, f in zip(("b", "t", "r"), fine, strict=True)])
+    groups = materialize(groups.withColumn("kind", kind), "shard-groups")
+    kinds = [(r["kind"], r["m"], (r["b"], r["t"], r["r"])) for r in groups.groupBy("kind").agg(F.count(F.lit(1)).alias("m"), *[F.sum(n).alias(n) for n in ("b", "t", "r")]).collect()]
+    placed = pack_kinds(kinds, n_shards)
+    # A kind's groups in their order: the first so many to the first shard that takes some, and so on.
+    spans, at = [], 0
+    for k, counts in placed.items():
+        at = 0
+        for shard, n in enumerate(counts):
+            if n:
+                spans.append((k, at, at + n, shard))
+                at += n
+    spans = rows.sparkSession.createDataFrame(spans, "kind long, first long, stop long, shard int")
+    numbered = gapless_slots(groups, ["kind"], ["unit"], name="place")
+    meets = (numbered["kind"] == spans["kind"]) & (numbered["place"] >= spans["first"]) & (numbered["place"] < spans["stop"])
+    homes = numbered.join(F.broadcast(spans), meets).select("unit", "n", "shard")  # at most n_shards rows a kind
+    dealt = materialize(join_one_of_each(rows, homes, "unit").drop("unit"), "shard-placed")
+    return gapless_slots(dealt, ["shard"], ["doc_id", "group"])

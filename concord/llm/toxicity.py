@@ -8,10 +8,14 @@ one number, so scoring a text adds up one table entry per feature it holds.
 
 Training takes the labelled rows, at most ``max_rows`` of them (those least in a
 hashed order), and of their features the ``max_features`` that tell the classes
-apart best. Counting is distributed; the driver fits the weights on the bounded
-sample's feature lists. Scoring reads every whole text.
-
-Defined cases: null and empty texts hold no n-gram and get the score of the
+apart best among those in ``min_texts`` texts of the sample: these two are
+settings of the model and say how large it is; all n-grams of the sample are
+counted for that choice. Counting is distributed; the driver fits the weights
+on the sample's lists of chosen features, two bytes each: at most
+2 * ``max_rows`` * ``max_features`` bytes, 164 MB. Scoring reads every whole text.
+
+Defined cases: texts of any length are read in whole, run by run; null and empty
+texts hold no n-gram and get the score of the
 intercept; ids with several labels train once for each; labels that are null or
 without a document are ignored; without labels of both classes every score is
 the smoothed share of toxic labels; repeated rows are scored alike; extra
@@ -106,11 +110,13 @@ def _counted(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"feature": seen, "toxic_texts": counts[1, seen], "other_texts": counts[0, seen]})
 
 
-def _listed(chosen: np.ndarray):
+def _listed(chosen: np.ndarray, place: np.ndarray):
+    """Texts to the places of the chosen features that they hold, as bytes."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             held = held_features(pa.array(pdf["text"], pa.string()), chosen)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "held": [x.tolist() for x in held]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "held": [place[x].tobytes() for x in held]})
 
     return run
 
@@ -118,7 +124,7 @@ def _listed(chosen: np.ndarray):
 def fit_weights(held: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, penalty: float = 1e-4, rounds: int = 300, rate: float = 0.05) -> tuple[float, np.ndarray]:
     """Logistic regression by Adam over whole passes; ``held`` are places in ``ratio``."""
     n = len(toxic)
-    flat = np.concatenate([*held, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    flat = np.concatenate([*held, np.zeros(0, dtype=np.uint16)])
     owner = np.repeat(np.arange(n), [len(x) for x in held])
     scale = ratio[flat]
     share = (toxic.sum() + 1) / (n + 2)
@@ -136,7 +142,7 @@ def fit_weights(held: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, pe
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, min_texts: int = 5) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``max_features`` up to 65,536."""
     sample = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     rows = materialize(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "toxicity-sample")  # at most max_rows labels
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -153,10 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     if not best:
         return nothing
     features, ratio = np.array([r["feature"] for r in best]), np.array([r["ratio"] for r in best])
-    chosen, place = np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=np.int64)
+    chosen, place = np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=np.uint16)
     chosen[features], place[features] = True, np.arange(len(features))
-    listed = rows.mapInPandas(_listed(chosen), "doc_id long, toxic int, held array<long>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    intercept, weights = fit_weights([place[np.array(x, dtype=np.int64)] for x in listed["held"]], listed["toxic"].to_numpy(dtype=np.float64), ratio)
+    told = rows.mapInPandas(_listed(chosen, place), "doc_id long, toxic int, held binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("held", "ascending")])
+    intercept, weights = fit_weights([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in told.column("held")], told.column("toxic").to_numpy().astype(np.float64), ratio)
     return Model(intercept, features, weights * ratio)
 
 

@@ -12,8 +12,10 @@ buckets that follow. Payloads are not moved; the result names the response.
 
 Defined cases: a record without URL or time is never resolved nor resolved to;
 *earlier* is strict; of responses at one time the greater record id counts;
-repeated rows are resolved one by one; an empty table gives an empty result;
-extra columns are ignored.
+repeated rows are resolved one by one; of header names that differ in case only,
+the first in the order of their bytes counts (``ETag`` before ``etag``); headers
+may be null; an empty table gives an empty result; extra columns are ignored,
+and payloads of any length are never read.
 """
 
 from __future__ import annotations
@@ -43,7 +45,11 @@ def canonical_url(url: Column) -> Column:
 
 def merge_headers(stored: Column, update: Column) -> Column:
     """The stored headers, with the permitted ones of the 304 put over them; names in lower case."""
-    low = lambda m: F.map_from_entries(F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    def low(headers: Column) -> Column:
+        entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("given"), e["value"].alias("value"))))
+        once = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
+        return F.map_from_entries(F.transform(once, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
     empty = F.create_map().cast("map<string,string>")
     stored, update = F.coalesce(low(stored), empty), F.coalesce(low(update), empty)
     allowed = F.map_filter(update, lambda k, v: k.isin(*PERMITTED) & v.isNotNull())

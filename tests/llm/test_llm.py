@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.llm import chat_format, embedding_join, mixing, ngram_join, packing, quality_rules, queries, sharding, suffix_dedup, toxicity, warc
-from concord.llm.components import components
+from concord.operators.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string"
@@ -164,7 +164,7 @@ def test_op2_round_trip_of_hostile_texts(spark):
         rows += [(c, t, rnd.choice(["user", "assistant", "a:b\\", "\\c: ###"]), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))) for t in range(rnd.randint(1, 5))]
     rows += [(50, 0, None, None), (50, 0, None, None), (None, 1, "assistant", "x" * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1))
-    read = chat_format.read_back(chat_format.format_conversations(chat_format.turn_rows(df)))
+    read = chat_format.read_back(chat_format.format_conversations(chat_format.canonical_rows(chat_format.mixed_records(df))))
     want = {}
     for c, t, role, text in rows:
         want.setdefault(c, []).append((t, role or "", text or ""))
@@ -185,8 +185,14 @@ def test_op2_layouts_by_fingerprint(spark):
     assert [[tuple(t) for t in r["turns"]] if r["turns"] is not None else None for r in got] == [
         [("user", "p"), ("assistant", "c")], [("user", "i\n\nx"), ("assistant", "o")], [("user", "u"), ("assistant", "v")], [("user", "h"), ("assistant", "")], None, None, None,
     ]
-    with pytest.raises(ValueError, match="no mapping"):
-        chat_format.turn_rows(spark.createDataFrame([(1,)], "a int"))
+    rows = spark.createDataFrame([(c, 0, "user", "t") for c in range(8)], "conv_id long, turn long, role string, text string")
+    records = chat_format.mixed_records(rows)
+    assert sorted(r["layout"] for r in chat_format.canonical_rows(records).collect()) == sorted(["turn", "content", "thread", "message"] * 2)
+    prints = {r["f"] for r in records.select(chat_format.json_fingerprint("payload").alias("f")).collect()}
+    assert len(prints) == 4 and sum(m.key in prints for m in chat_format.ROW_MAPPINGS) == 3  # one layout has a further field
+    strange = spark.createDataFrame([('{"conv_id": 1, "role": "user"}',), ("[]",)], "payload string")
+    assert [tuple(r) for r in chat_format.canonical_rows(strange).collect()] == [(None,) * 5] * 2
+    assert {(tuple(r["paths"] or ()), r["n"]) for r in chat_format.unmapped(strange, mappings=chat_format.ROW_MAPPINGS).collect()} == {(("conv_id", "role"), 1), ((), 1)}
 
 
 def test_op2_layouts_with_further_fields(spark):
@@ -241,6 +247,46 @@ def test_op3_em_finds_the_reliable_rule():
     model = quality_rules.fit_label_model(sorted(counts.items(), key=str), rules)
     right = {n: (model.tables[n][0][0] + model.tables[n][1][1]) / 2 for n in "abc"}
     assert right["a"] > right["b"] > right["c"] and abs(model.prior - 0.7) < 0.08
+    one_sided = {}  # a rule that can only say bad, of bad texts mostly, beside two that say both
+    for _ in range(4000):
+        good = rnd.random() < 0.7
+        votes = (0 if rnd.random() < (0.02 if good else 0.6) else None, *[int(good if rnd.random() < 0.9 else not good) for _ in range(2)])
+        one_sided[votes] = one_sided.get(votes, 0) + 1
+    model = quality_rules.fit_label_model(sorted(one_sided.items(), key=str), rules)
+    bad, good = model.tables["a"]
+    assert abs(bad[0] - 0.6) < 0.08 and good[0] < 0.06 and abs(model.prior - 0.7) < 0.05 and model.weight("a", None) > 0
+
+
+def test_op3_posterior_is_bayes_rule_over_all_documents(spark):
+    rnd = random.Random(23)
+    docs = [(i, " ".join(rnd.choice(("the", "of", "and", "is", "%%", "cats.", "same same same", prose(rnd, 3))) for _ in range(rnd.randint(1, 90)))) for i in range(150)] + EDGE
+    got = quality_rules.judge(spark.createDataFrame(docs, DOC)).collect()
+    names = [r.name for r in quality_rules.RULES]
+    votes = [tuple(r[f"vote_{n}"] for n in names) for r in got]
+    start, sides = 0.8, {}
+    for k, n in enumerate(names):  # plain EM, document by document
+        seen = [sum(v[k] == o for v in votes) + 1.0 for o in (0, 1, None)]
+        sides[n] = [[x / sum(m) for x in m] for m in ([seen[0] * start, seen[1] * (1 - start), seen[2] / 2], [seen[0] * (1 - start), seen[1] * start, seen[2] / 2])]
+    first, prior = {n: [list(x) for x in s] for n, s in sides.items()}, start
+
+    def chance(v):
+        odds = math.log(prior / (1 - prior))
+        for n, x in zip(names, v, strict=True):
+            told = math.log(sides[n][1][(0, 1, None).index(x)] / sides[n][0][(0, 1, None).index(x)])
+            odds += max(told, 0) if x == 1 else min(told, 0) if x == 0 else told
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(200):
+        p, before = [chance(v) for v in votes], prior
+        prior = min(max((sum(p) + start) / (len(votes) + 1), 0.01), 0.99)
+        sides = {
+            n: [[x / sum(m) for x in m] for m in ([f + sum((1 - q if side == 0 else q) for q, v in zip(p, votes, strict=True) if v[k] == o) for o, f in zip((0, 1, None), first[n][side], strict=True)] for side in (0, 1))]
+            for k, n in enumerate(names)
+        }
+        if abs(prior - before) < 1e-9:
+            break
+    for r, v in zip(got, votes, strict=True):
+        assert abs(r["posterior"] - chance(v)) < 1e-6 and r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
 
 
 # --- 4, 7: sharding and packing ------------------------------------------------------
@@ -260,15 +306,29 @@ def test_op4_places_groups_evenly(spark, tmp_path):
     assert set(shards) == set(range(24)) and all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in shards.values())
     small = [sum(r["size"] for r in v) for v in shards.values()]
     assert sorted(small)[-2] < 1.3 * sum(small) / 24 or max(t[1] for t in text) > sum(small) / 24
-    pairs = {}
+    homes, size = {}, {}
     for r in got:
-        if 2000 <= r["doc_id"] < 2060:
-            pairs.setdefault((r["doc_id"] - 2000) // 2, set()).add(r["shard"])
-    assert all(len(v) == 1 for v in pairs.values())
+        homes.setdefault(r["text_crc32"], set()).add(r["shard"])
+        size[r["text_crc32"]] = size.get(r["text_crc32"], 0) + 1
+    hot = zlib.crc32(("one hot text " * 5).encode())  # more rows than a shard's share
+    assert all(len(v) == 1 for k, v in homes.items() if k != hot) and 1 < len(homes[hot]) <= math.ceil(24 * size[hot] / len(docs))
     assert sharding.assign_shards(spark.createDataFrame([], DOC)).count() == 0
 
 
 def test_op4_dot_product_choice():
+    rnd = random.Random(31)
+    kinds = [(k, rnd.choice((1, 1, 1, 7, 400)), tuple(float(rnd.randint(1, 50)) for _ in range(3))) for k in range(40)]
+    placed = sharding.pack_kinds(kinds, 5)
+    assert {k: sum(v) for k, v in placed.items()} == {k: n for k, n, _ in kinds}
+    items = [(k, v) for k, _, v in kinds]  # of one item each: the rule as a plain loop
+    total, left, want = [sum(v[d] for _, v in items) for d in range(3)], [[1.0] * 3 for _ in range(5)], {}
+    unit = {k: [x / t * 5 for x, t in zip(v, total, strict=True)] for k, v in items}
+    for k, v in sorted(unit.items(), key=lambda x: (-max(x[1]), x[0])):
+        room = [b for b in range(5) if all(have >= x - 1e-12 for have, x in zip(left[b], v, strict=True))]
+        score = (lambda b: sum(x * y for x, y in zip(left[b], v, strict=True))) if room else (lambda b: min(x - y for x, y in zip(left[b], v, strict=True)))  # noqa: B023
+        want[k] = max(room or range(5), key=lambda b: (round(score(b), 12), -b))
+        left[want[k]] = [x - y for x, y in zip(left[want[k]], v, strict=True)]
+    assert sharding.pack_vectors(items, 5) == want
     placed = sharding.pack_vectors([(1, (5.0, 1.0)), (2, (1.0, 5.0)), (3, (5.0, 1.0)), (4, (1.0, 5.0))], 2)
     assert placed[1] != placed[3] and placed[2] != placed[4] and sharding.pack_vectors([], 3) == {}
 
@@ -295,6 +355,14 @@ def test_op7_boundaries_are_optimal_and_batches_fit(spark):
     for rows in batches.values():
         assert sorted(r["batch_slot"] for r in rows) == list(range(len(rows))) and (len(rows) == 1 or sum(r["padded_tokens"] for r in rows) <= 128 or rows[0]["padded_tokens"] == 0)
     assert packing.pack(spark.createDataFrame([], DOC)).count() == 0
+    clash = spark.createDataFrame(docs, DOC).withColumns({"bucket": F.lit("clash"), "_row": F.lit("mine"), "lang": F.lit("en")})
+    whole = packing.pack(clash, budget=128, n_buckets=4, keep=True)
+    assert whole.columns == ["doc_id", "n_tokens", "bucket", "padded_tokens", "batch_id", "batch_slot", "text", "_row", "lang"]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in whole.collect()))) == sorted(map(repr, docs))
+    long = [(i, "w " * n) for i, n in enumerate([3_000, 3_001, 5_000, 5_003, 9_000, 9_001, 9_002, 30_000])]  # no two lengths share a bin
+    ends = {r["padded_tokens"] for r in packing.pack(spark.createDataFrame(long, DOC), n_buckets=4).collect()}
+    lengths = [3_000, 3_001, 5_000, 5_003, 9_000, 9_001, 9_002, 30_000]
+    assert padding(sorted(ends), lengths, [1] * 8) == min(padding([*c, 30_000], lengths, [1] * 8) for c in itertools.combinations(lengths[:-1], 3))
 
 
 # --- 5: n-gram Jaccard join ------------------------------------------------------------
@@ -397,6 +465,9 @@ def test_op6_resolution_and_headers(spark):
     }
     assert by["v1"]["headers"] == {"content-type": "t", "date": "d2"} and by["v2"]["headers"] is None
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    rows = [("r1", "response", "a.com", "2024-01-01 00:00:00", '"1"', None, {"ETag": "1", "etag": "2", "Via": "x", "VIA": None}), ("v1", "revisit", "a.com", "2024-01-02 00:00:00", '"1"', None, {"DATE": "d", "Date": "e"}), ("v2", "revisit", "a.com", "2024-01-03 00:00:00", '"1"', None, None)]
+    got = {r["record_id"]: r["headers"] for r in warc.resolve_revisits(spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))).collect()}
+    assert got == {"v1": {"etag": "1", "via": None, "date": "d"}, "v2": {"etag": "1", "via": None}}
 
 
 # --- 8: embeddings ---------------------------------------------------------------------------
@@ -412,7 +483,7 @@ def test_op8_links_of_all_pairs(spark):
                 rows.append((i, [float(np.float32(x)) for x in centre + rnd.normal(size=8) * rnd.choice((0.0, 0.15, 0.4))], label))
                 i += 1
     rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [1.0, None] + [0.0] * 6, 1), (503, [float("nan")] * 8, 1), (504, [1.0, 2.0], 1), (505, [2.0, 4.0], 1), (506, [], 1), (500, rows[0][1], 1)]
-    got = embedding_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93, block=8).collect()
+    got = embedding_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93, block_bytes=512).collect()
     ok = lambda r: r[2] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])
     cosine = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
     n, root = [0] * len(rows), list(range(len(rows)))
@@ -430,6 +501,15 @@ def test_op8_links_of_all_pairs(spark):
     assert embedding_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_op8_extreme_lengths_and_many_sizes(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e200, 2e200], 1), (3, [2e-310, 4e-310], 1), (4, [1e200, -1e200], 1), (5, [1.0], 1)]
+    rows += [(100 + 2 * n + k, [1.0 + k * 1e-4] + [0.5] * n, 2) for n in range(2, 60) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"node": F.lit("clash"), "size": F.lit(1)})
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.link_vectors(df).collect()}
+    want = {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)} | {100 + 2 * n + k: (1, 100 + 2 * n) for n in range(2, 60) for k in (0, 1)}
+    assert got == want
+
+
 # --- 9: toxicity -------------------------------------------------------------------------------
 
 
