@@ -3,6 +3,12 @@
 Quality rules drop documents, the n-gram join keeps one document of each group
 of near copies, suffix-array dedup cuts repeated passages out, mixing draws
 documents towards target weights, packing lays what is left out in batches.
+
+Defined cases: documents are rows, told apart by a 64-bit hash of id and text,
+so ids may repeat or be null (rows equal in both are one document to the n-gram
+join, and others share a stage's verdict at worst if their hashes collide); null
+and empty texts fail the quality rules; texts of any length are read in whole; an
+empty table gives an empty result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id."""
+    """One document of each group stays: the one whose row has the least hashed name."""
     return ngram_join.keep_one_of_each(docs, n=5, percent=80)
 
 
@@ -42,7 +48,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """The last stage: where each document lies, with its text and the other columns."""
+    return packing.pack(docs, keep=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
