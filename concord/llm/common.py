@@ -36,6 +36,14 @@ def row_key(*columns: Column | str) -> Column:
     return F.xxhash64(*columns)
 
 
+def free_name(df: DataFrame, name: str = "_row") -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def spread(key: Column, n: Column | int) -> Column:
     """A cell number in [0, n) that depends on ``key`` only."""
     n = n if isinstance(n, Column) else F.lit(n)

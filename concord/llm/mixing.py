@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, row_key, running_sums, words_of
+from .common import free_name, materialize, row_key, running_sums, words_of
 
 Path = tuple[str | None, ...]
 
@@ -154,6 +154,7 @@ def mix(
 
 def keep_drawn(docs: DataFrame, levels: dict[str, Column], budget: float, weights: dict[Path, float] | None = None, seed: int = 17, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that one epoch of the mix draws, with their columns."""
-    named = docs.withColumn("_row", row_key(key, text))
-    drawn = mix(named, levels, budget, weights, max_epochs=1, seed=seed, key="_row", text=text).select(F.col("doc_id").alias("_row"))
-    return named.join(drawn, "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs)
+    named = docs.withColumn(row, row_key(key, text))
+    drawn = mix(named, levels, budget, weights, max_epochs=1, seed=seed, key=row, text=text).select(F.col("doc_id").alias(row))
+    return named.join(drawn, row, "left_semi").select(*docs.columns)

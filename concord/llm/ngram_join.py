@@ -47,13 +47,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, row_key
 from ..operators.components import components
+from .common import free_name, join_one_of_each, materialize, row_key
 from .shingles import U, mix, shingle_sets
 
 _P = U(0x9E3779B97F4A7C15)
 #: Members of a key that are compared pair by pair; of larger keys, blocks of so many are compared inside tasks.
 SMALL, BLOCK = 64, 256
+#: One document in ``PART`` is looked at for frequent keys; those on more than one in ``SHARE`` of them are dealt over ``SALTS`` tasks.
+PART, SHARE, SALTS = 64, 256, 32
 #: More bands than any size needs: the last one begins beyond 10 ** 8 elements.
 BANDS = 64
 
@@ -234,18 +236,24 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
     sets = materialize(whole.mapInArrow(_identities(n), "doc_id long, row long, node long, n_shingles long"), "sets")
 
-    # One exchange by key serves both the count and the join back to it.
-    signed = whole.filter("text IS NOT NULL").select("text").mapInArrow(_signatures(n, percent), "key long, node long").repartition("key")
-    met = signed.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("n"))
-    shared = met.filter("_low <> _high").select("key", "n")
-    met_rows = materialize(signed.join(shared.hint("shuffle_hash"), "key").distinct(), "shared-keys")
-    kept = _without_frequent(met_rows, Schemes(percent))
+    # One exchange by key serves both the count and the join back to it. Keys that are frequent in a part of the documents are dealt over tasks.
+    texts = whole.filter("text IS NOT NULL")
+    signed = texts.select("text").mapInArrow(_signatures(n, percent), "key long, node long")
+    hot = F.broadcast(_frequent(texts, sets, n, percent).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    signed = signed.join(hot, "key", "left").select("key", "node", salt.alias("_salt")).repartition("key", "_salt")
+    met = signed.groupBy("key", "_salt").agg(F.min("node").alias("_low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("n"))
+    dealt_keys = met.filter("_salt >= 0").groupBy("key").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("n").alias("n"))
+    dealt_keys = dealt_keys.filter("_low <> _high").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "n")
+    shared = met.filter("_salt < 0 AND _low <> _high").select("key", "_salt", "n").unionAll(dealt_keys)
+    met_rows = materialize(signed.join(shared.hint("shuffle_hash"), ["key", "_salt"]).select("key", "node", "n").distinct(), "shared-keys")
+    kept = materialize(_without_frequent(met_rows, Schemes(percent)), "rare-keys")
     # A key's pivot is the member that meets most others over all its keys: of near copies, what they were copied from.
     counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met_often = materialize(kept.join(counts, "key"), "kept-keys")
+    met_often = materialize(join_one_of_each(kept, counts.withColumn("n", F.col("members")), "key"), "kept-keys")
     ranked = met_often.join(met_often.groupBy("node").agg(F.sum("members").alias("met")), "node")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("_top")).select("key", F.col("_top.node").alias("pivot"))
-    cands = materialize(met_often.join(pivots, "key").select("key", "node", "pivot", "members"), "candidates")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("_top"), F.count(F.lit(1)).alias("n")).select("key", F.col("_top.node").alias("pivot"), "n")
+    cands = materialize(join_one_of_each(met_often, materialize(pivots, "pivots"), "key").select("key", "node", "pivot", "members"), "candidates")
 
     # By row, as an id may be null or stand for several texts.
     first = sets.groupBy("node").agg(F.min("row").alias("row"))
@@ -259,8 +267,9 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
 
     # Keys whose members are not all connected, and were not all compared with each other.
     placed = cands.filter("members > 2").join(known, "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
-    opened = materialize(placed.join(open_keys, "key", "left_semi"), "open-keys")
+    placed = materialize(placed, "placed-keys")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("n")).filter("_low <> _high").select("key", "n")
+    opened = materialize(join_one_of_each(placed, open_keys, "key"), "open-keys")
     small = opened.filter(F.col("members") <= SMALL)
     pair = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
     pair = pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
@@ -269,26 +278,42 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     # In a large key most members are connected by now: only the others are compared with all.
     large = opened.filter(F.col("members") > SMALL)
     main = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("_main"), F.sum("n").alias("_all"))
-    main = main.select("key", F.col("_main.comp").alias("_main"), F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks"), F.ceil((F.col("_all") - F.col("_main.n")) / BLOCK).cast("int").alias("_others"))
+    main = main.select("key", F.col("_all").alias("n"), F.col("_main.comp").alias("_main"), F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks"), F.ceil((F.col("_all") - F.col("_main.n")) / BLOCK).cast("int").alias("_others"))
     own = lambda count: F.pmod(F.xxhash64("node", F.lit(5)), F.col(count)).cast("int")
-    dealt = large.join(main, "key").join(large.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
+    dealt = join_one_of_each(large, main, "key").join(large.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
     told = ["key", "node", "comp", "keys"]
     outside = dealt.filter("comp <> _main").select(*told, F.lit(0).alias("side"), own("_others").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("j"))
     inside = dealt.select(*told, F.lit(1).alias("side"), own("_blocks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("_others") - 1)).alias("i")).select(*outside.columns)
     across = outside.unionAll(inside).join(texts, "node").groupBy("key", "i", "j").applyInPandas(_block_links(n, percent), "a long, b long")
 
     found = components(links.unionAll(more).unionAll(across))
-    grouped = sets.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = grouped.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "class", "left").select("doc_id", F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # From a component's least id to its nodes, and from these to their rows.
+    nodes = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("_n"))
+    nodes = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    least = nodes.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_one_of_each(nodes, least, "component").select("node", "component_id", F.col("_n").alias("n"))
+    grouped = join_one_of_each(sets.filter("node IS NOT NULL"), materialize(named, "named"), "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return grouped.unionAll(sets.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, and with every row whose set is empty but for repeated ones."""
-    named = docs.withColumn("_row", row_key(key, text))
-    groups = similarity_groups(named.select("_row", text), n, percent, key="_row", text=text)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
-    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    row = free_name(docs)
+    named = docs.withColumn(row, row_key(key, text))
+    groups = similarity_groups(named.select(row, text), n, percent, key=row, text=text)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct()
+    return named.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+
+
+def _frequent(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Keys on more than one in ``SHARE`` of a part of the documents, to be dealt over tasks; which they are changes no result.
+
+    There are fewer of them than ``SHARE`` times the keys of a document.
+    """
+    part = F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(PART)) == 0
+    least = max(sets.filter(part).count() // SHARE, 8)
+    found = texts.filter(part).select("text").mapInArrow(_signatures(n, percent), "key long, node long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(found.filter(F.col("n") > least).select("key"), "frequent-keys")
 
 
 def _without_frequent(met: DataFrame, schemes: Schemes) -> DataFrame:

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, words_of
+from .common import free_name, materialize, row_key, words_of
 
 #: Frequent function words of the four languages of the corpus.
 FUNCTION_WORDS = (
@@ -192,6 +192,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns, in whole."""
-    named = docs.withColumn("_row", row_key(key, text))
-    verdicts = judge(named.select("_row", text), text).filter("kept").select("_row")
-    return named.join(verdicts, "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs)
+    named = docs.withColumn(row, row_key(key, text))
+    verdicts = judge(named.select(row, text), text).filter("kept").select(row)
+    return named.join(verdicts, row, "left_semi").select(*docs.columns)

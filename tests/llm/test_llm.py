@@ -377,6 +377,7 @@ def shingle_set(text, n):
 def test_op5_components_of_all_pairs(spark, monkeypatch, n, percent):
     monkeypatch.setattr(ngram_join, "SMALL", 6)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "PART", 1 if percent == 90 else 64)  # 1: keys on more than eight documents are dealt over tasks
     rnd = random.Random(n)
     docs, i = [], 0
     for _ in range(14):
