@@ -17,7 +17,9 @@ paths in the tree, at most ``max_leaves``, else an error is raised.
 
 Defined cases: a null in a level is a node of its own; leaves outside the
 weight tree share evenly the weight ``other`` of their level; documents without
-tokens are never drawn; repeated rows are drawn one by one; an empty table
+tokens are never drawn; texts of any length count in whole, and one above its
+leaf's budget is the leaf's only draw where it comes first; repeated rows are
+drawn one by one; an empty table
 gives an empty result; columns other than key, levels and tokens are ignored.
 """
 

@@ -313,6 +313,8 @@ def test_op4_places_groups_evenly(spark, tmp_path):
     hot = zlib.crc32(("one hot text " * 5).encode())  # more rows than a shard's share
     assert all(len(v) == 1 for k, v in homes.items() if k != hot) and 1 < len(homes[hot]) <= math.ceil(24 * size[hot] / len(docs))
     assert sharding.assign_shards(spark.createDataFrame([], DOC)).count() == 0
+    clash = spark.createDataFrame(docs, DOC).withColumns({c: F.lit("clash") for c in ("shard", "slot", "unit", "group", "kind", "n", "size")})
+    assert sorted(map(tuple, sharding.assign_shards(clash).select("doc_id", "size", "shard", "slot").collect()), key=repr) == sorted(((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got), key=repr)
 
 
 def test_op4_dot_product_choice():
@@ -424,6 +426,25 @@ def test_op5_ids_that_repeat_or_are_null(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, len(sets[t]), c)) for (d, t), c in zip(docs, ids, strict=True))
 
 
+def test_texts_longer_than_a_chunk(spark):
+    import pyarrow as pa
+
+    from concord.llm import shingles
+
+    long = " ".join(f"w{i % 90_000}" for i in range(120_000))
+    assert len(long) > shingles.CHUNK
+    sets = list(shingles.shingle_sets(pa.array(["a b c", long, None, "a b c d"]), 3))
+    assert [len(s) for s in sets] == [1, 90_000, 0, 2] and set(sets[0]) < set(sets[3])
+    rnd = random.Random(41)
+    passage, body = prose(rnd, 200), "".join(rnd.choice("abcdefgh ") for _ in range(shingles.CHUNK + 1000))
+    docs = [(1, body + "1" + passage + "2"), (2, "3" + passage + "4"), (3, body[:390])]
+    got = {r["doc_id"]: r for r in suffix_dedup.repeat_digests(spark.createDataFrame(docs, DOC)).collect()}
+    assert got[1]["text"] == body + "12" and got[2]["text"] == "34" and got[3]["text"] == body[:390]
+    wide = "x" * (toxicity.CHUNK + 10) + " zork"
+    held = list(toxicity.held_features(pa.array(["zork", wide, None, "zork"]), np.ones(1 << toxicity.BITS, dtype=bool)))
+    assert set(held[0]) == set(held[3]) and len(set(held[0]) - set(held[1])) <= 1 and not len(held[2])
+
+
 def test_op5_schemes_share_enough_keys():
     rnd = np.random.default_rng(3)
     for percent in (80, 90):
@@ -533,7 +554,8 @@ def test_op9_held_out_accuracy_and_edges(spark, tmp_path):
     away = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in away) >= 0.95 * len(away)
     model = toxicity.train(spark.createDataFrame(docs, DOC), spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {round(r["score"], 6) for r in toxicity.score(spark.createDataFrame(EDGE, DOC), model).collect()} == {0.5}
+    clash = spark.createDataFrame(EDGE, DOC).withColumns({"score": F.lit("clash"), "toxic": F.lit(1)})
+    assert {round(r["score"], 6) for r in toxicity.score(clash, model).collect()} == {0.5}
 
 
 # --- 10: mixing -------------------------------------------------------------------------------------
@@ -571,6 +593,18 @@ def test_op10_draws_prefixes_of_epochs(spark):
     assert all(r["n_tokens"] > 0 for r in got) and {r["source"] for r in got} == {"p", "q", None}
     again = mixing.mix(df.repartition(5), {"source": F.col("source")}, budget, {("p",): 3.0}, max_epochs=2, cell_rows=16).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+    # The draws one by one: each epoch in its seeded order, up to the document that reaches the budget.
+    hashes = df.select("doc_id", "source", F.size(mixing.words_of(F.col("text"))).alias("n"), *[F.xxhash64(F.lit(17), F.lit(e), "doc_id", "source").alias(f"h{e}") for e in (0, 1)]).collect()
+    drawn = []
+    for s, n in tokens.items():
+        for e in (0, 1):
+            left, run = want[s] - e * n, 0
+            for r in sorted((r for r in hashes if r["source"] == s and r["n"]), key=lambda r: ((r[f"h{e}"] % 2**64) >> 1, r["doc_id"], r["n"])):  # noqa: B023
+                if run >= left:
+                    break
+                run += r["n"]
+                drawn.append((r["doc_id"], s, r["n"], e, run))
+    assert sorted(map(repr, drawn)) == sorted(repr((r["doc_id"], r["source"], r["n_tokens"], r["epoch"], r["end_token"])) for r in got)
     assert mixing.mix(df.limit(0), {"source": F.col("source")}, 10).count() == 0
     with pytest.raises(ValueError, match="leaves"):
         mixing.mix(df, {"source": F.col("source")}, 10, max_leaves=2)

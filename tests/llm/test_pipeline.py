@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from concord.llm.common import materialize
 from concord.llm.queries import ORACLE_SQL, QUERIES
@@ -37,6 +39,20 @@ def test_stages_in_order(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["packing"]
 
 
+def test_empty_tables_repeated_ids_and_clashing_names(spark):
+    rnd = random.Random(5)
+    rows = [(i // 2, prose(rnd, 90), "en", "src1", 5, i) for i in range(20)] + [(None, prose(rnd, 90), None, None, None, 99), (3, None, "en", "src1", 0, 98)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long").withColumns({"row": F.lit("mine"), "spans": F.lit(1), "kept": F.lit("x"), "epoch": F.lit(2)})
+    for df, n in ((docs, 21), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns, df = df.columns, materialize(stage(spark, df, ""), name)
+            if name != "packing":
+                assert df.columns == columns
+            if name in ("quality_rules", "ngram_join", "suffix_dedup"):
+                assert df.count() == n and {r["_row"] for r in df.collect()} == ({*range(20), 99} if n else set())
+        assert {"doc_id", "text", "_row", "row", "spans", "batch_id"} <= set(df.columns) and {r["_row"] for r in df.collect()} <= {*range(20), 99}
+
+
 def test_passages_of_short_words_are_cut_and_short_ones_stay(spark):
     rnd = random.Random(8)
     passage, phrase = " ".join(rnd.choice("abcdefgh") for _ in range(51)), " ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(40))
