@@ -5,12 +5,11 @@ groups go, largest first, to the shard whose residual capacity vector has the
 highest dot product with the group's vector among those with room.
 
 Groups that are alike by what is packed, their bytes, tokens and rows, are
-interchangeable. So the packer sees *kinds* of groups, each with how many there
-are, and deals a kind out over the shards; which of its groups go where follows
-from their order. Small groups are alike to within a step of the sizes, so
-that the number of kinds does not grow with the corpus: sizes are measured in
-steps of one part in ``steps`` of a shard, and by one in eight in what is below
-that, and a kind stands for the mean of its groups.
+interchangeable. So the packer sees *kinds* of groups, alike to within ``grain``
+in each of the three, with how many groups there are of a kind and their sums,
+and deals a kind out over the shards; which of its groups go where follows from
+their order. The number of kinds grows with the logarithm of the sizes, not with
+the corpus.
 
 Only a group that no shard can hold, as it has more than a shard's share of the
 bytes, tokens or rows, is split, into as few pieces as fit: no law of near equal
@@ -62,7 +61,7 @@ def pack_kinds(kinds: list[tuple[int, int, tuple[float, ...]]], n_bins: int) ->
     left, placed = np.ones((n_bins, share.shape[1])), {}
     for i in np.lexsort((keys, -share.max(axis=1))):
         counts, rest = [0] * n_bins, int(many[i])
-        portion = max(1, rest // (16 * n_bins))
+        portion = max(1, rest // (4 * n_bins))
         while rest:
             n = min(portion, rest)
             v = share[i] * n
@@ -76,13 +75,7 @@ def pack_kinds(kinds: list[tuple[int, int, tuple[float, ...]]], n_bins: int) ->
     return placed
 
 
-def _step(amount: Column, fine: float) -> Column:
-    """A number that grows with the amount: even steps of ``fine`` above it, and by one part in eight below."""
-    low = F.floor(F.log(F.greatest(amount, F.lit(1)) / F.lit(fine)) / F.lit(math.log(1.125)))
-    return F.when(amount >= fine, F.floor(amount / F.lit(fine))).otherwise(F.least(low, F.lit(0)) - 1).cast("long")
-
-
-def assign_shards(docs: DataFrame, n_shards: int = 24, steps: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 24, grain: float = 0.03, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, n_tokens, ``group``, ``shard`` and ``slot``."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = materialize(
@@ -107,9 +100,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, steps: int = 256, key: st
     cut = rows.join(large, "group").withColumn("unit", piece).select(*rows.columns, "unit")
     rows = materialize(rows.join(large, "group", "left_anti").withColumn("unit", F.col("group")).select(*cut.columns).unionAll(cut), "shard-units")
     groups = rows.groupBy("unit").agg(*[c.alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("n"))
-    fine = [max(1.0, (t or 0) / (n_shards * steps)) for t in total]
-    # The number of kinds is bounded by the steps: fewer than n_shards * steps groups reach a step in any one dimension, and those below share some tens of steps each.
-    kind = F.xxhash64(*[_step(F.col(n), f) for n, f in zip(("b", "t", "r"), fine, strict=True)])
+    kind = F.xxhash64(*[F.floor(F.log(F.greatest(F.col(n), F.lit(1))) / F.lit(math.log(1 + grain))) for n in sums])
     groups = materialize(groups.withColumn("kind", kind), "shard-groups")
     kinds = [(r["kind"], r["m"], (r["b"], r["t"], r["r"])) for r in groups.groupBy("kind").agg(F.count(F.lit(1)).alias("m"), *[F.sum(n).alias(n) for n in ("b", "t", "r")]).collect()]
     placed = pack_kinds(kinds, n_shards)
