@@ -55,8 +55,9 @@ def join_one_of_each(left: DataFrame, right: DataFrame, key: str, parts: int = 1
 
     Keys on more than one of ``parts`` of the rows are fewer than ``parts``: those
     are broadcast, so that no task gets all rows of one of them. ``left`` should
-    be a stored table, as it is read twice.
+    be a stored table, as it is read twice; ``right`` is stored here.
     """
+    right = materialize(right, "one-of-each")
     total = right.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = F.broadcast(right.filter(F.col("n") * parts > total).drop("n"))  # fewer than ``parts`` rows
     rare = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") * parts <= total).drop("n"), key)

@@ -234,7 +234,7 @@ def link_vectors(
     nodes = materialize(nodes, "nodes")
     least = nodes.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
     known = join_one_of_each(nodes.select("node", "component", "met", "n", (F.col("n") - 1).alias("copies")).withColumnRenamed("n", "_n"), least, "component")
-    known = materialize(known.select("node", "component_id", (F.col("copies") + F.coalesce("met", F.lit(0))).alias("n_links"), F.col("_n").alias("n")), "known")
+    known = known.select("node", "component_id", (F.col("copies") + F.coalesce("met", F.lit(0))).alias("n_links"), F.col("_n").alias("n"))
     linked = join_one_of_each(rows.filter("node IS NOT NULL").select("vec_id", "node"), known, "node").select("vec_id", "n_links", "component_id")
     alone = rows.filter("node IS NULL").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionAll(alone)

@@ -253,7 +253,7 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     met_often = materialize(join_one_of_each(kept, counts.withColumn("n", F.col("members")), "key"), "kept-keys")
     ranked = met_often.join(met_often.groupBy("node").agg(F.sum("members").alias("met")), "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("_top"), F.count(F.lit(1)).alias("n")).select("key", F.col("_top.node").alias("pivot"), "n")
-    cands = materialize(join_one_of_each(met_often, materialize(pivots, "pivots"), "key").select("key", "node", "pivot", "members"), "candidates")
+    cands = materialize(join_one_of_each(met_often, pivots, "key").select("key", "node", "pivot", "members"), "candidates")
 
     # By row, as an id may be null or stand for several texts.
     first = sets.groupBy("node").agg(F.min("row").alias("row"))
@@ -292,7 +292,7 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     nodes = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
     least = nodes.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = join_one_of_each(nodes, least, "component").select("node", "component_id", F.col("_n").alias("n"))
-    grouped = join_one_of_each(sets.filter("node IS NOT NULL"), materialize(named, "named"), "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = join_one_of_each(sets.filter("node IS NOT NULL"), named, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return grouped.unionAll(sets.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -81,7 +81,7 @@ def pack(docs: DataFrame, budget: int = 8192, n_buckets: int = 16, key: str = "d
     for k in range(len(ends) - 2, -1, -1):
         fits = F.col("n_tokens") <= ends[k]
         bucket, width = F.when(fits, F.lit(k)).otherwise(bucket), F.when(fits, F.lit(ends[k]).cast("long")).otherwise(width)
-    placed = materialize(rows.withColumns({"bucket": bucket, "padded_tokens": width}), "buckets")
+    placed = rows.withColumns({"bucket": bucket, "padded_tokens": width})
     return _laid_out(gapless_slots(placed, ["bucket"], ["doc_id", "n_tokens", "_whole"]), budget, kept)
 
 
