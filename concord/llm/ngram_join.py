@@ -246,7 +246,8 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     dealt_keys = met.filter("_salt >= 0").groupBy("key").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("n").alias("n"))
     dealt_keys = dealt_keys.filter("_low <> _high").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "n")
     shared = met.filter("_salt < 0 AND _low <> _high").select("key", "_salt", "n").unionAll(dealt_keys)
-    met_rows = materialize(signed.join(shared.hint("shuffle_hash"), ["key", "_salt"]).select("key", "node", "n").distinct(), "shared-keys")
+    # Distinct while the salt is there, so that the rows stay where they are.
+    met_rows = materialize(signed.join(shared.hint("shuffle_hash"), ["key", "_salt"]).select("key", "_salt", "node", "n").distinct().drop("_salt"), "shared-keys")
     kept = materialize(_without_frequent(met_rows, Schemes(percent)), "rare-keys")
     # A key's pivot is the member that meets most others over all its keys: of near copies, what they were copied from.
     counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
