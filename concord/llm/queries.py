@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_join, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, toxicity, warc
+from . import best_fit, chat_format, divergence, embedding_join, filter_audit, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, toxicity, warc
 from .common import read_table
 
 PLANTED_TURN = r"\### Assistant: </turn> ok"
@@ -186,6 +187,90 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mix_levels(), budget=0.8, weights=MIX_WEIGHTS, max_epochs=2)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens; documents and attention are as many as these allow, so that they cost no sequence, and the norm weighs tokens above all."""
+    return best_fit.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), tokens=2048, weights=(1.0, 0.001, 0.001))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=30, top=50)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term
+), f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own, sum(n) OVER (PARTITION BY lang, term) AS n_all, sum(n) OVER (PARTITION BY lang) AS whole FROM f
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), p AS (
+  SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000 * (s.n + 5)::HUGEINT) // (s.own + 5 * v.v)::HUGEINT AS p, 1 + (1000000000 * (s.n_all + 5)::HUGEINT) // (s.whole + 5 * v.v)::HUGEINT AS q
+  FROM s JOIN v ON v.lang = s.lang
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (
+    SELECT y.lang, y.source, z.source AS item, sum(abs(y.p - z.p)) AS value FROM p y JOIN p z ON z.lang = y.lang AND z.term = y.term AND z.source <> y.source GROUP BY y.lang, y.source, z.source
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return filter_audit.audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT c.part, s.filter_order, s.step, s.f,
+    sum(CASE WHEN translate(mask, before || f, '') = mask THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') = mask THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') <> mask THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') = mask THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') = mask THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY c.part, s.filter_order, s.step, s.f
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
@@ -197,6 +282,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_join": op8_embedding_join,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_interaction": op13_filter_interaction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op8_embedding_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op8_embedding_join": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_interaction": OP13_SQL}
