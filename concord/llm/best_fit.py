@@ -15,10 +15,12 @@ of a class in one step and gives what placing them one by one would give. Which
 piece goes where follows from its number among those of its length, which is
 taken in hashed cells.
 
-*Tokens.* Word-level BPE never joins characters across white space, so each
-distinct word between ASCII white space is tokenized once in a task, and
-a text's ids are put together from its words'. A test holds them against those
-of the whole text.
+*Tokens.* Word-level BPE never joins characters across white space, nor letters,
+digits and punctuation of ASCII with each other, but for apostrophes. So a text
+is cut into words and these into such runs, each distinct run is tokenized once
+in a worker, and a text's ids are put together. Where a text holds the beginning
+of a special token's name, it is tokenized as a whole. A test holds the ids
+against those of the whole text.
 
 Defined cases: a null text is empty and has the end id alone; every text is
 whole, and only one with more tokens than a sequence holds is cut, into full
@@ -29,7 +31,9 @@ table gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -40,55 +44,117 @@ from pyspark.sql import functions as F
 
 from .common import gapless_slots, materialize
 
-#: A task forgets the words that it knows beyond so many ids, and reads texts by so many bytes.
-KNOWN_IDS, CHUNK = 8_000_000, 4_000_000
+#: A worker forgets the words that it knows beyond so many words or ids, and reads texts by so many bytes.
+KNOWN_WORDS, KNOWN_IDS, CHUNK = 500_000, 4_000_000, 1_000_000
+#: Runs that are tokenized in one call, with this special token between them.
+AT_ONCE, BETWEEN, MARK = 500, "<|startoftext|>", b"<|"
+#: Places in a word in lower case between letters, digits and punctuation, all of ASCII and no apostrophe.
+_SEAM = re.compile(rb"(?<=[a-z])(?=[0-9!-&(-/:-@\[-`{-~])|(?<=[0-9!-&(-/:-@\[-`{-~])(?=[a-z])|(?<=[0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[0-9])")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The values of all spans, one span after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordIds:
-    """The ids of words, each tokenized once; ``None`` stands for the end of a text."""
+    """The ids of words, and of the runs that they are made of; ``None`` stands for the end of a text."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.between = self.tokenizer.token_to_id(BETWEEN)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        #: Whether case and white space are dropped and words tokenized by themselves; if not, texts are tokenized whole.
+        self.by_word = ids("Ab, C") == ids("ab") + ids(",") + ids("c")
+        #: Words of a to z are as they are before the model, which marks the last token of each.
+        self.model, suffix = Tokenizer(self.tokenizer.model), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.closes = np.array([bool(suffix) and (self.model.id_to_token(i) or "").endswith(suffix) for i in range(self.model.get_vocab_size())])
+        self.marks = bool(self.closes.any())
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes | None, int] = {None: 0}
         self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end], "<u4")
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) > KNOWN_IDS:
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+        self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
+
+    def _encode_plain(self, words: list[bytes]) -> None:
+        """Learn words of a to z, which need the model alone."""
+        texts = [" ".join(map(bytes.decode, words[i : i + 50])) for i in range(0, len(words), 50)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        self._add(words, ids, np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0))
+
+    def _encode(self, words: list[bytes], at_once: int) -> None:
+        """Learn words as they are, so many in one call, with a special token between them."""
+        if not words:
+            return
+        at_once = at_once if self.between is not None else 1
+        texts = [BETWEEN.join(map(bytes.decode, words[i : i + at_once])) for i in range(0, len(words), at_once)]
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
+        if at_once == 1:
+            return self._add(words, ids, np.diff(ends, prepend=0))
+        # A word ends where the special token stands, or at the end of a call.
+        cuts = np.flatnonzero(ids == self.between)
+        behind = np.sort(np.concatenate((cuts, ends - 0.5)))  # an empty last word ends there as well
+        counts = np.diff(np.ceil(behind).astype(np.int64), prepend=0)
+        counts[1:] -= behind[:-1] == np.floor(behind[:-1])  # less the special token before it
+        self._add(words, np.delete(ids, cuts), counts)
+
+    def learn(self, words: set[bytes | None]) -> None:
+        if len(self.number) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
             self.forget()
-        if new := [w for w in words if w not in self.number]:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            lengths = np.array([len(x) for x in found], np.int64)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), "<u4", int(lengths.sum()))))
+        new = words.difference(self.number)
+        whole = [w for w in new if not self.by_word or MARK in w]
+        odd = [w for w in new.difference(whole) if not w.isalpha()]
+        cut = [_SEAM.split(w) for w in odd]
+        runs = new.difference(odd, whole)
+        runs.update(*cut)
+        runs = runs.difference(self.number)
+        plain = [r for r in runs if r.isalpha()] if self.marks else []
+        if plain:
+            self._encode_plain(plain)
+        self._encode(list(runs.difference(plain)), AT_ONCE)
+        self._encode(whole, 1)
+        several = [(w, parts) for w, parts in zip(odd, cut, strict=True) if len(parts) > 1]
+        if several:
+            n = np.array([len(parts) for _, parts in several], np.int64)
+            at = np.fromiter((self.number[r] for _, parts in several for r in parts), np.int64, int(n.sum()))
+            lengths = self.lengths[at]
+            self._add([w for w, _ in several], _gathered(self.ids, self.starts[at], lengths), np.add.reduceat(lengths, np.cumsum(n) - n))
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with its end, and how many each text has."""
         words: list[bytes | None] = []
         behind = []
         for text in texts:
-            words += text.split()  # bytes: at ASCII white space alone
+            words += text.lower().split() if self.by_word and MARK not in text else [text]  # bytes: letters and white space of ASCII alone
             words.append(None)
             behind.append(len(words))
         self.learn(set(words))
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(ends[np.array(behind, np.int64) - 1], prepend=0)
+        ends = np.cumsum(self.lengths[at])
+        return _gathered(self.ids, self.starts[at], self.lengths[at]), np.diff(ends[np.array(behind, np.int64) - 1], prepend=0)
+
+
+@functools.lru_cache(maxsize=1)
+def _known(path: str, end: int) -> WordIds:
+    """What a worker knows; it serves task after task."""
+    return WordIds(path, end)
 
 
 def _pieces(path: str, width: int, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path, end)
+        known = _known(path, end)
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("doc_id")
             first = 0

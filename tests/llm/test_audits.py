@@ -18,7 +18,7 @@ from concord.llm import best_fit, divergence, filter_audit, queries
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HOSTILE = [
     None, "", " \n\t ", "word", "x" * 30_000, "It's 1234 o'clock, they'RE here!!  ...", "café CAFÉ ́lone ΣΑΣ σας", "a b\x1c!\x1f? c\x85d",
-    "<|endoftext|> and <|startoftext|>x", "한 한 中文字 🙂🙂‍", "İstanbul ǅ ﬁ", "a\x00b \x7f", "'s 't ' s", "same text here", "same text here",
+    "<|endoftext|> and <|startoftext|>x", "한 한 中文字 🙂🙂‍", "İstanbul ǅ ﬁ", "a\x00b \x7f", "'s 't ' s", "a#'s x'#b ###'ve 1'2 a'1 don't. (it's)_x_9.5%", "a≠b a=\u0338b #\u0301a 5\u20e3 a\u0301#", "<|ENDOFTEXT|> <| x|>", "KELVIN \u212a ſ", "same text here", "same text here",
 ]
 
 
@@ -103,6 +103,15 @@ def test_op11_ids_of_whole_texts(spark):
     assert len(bins) <= 1.02 * math.ceil(sum(r["length"] for r in out) / 64)
 
 
+def test_op11_tokenizers_of_other_kinds(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two Words", "two words", "", "  spaced  out ", "<|endoftext|>", "é x"]
+    got = best_fit.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, tokens=64).collect()
+    tokenizer = Tokenizer.from_file(path)
+    wanted = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == wanted
+
+
 def test_op11_query_keeps_few_sequences(spark):
     out = queries.op11_best_fit_packing(spark, "/root/testdata/sf0.001")
     whole = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
@@ -126,7 +135,7 @@ def test_op11_bounds_and_edges(spark):
 
 
 def test_op11_forgets_words(monkeypatch):
-    monkeypatch.setattr(best_fit, "KNOWN_IDS", 20)
+    monkeypatch.setattr(best_fit, "KNOWN_WORDS", 20)
     known, tokenizer = best_fit.WordIds(PATH, 0), Tokenizer.from_file(PATH)
     for k in range(5):
         texts = [f"word{k} number{i} text" for i in range(10)]
