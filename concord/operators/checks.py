@@ -4,37 +4,57 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .merge import FIELDS
 
 
-def wrong_origin(meetings: DataFrame) -> DataFrame:
+def origin_broken() -> Column:
     """Origin and ids disagree."""
     crm, calendar = F.size("crm_ids") > 0, F.size("calendar_ids") > 0
     expected = F.when(crm & calendar, "both").when(crm, "crm_only").when(calendar, "calendar_only")
-    return meetings.filter(~F.col("origin").eqNullSafe(expected)).select("id", "origin")
+    return ~F.col("origin").eqNullSafe(expected)
 
 
-def wrong_score(meetings: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+def score_broken(tolerance: float = 1e-6) -> Column:
     """A score that is not the sum of its contributions, or a number outside 0 to 1."""
-    signals = F.col("match_evidence.signals")
+    signals, score = F.col("match_evidence.signals"), F.col("match_evidence.score")
     total = F.aggregate(signals, F.lit(0.0), lambda s, x: s + x["contribution"])
     outside = F.exists(signals, lambda x: ~x["score"].between(0, 1) | ~x["weight"].between(0, 1))
-    score = F.col("match_evidence.score")
-    return meetings.filter("match_evidence IS NOT NULL").filter((F.abs(score - total) > tolerance) | outside | ~score.between(0, 1)).select("id", score.alias("score"))
+    broken = (F.abs(score - total) > tolerance) | outside | ~score.between(0, 1)
+    return F.col("match_evidence").isNotNull() & F.coalesce(broken, F.lit(True))  # a number that is missing is none in range
+
+
+def broken_fields() -> Column:
+    """Fields in conflict that are no contradiction, or the other way round."""
+    return F.array_compact(F.array(*[F.when(F.col(f"{f}.conflict") != F.coalesce(F.col(f"{f}.conflict_kind") == "contradiction", F.lit(False)), f) for f in FIELDS]))
+
+
+def date_broken() -> Column:
+    """A start on another date than the row's."""
+    return F.col("start").isNotNull() & ~F.to_date("start").eqNullSafe(F.col("event_date"))
+
+
+def by_row() -> dict[str, Column]:
+    """Check -> whether a meeting breaks it, for the checks that look at one meeting alone."""
+    return {"origin": origin_broken(), "score": score_broken(), "conflict": F.size(broken_fields()) > 0, "date": date_broken()}
+
+
+def wrong_origin(meetings: DataFrame) -> DataFrame:
+    return meetings.filter(origin_broken()).select("id", "origin")
+
+
+def wrong_score(meetings: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    return meetings.filter(score_broken(tolerance)).select("id", F.col("match_evidence.score").alias("score"))
 
 
 def wrong_conflict(meetings: DataFrame) -> DataFrame:
-    """A field in conflict that is no contradiction, or the other way round."""
-    broken = F.array_compact(F.array(*[F.when(F.col(f"{f}.conflict") != F.coalesce(F.col(f"{f}.conflict_kind") == "contradiction", F.lit(False)), f) for f in FIELDS]))
-    return meetings.filter(F.size(broken) > 0).select("id", broken.alias("fields"))
+    return meetings.withColumn("_fields", broken_fields()).filter(F.size("_fields") > 0).select("id", F.col("_fields").alias("fields"))
 
 
 def wrong_date(rows: DataFrame, key: str = "id") -> DataFrame:
-    """A start on another date than the row's."""
-    return rows.filter(F.col("start").isNotNull() & ~F.to_date("start").eqNullSafe(F.col("event_date"))).select(key, "event_date", "start")
+    return rows.filter(date_broken()).select(key, "event_date", "start")
 
 
 def repeated_ids(meetings: DataFrame, key: str = "id") -> DataFrame:

@@ -4,7 +4,8 @@ In each round every vertex points to the least of itself and its neighbours,
 and links are drawn anew between what their ends point to. Odd rounds compare
 ids, which contracts stars around their least member at once; even rounds
 compare hashed ids, which halves chains in expectation. Links shrink until none
-is left; each round is written to the shared folder.
+is left; each round is written to the shared folder, and the tables of the round
+before are removed from it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stored import store
+from .stored import discard, store
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,11 +31,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ends = edges.join(points.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(points.select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
         drawn = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if where is None:
-            where = points.select(F.col("u").alias("node"), F.col("to").alias("at"))
+            at = points.select(F.col("u").alias("node"), F.col("to").alias("at"))
+            at._stored_at = points._stored_at
         else:
             moved = points.select(F.col("u").alias("at"), F.col("to").alias("_to"))
-            where = store(where.join(moved, "at", "left").select("node", F.coalesce("_to", "at").alias("at")), "where")
-        edges = store(drawn, "links")
+            at = store(where.join(moved, "at", "left").select("node", F.coalesce("_to", "at").alias("at")), "where")
+        left = store(drawn, "links")
+        discard(edges, *([where, points] if where is not None else []))
+        edges, where = left, at
     if where is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = where.groupBy("at").agg(F.min("node").alias("component"))

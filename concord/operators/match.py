@@ -5,13 +5,18 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import ReconcileConfig
 from . import signals
-from .stored import store
+from .components import components
+from .stored import discard, store
+
+#: Candidates that a task takes at once in the greedy order, as a component of their graph or as all that is left; bounds its memory.
+AT_ONCE = 500_000
 
 
 def _met(own: DataFrame, near: DataFrame, keys: list[str], salt: int) -> DataFrame:
@@ -147,6 +152,31 @@ def _tied(ranked: DataFrame) -> DataFrame:
     return met.filter("_c = _k").join(blocks.select(*name), name).select("c_id", "k_id", "score")
 
 
+def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The greedy pass over the candidates of a closed set of rows."""
+    pdf = pdf.sort_values(["score", "c_id", "k_id"], ascending=[False, True, True], kind="stable")
+    done_c, done_k, kept = set(), set(), []
+    for c, k in zip(pdf["c_id"], pdf["k_id"], strict=True):
+        if hit := c not in done_c and k not in done_k:
+            done_c.add(c)
+            done_k.add(k)
+        kept.append(hit)
+    return pdf.loc[kept, ["c_id", "k_id", "score"]]
+
+
+def _closed(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest): what the greedy pass takes of all components of at most ``AT_ONCE`` candidates, and the candidates of the others.
+
+    No two components have a row in common, so each is taken by itself.
+    """
+    ends = store(rest.withColumns({"_a": F.xxhash64(F.lit("c"), "c_id"), "_b": F.xxhash64(F.lit("k"), "k_id")}), "ends")
+    found = components(ends, "_a", "_b").withColumnRenamed("node", "_a")
+    held = store(ends.join(found, "_a"), "in-components")
+    large = store(held.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > AT_ONCE).select("component"), "large-components")
+    small = held.join(large, "component", "left_anti").groupBy("component").applyInPandas(_greedy, "c_id string, k_id string, score double")
+    return store(small, "taken"), store(held.join(large, "component", "left_semi").select("c_id", "k_id", "score"), "rest")
+
+
 def assign(found: DataFrame) -> DataFrame:
     """Greedy one-to-one pairs in the order (score descending, c_id, k_id), with the round in which each was made.
 
@@ -154,26 +184,38 @@ def assign(found: DataFrame) -> DataFrame:
     best of its partner is what the greedy pass would take. Each round takes all
     such pairs and removes their rows from the rest; at least the best remaining
     pair goes, so it ends. After a round that took few of the rows, ties hold
-    the rest up, and blocks of equal scores are taken as a whole as well.
+    the rest up: blocks of equal scores are taken as a whole as well, and if
+    that does not help either, components of the candidates' graph, each by a
+    greedy pass of its own in a task. Only components of more than ``AT_ONCE``
+    candidates go on by rounds; they are looked for anew as rounds cut them.
     """
     rest = store(found.select("c_id", "k_id", "score"), "candidates")
     by_c = Window.partitionBy("c_id").orderBy(F.desc("score"), "k_id")
     by_k = Window.partitionBy("k_id").orderBy(F.desc("score"), "c_id")
     taken: DataFrame | None = None
-    turn, left, slow = 0, rest.count(), False
+    turn, left, slow = 0, rest.count(), 0
     while left:
         turn += 1
-        ranked = rest.withColumns({"_c": F.row_number().over(by_c), "_k": F.row_number().over(by_k)})
-        best = ranked.filter("_c = 1 AND _k = 1").select("c_id", "k_id", "score")
-        if slow:
-            best = best.unionAll(_tied(ranked)).distinct()
-        made = store(best.withColumn("round", F.lit(turn)), "assigned")
+        if slow and left <= AT_ONCE:
+            made, rest = store(rest.groupBy().applyInPandas(_greedy, "c_id string, k_id string, score double").withColumn("round", F.lit(turn)), "assigned"), rest.limit(0)
+            return made if taken is None else taken.unionAll(made)
+        if slow % 4 == 2:
+            got, after = _closed(rest)
+            made = store(got.withColumn("round", F.lit(turn)), "assigned")
+        else:
+            ranked = rest.withColumns({"_c": F.row_number().over(by_c), "_k": F.row_number().over(by_k)})
+            best = ranked.filter("_c = 1 AND _k = 1").select("c_id", "k_id", "score")
+            if slow:
+                best = best.unionAll(_tied(ranked)).distinct()
+            made = store(best.withColumn("round", F.lit(turn)), "assigned")
+            after = store(rest.join(made.select("c_id"), "c_id", "left_anti").join(made.select("k_id"), "k_id", "left_anti").select("c_id", "k_id", "score"), "rest")
         taken = made if taken is None else taken.unionAll(made)
         if turn % 64 == 0:  # the union stays small, whatever the number of rounds
             taken = store(taken, "assigned")
-        rest = store(rest.join(made.select("c_id"), "c_id", "left_anti").join(made.select("k_id"), "k_id", "left_anti").select("c_id", "k_id", "score"), "rest")
-        before, left = left, rest.count()
-        slow = left > 0.5 * before
+        before, left = left, after.count()
+        discard(rest)
+        rest = after
+        slow = slow + 1 if left > 0.5 * before else 0
     return taken if taken is not None else rest.withColumn("round", F.lit(0))
 
 

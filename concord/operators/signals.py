@@ -150,11 +150,26 @@ def participant_detail() -> Column:
     return F.when(said == "", "no comparable party information").otherwise(said)
 
 
+def tenths(x: Column) -> Column:
+    """A number of 0 or more with one decimal, rounded as its exact binary value asks, half to even.
+
+    Ten times a double is a double and an error, which follows from the number's
+    halves. Only where the double lies half way does the error decide, and the
+    even neighbour only where there is none.
+    """
+    high = F.lit(134217729.0) * x - (F.lit(134217729.0) * x - x)
+    ten = x * 10.0
+    error = (high * 10.0 - ten) + (x - high) * 10.0
+    below = F.floor(ten)
+    rounded = F.when(ten - below != 0.5, F.rint(ten)).when(error > 0, below + 1).when(error < 0, below).otherwise(F.rint(ten)).cast("long")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def time_detail(config: ReconcileConfig) -> Column:
     gap = gap_hours()
     return (
-        F.when(F.col("c_start").isNull() | F.col("k_start").isNull(), "one side has no time of day").when(gap >= config.time_window_hours, F.format_string("%.1fh apart", F.bround(gap, 1)))
-        .when(gap == 0, "same start time").otherwise(F.format_string("%.0f min apart", F.bround(gap * 60, 0)))
+        F.when(F.col("c_start").isNull() | F.col("k_start").isNull(), "one side has no time of day").when(gap >= config.time_window_hours, F.concat(tenths(gap), F.lit("h apart")))
+        .when(gap == 0, "same start time").otherwise(F.concat(F.rint(gap * 60).cast("long").cast("string"), F.lit(" min apart")))
     )
 
 

@@ -26,4 +26,19 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/concord-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`store` that nothing will read again, as a loop's once the next is written."""
+    for table in tables:
+        if path := vars(table).get("_stored_at"):
+            remove(table.sparkSession, path)

@@ -48,7 +48,7 @@ FROM ({_BASE}) b
 """
 
 _ENTRY = f"""
-SELECT {{id}} AS event_id, CASE WHEN k % 5 = 1 THEN seg || ' LPAC' ELSE seg || ' ' || {_pick("k", ("Portfolio", "Advisory", "Allocation", "Fund", "Planning"))} || ' session' END AS title,
+SELECT 'CAL-' || lpad(CAST(k AS STRING), 9, '0') || '-' || CAST(n AS STRING) AS event_id, CASE WHEN k % 5 = 1 THEN seg || ' LPAC' ELSE seg || ' ' || {_pick("k", ("Portfolio", "Advisory", "Allocation", "Fund", "Planning"))} || ' session' END AS title,
   mail AS organizer,
   mail || CASE WHEN k % 19 = 0 THEN '' WHEN k % 61 = 0 THEN '|' || lower(replace(client, ' ', '')) || '[at]' || lower(seg) || '[dot]com' ELSE '|' || lower(replace(client, ' ', '.')) || '@' || lower(seg) || '.com' END
     || CASE WHEN k % 59 = 0 THEN '|external-guests' ELSE '' END || CASE WHEN k % 73 = 0 THEN '|' || upper(mail) ELSE '' END AS attendees,
@@ -56,7 +56,7 @@ SELECT {{id}} AS event_id, CASE WHEN k % 5 = 1 THEN seg || ' LPAC' ELSE seg || '
   CASE WHEN k % 27 = 0 THEN NULL WHEN k % 3 = 0 THEN 'Zoom' WHEN k % 4 = 0 THEN 'The Palm Court' WHEN k % 7 = 0 THEN 'Lake House' ELSE 'Harbour Office ' || nation || ', floor 2' END AS location,
   CASE WHEN k % 33 = 0 THEN NULL ELSE 'Agenda: ' || lower(seg) || ' exposure' END AS description,
   {{recurring}} AS is_recurring, CASE WHEN k % 14 = 0 THEN 'tentative' ELSE 'confirmed' END AS status, {{created}} AS created_at
-FROM ({_BASE}) b WHERE {{where}}
+FROM ({_BASE}) b CROSS JOIN (VALUES (0), (1), (2)) v(n) WHERE {{where}}
 """
 
 
@@ -65,15 +65,19 @@ def _time(day: str, hour: str, minute: str, plain: bool = False) -> str:
     return f"{text} || ':00'" if plain else f"{text} || CASE WHEN k % 47 = 0 THEN '' WHEN k % 31 = 0 THEN ':00Z' WHEN k % 79 = 0 THEN ':00-05:00' ELSE ':00' END"
 
 
-_id = lambda n: f"'CAL-' || lpad(CAST(k AS STRING), 9, '0') || '-{n}'"
 _shift = "hour + CASE WHEN k % 7 = 0 THEN 1 WHEN k % 17 = 0 THEN 2 ELSE 0 END"
 _date = "(CASE WHEN k % 13 = 0 THEN CAST(day + INTERVAL '1' DAY AS DATE) ELSE day END)"
-
-CALENDAR_SQL = " UNION ALL ".join([
-    _ENTRY.format(id=_id(0), start=_time(_date, _shift, "minute"), end=_time(_date, f"{_shift} + 1", "minute", True), recurring="k % 71 = 0", created="CAST(day AS STRING) || 'T07:00:00Z'", where="k % 11 <> 0", orders="{orders}", customer="{customer}", nation="{nation}"),
-    _ENTRY.format(id=_id(1), start=_time(_date, _shift, "'45'", True), end=_time(_date, f"{_shift} + 1", "'45'", True), recurring="false", created="CAST(day AS STRING) || CASE WHEN k % 2 = 0 THEN 'T05:00:00Z' ELSE 'T08:00:00Z' END", where="k % 67 = 0 AND k % 11 <> 0", orders="{orders}", customer="{customer}", nation="{nation}"),
-    _ENTRY.format(id=_id(2), start=_time("CAST(day + INTERVAL '40' DAY AS DATE)", "hour", "minute", True), end=_time("CAST(day + INTERVAL '40' DAY AS DATE)", "hour + 1", "minute", True), recurring="k % 71 = 0", created="CAST(day AS STRING) || 'T07:00:00Z'", where="k % 71 = 0 OR k % 89 = 0", orders="{orders}", customer="{customer}", nation="{nation}"),
-])
+_later = "CAST(day + INTERVAL '40' DAY AS DATE)"
+_each = lambda *values: "CASE n " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+# An order's entry, for some a second one near it, for some a later one; from one join, so that it is read and parsed once.
+CALENDAR_SQL = _ENTRY.format(
+    start=_each(_time(_date, _shift, "minute"), _time(_date, _shift, "'45'", True), _time(_later, "hour", "minute", True)),
+    end=_each(_time(_date, f"{_shift} + 1", "minute", True), _time(_date, f"{_shift} + 1", "'45'", True), _time(_later, "hour + 1", "minute", True)),
+    recurring=_each("k % 71 = 0", "false", "k % 71 = 0"),
+    created=_each("CAST(day AS STRING) || 'T07:00:00Z'", "CAST(day AS STRING) || CASE WHEN k % 2 = 0 THEN 'T05:00:00Z' ELSE 'T08:00:00Z' END", "CAST(day AS STRING) || 'T07:00:00Z'"),
+    where=_each("k % 11 <> 0", "k % 67 = 0 AND k % 11 <> 0", "k % 71 = 0 OR k % 89 = 0"), orders="{orders}", customer="{customer}", nation="{nation}",
+)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -309,6 +309,21 @@ SELECT 'origin' AS "check", count(*) FILTER (WHERE origin <> 'crm_only') AS n_vi
 UNION ALL SELECT 'score', count(*) FROM year WHERE origin = 'both' UNION ALL SELECT 'conflict', count(*) FROM year UNION ALL SELECT 'date', count(*) FROM year WHERE start IS NOT NULL
 UNION ALL SELECT 'event_date', (SELECT count(*) FROM crm_n WHERE year(event_date) = 1995 AND start IS NOT NULL) + (SELECT count(*) FROM cal_people WHERE year(event_date) = 1995)
 UNION ALL SELECT 'ids', count(*) FROM year UNION ALL SELECT 'conservation', coalesce(sum(len(string_split(id, 'crm-')) + len(string_split(id, 'cal-')) - 2), 0)::BIGINT FROM year""",
+    "rec_published_owner": f"""WITH {_WHOLE}
+SELECT id, owner FROM meetings WHERE contains({_key("split_part(owner, '@', 1)")}, 'priyasharma') OR contains({_key("split_part(organizer, '@', 1)")}, 'priyasharma')""",
+    "rec_rejected_runs": f"""WITH {_WHOLE}, year AS (SELECT * FROM meetings WHERE year(event_date) = 1995)
+SELECT * FROM (
+  SELECT 'origin' AS spoiled, 'origin' AS "check", count(*) FILTER (WHERE origin <> 'crm_only') AS n FROM year UNION ALL SELECT 'score', 'score', count(*) FROM year WHERE origin = 'both'
+  UNION ALL SELECT 'date', 'date', count(*) FROM year WHERE start IS NOT NULL UNION ALL SELECT 'conservation', 'conservation', coalesce(sum(len(string_split(id, 'crm-')) + len(string_split(id, 'cal-')) - 2), 0)::BIGINT FROM year
+) WHERE n > 0 UNION ALL SELECT 'none', 'readable', count(*) FROM meetings""",
+    "rec_timestamp_shapes": """WITH e AS (SELECT event_id, event_id % 12 AS k, date_trunc('second', ts::TIMESTAMP) AS wall FROM events), s AS (
+  SELECT *, CASE WHEN k = 2 THEN wall + INTERVAL 500000 MICROSECOND WHEN k = 3 THEN wall + INTERVAL 123456 MICROSECOND WHEN k = 9 THEN date_trunc('minute', wall) ELSE wall END AS told,
+    CASE k WHEN 5 THEN 0 WHEN 8 THEN 0 WHEN 6 THEN 19815 WHEN 7 THEN -12600 END AS shift FROM e
+), l AS (
+  SELECT *, CASE WHEN shift IS NOT NULL THEN ((told - to_seconds(shift)) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' WHEN k < 10 THEN told END AS t FROM s
+)
+SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS t, CASE WHEN k >= 9 THEN 'MALFORMED_DATETIME' WHEN shift IS NULL THEN 'TIMEZONE_ASSUMED' END AS t_code,
+  CAST(CASE WHEN k = 9 THEN CAST(date_trunc('week', wall) AS DATE) ELSE CAST(wall AS DATE) END AS STRING) AS d, NULL::STRING AS d_code FROM l""",
     "rec_integrity": "SELECT unnest(['origin', 'score', 'conflict', 'date', 'event_date', 'ids', 'conservation']) AS \"check\", 0 AS n_violations",
     "rec_conflict_keys": f"""WITH {_WHOLE}
 SELECT DISTINCT id, source, "key" FROM kinds JOIN (VALUES {_SOURCE_KEYS}) v(field, source, "key") USING (field) WHERE kind = 'contradiction'""",

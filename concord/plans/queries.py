@@ -60,7 +60,7 @@ def snapshot_of(spark: SparkSession, sf_dir: str) -> str:
     key = _key(spark, sf_dir)
     if key not in _published:
         run, root = run_of(spark, sf_dir), f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
-        snapshots.publish(run.meetings, pipeline.summary(run), root)
+        snapshots.publish(run.meetings, pipeline.summary(run), root, events=run.events)
         _published[key] = root
     return _published[key]
 
@@ -282,6 +282,59 @@ def sources(spark, sf_dir):
     return out
 
 
+def published_owner(spark, sf_dir):
+    """Q-4 over the current snapshot, by its dictionary of owners: all meetings of a name, whoever writes it how."""
+    found = snapshots.read_owner(spark, snapshot_of(spark, sf_dir), "Priya Sharma")
+    return found.select("id", F.col("owner_name.value").alias("owner"))
+
+
+def rejected_runs(spark, sf_dir):
+    """Runs that break a rule are not published; what their audits found, and what readers see after all: the run before."""
+    run = run_of(spark, sf_dir)
+    root, summary = f"{shared_folder(spark)}/rejected-{uuid.uuid4().hex}", pipeline.summary(run)
+    snapshots.publish(run.meetings, summary, root, events=run.events)
+    hit = F.coalesce(F.year("event_date") == 1995, F.lit(False))
+    m = run.meetings
+    spoiled = {
+        "origin": m.withColumn("origin", F.when(hit, "crm_only").otherwise(F.col("origin"))),
+        "score": m.withColumn("match_evidence", F.when(hit, F.col("match_evidence").withField("score", F.col("match_evidence.score") / 2)).otherwise(F.col("match_evidence"))),
+        "date": m.withColumn("event_date", F.when(hit, F.date_add("event_date", 1)).otherwise(F.col("event_date"))),
+        "conservation": m.filter(~hit),
+    }
+    out = []
+    for name, meetings in spoiled.items():
+        try:
+            snapshots.publish(meetings, summary, root, events=run.events)
+            out.append((name, "published", 0))
+        except snapshots.SnapshotRejected as rejected:
+            out += [(name, check, n) for check, n in rejected.found.items() if n]
+    told = spark.createDataFrame(out, "spoiled string, `check` string, n long")
+    seen = snapshots.read_meetings(spark, root).agg(F.lit("none").alias("spoiled"), F.lit("readable").alias("check"), F.count(F.lit(1)).alias("n"))
+    return told.unionByName(seen)
+
+
+def timestamp_shapes(spark, sf_dir):
+    """times of events written in all the ways that ISO 8601 has, read back."""
+    k = F.col("event_id") % 12
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"))
+    day, clock = F.date_format("at", "yyyy-MM-dd"), F.date_format("at", "HH:mm:ss")
+    bare = lambda c: F.replace(F.replace(c, F.lit("-"), F.lit("")), F.lit(":"), F.lit(""))
+    year = F.year(F.date_add(F.date_trunc("week", "at").cast("date"), 3))
+    week = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-W"), F.lpad(F.weekofyear("at").cast("string"), 2, "0"))
+    weekday = (F.weekday("at") + 1).cast("string")
+    forms = [
+        F.concat(day, F.lit("T"), clock), F.concat(bare(day), F.lit("T"), bare(clock)), F.concat(day, F.lit(" "), clock, F.lit(",5")), F.concat(day, F.lit("x"), clock, F.lit(".1234567")),
+        F.concat(week, F.lit("-"), weekday, F.lit("T"), clock), F.concat(bare(week), weekday, F.lit("T"), bare(clock), F.lit("Z")), F.concat(day, F.lit("T"), clock, F.lit("+05:30:15")), F.concat(day, F.lit("T"), clock, F.lit("-0330")),
+        F.concat(F.lit("\u00a0"), day, F.lit("T"), clock, F.lit("Z\u2003")), F.concat(day, F.lit("T"), F.substring(clock, 1, 5)), F.concat(F.substring(day, 1, 7), F.substring(day, 9, 2), F.lit("T"), clock), F.concat(day, F.lit("T"), clock, F.lit("+24:00")),
+    ]
+    raw = forms[-1]
+    for i, form in enumerate(forms[:-1]):
+        raw = F.when(k == i, form).otherwise(raw)
+    read = parse.with_timestamp(e.withColumn("raw", raw), "raw", "t", CONFIG.timezone)
+    read = parse.with_date(read.withColumn("day", F.when(k < 4, day).when(k < 7, bare(day)).when(k < 9, F.concat(week, F.lit("-"), weekday)).when(k == 9, bare(week)).otherwise(F.concat(day, F.lit("\u3000")))), "day", "d")
+    return read.select("event_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"), "t_code", F.col("d").cast("string").alias("d"), "d_code")
+
+
 def broken_integrity(spark, sf_dir):
     """C1-C6 over meetings that are broken on purpose: all of one year."""
     run = run_of(spark, sf_dir)
@@ -310,6 +363,6 @@ QUERIES: dict[str, Query] = {
         crm_normalized, calendar_normalized, flags_by_code, flags_by_severity, records_in, status_vocabulary, gap_census, text_functions, candidate_pairs,
         candidate_pairs_pruned, signal_contributions, assignment, unmatched_records, duplicates, collapsed, duplicate_count, merged_fields, meeting_states,
         run_summary, conflict_kinds, conflict_fields, flag_report, conflict_report, conflict_keys, chronological, filtered_list, published_list, integrity,
-        match_details, merged_values, published_period, published_summary, meeting_detail, sources, broken_integrity,
+        match_details, merged_values, published_period, published_summary, meeting_detail, sources, broken_integrity, published_owner, rejected_runs, timestamp_shapes,
     )
 }

@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,3 +324,158 @@ def test_sources_and_snapshots(spark, tmp_path):
         snapshots.publish(done.meetings.withColumn("id", F.raise_error(F.lit("broken"))), pipeline.summary(done), root)
     assert snapshots.read_meeting(spark, root, "c1").count() == 1 and snapshots.read_summary(spark, root).count() > 5
     assert merge.FIELDS.keys() == reports.SOURCE_KEYS.keys() and ReconcileConfig().weights["participants"] == 0.4
+
+
+def test_duplicates_with_padded_labels_and_late_swaps(spark):
+    padded = survivors(spark, [cal_row("a", attendees=["sarah.chen@firma.com", " Guest List "]), cal_row("b", attendees=["sarah.chen@firma.com", "guest list "])])
+    assert list(padded) == ["a"] and padded["a"]["source_ids"] == ["a", "b"]
+    rows = [cal_row(i, location=i, created_at=f"2025-01-{day:02d}T00:00:00Z") for i, day in (("a", 9), ("b", 10), ("c", 5), ("d", 7), ("e", 1))]
+    got = survivors(spark, rows)["a"]
+    # In turn: a leads; b joins behind it; c takes the lead and a is set down; d joins; e takes the lead and c is set down.
+    assert got["location"] == "e" and [json.loads(r)["location"] for r in got["raw_records"]] == ["e", "b", "a", "d", "c"]
+    twice = survivors(spark, [cal_row("a", attendees=["sarah.chen@firma.com", "External", "external", "d@x.com"]), cal_row("b", attendees=["sarah.chen@firma.com", "External", "d@x.com"])])["a"]
+    assert [f["raw_value"] for f in twice["flags"] if f["code"] == "NON_EMAIL_ATTENDEE"] == ["External", "external"]
+    same = normalize.normalize_crm(crm_df(spark, [crm_row("x", client_name="Sarah Chen")]))
+    assert [p["display"] for p in dedupe.collapse(same).first()["participants"]] == ["Sarah Chen", "Sarah Chen"]
+
+
+def test_islands_of_a_component(spark, monkeypatch):
+    rnd = random.Random(9)
+    minutes = sorted(rnd.choice((0, 30, 61, 200, 261, 322, 400)) + rnd.randrange(0, 4) for _ in range(200))
+    rows = [(1, m * 60_000_000) for m in minutes] + [(2, m * 60_000_000) for m in (0, 500)] + [(2, None), (3, -7 * 3_600_000_000), (3, -5 * 3_600_000_000)]
+    for limit in (10**6, 0):
+        monkeypatch.setattr(dedupe, "BROADCAST_ROWS", limit)
+        got = dedupe.with_islands(spark.createDataFrame(rows, "component long, start long"), 60).collect()
+        islands = {}
+        for r in got:
+            islands.setdefault((r["component"], r["island"]), []).append(r["start"])
+        plain, last = 0, None
+        for m in minutes:
+            plain += last is not None and m - last > 60
+            last = m
+        assert sorted(k for c, k in islands if c == 1) == list(range(plain + 1)) and plain >= 2
+        assert all(b - a <= 3_600_000_000 for (c, _), xs in islands.items() if c == 1 for a, b in itertools.pairwise(sorted(xs)))
+        assert [k for c, k in islands if c == 2] == [0] and sorted(k for c, k in islands if c == 3) == [0, 1]
+
+
+def test_a_day_of_one_client_is_many_tasks(spark):
+    """A convener's day with one client in every row: as many tasks as gaps allow, and what the loop gives."""
+    n, hours = 6_000, 8
+    start = F.make_timestamp_ntz(F.lit(2025), F.lit(3), F.lit(10), (F.col("id") % hours * 3).cast("int"), (F.col("id") * 7 % 60).cast("int"), F.lit(0))
+    one = normalize.normalize_calendar(cal_df(spark, [cal_row("a")])).drop("source_id", "ordinal", "start", "created")
+    events = spark.range(n).join(F.broadcast(one)).withColumns({"source_id": F.format_string("e%06d", F.col("id")), "ordinal": F.format_string("e%06d", F.col("id")), "start": start, "created": F.lit(None).cast("timestamp_ntz")})
+    decided = dedupe.survivors(events)
+    got = {r["source_id"]: r["survivor"] for r in decided.filter("place > 0").collect()}
+    assert got == first_fit([(f"e{i:06d}", i % hours * 180 + i * 7 % 60, {"x"}) for i in range(n)])
+    islands = dedupe.with_islands(spark.range(n).select(F.lit(1).cast("long").alias("component"), F.expr("(id % 8 * 180 + id * 7 % 60) * 60000000L").alias("start")), 60)
+    assert islands.groupBy("island").count().count() == hours
+
+
+def test_assignment_of_a_chain_of_ties(spark, monkeypatch):
+    """Each c may have two k of one score: n pairs one after the other by rounds alone."""
+    n = 20_000
+    links = spark.range(2 * n).select(F.format_string("c%06d", F.floor(F.col("id") / 2)).alias("c_id"), F.format_string("k%06d", F.floor((F.col("id") + 1) / 2)).alias("k_id"), F.lit(0.7).alias("score"))
+    got = match.assign(links).collect()
+    assert {(r["c_id"], r["k_id"]) for r in got} == {(f"c{i:06d}", f"k{i:06d}") for i in range(n)} and max(r["round"] for r in got) <= 20
+    rnd = random.Random(13)
+    pairs = [(rnd.choice((0.5, 0.6)), f"c{g}-{c}", f"k{g}-{c + d}") for g in range(12) for c in range(rnd.randint(2, 40)) for d in (0, 1, 2) if rnd.random() < 0.8]
+    df = spark.createDataFrame([(c, k, s) for s, c, k in pairs], "c_id string, k_id string, score double")
+    for limit in (10**6, 40, 0):  # the rest as a whole, by components, by rounds alone
+        monkeypatch.setattr(match, "AT_ONCE", limit)
+        assert {(r["c_id"], r["k_id"]) for r in match.assign(df).collect()} == greedy(pairs)
+
+
+def test_details_round_as_exact_values_ask(spark):
+    from concord.operators import signals
+
+    minutes = list(range(0, 1501))
+    df = spark.createDataFrame([(m, m / 60) for m in minutes], "m int, x double").withColumn("t", signals.tenths(F.col("x")))
+    assert [r["t"] for r in df.orderBy("m").collect()] == [f"{m / 60:.1f}" for m in minutes]
+    start = dt.datetime(2025, 3, 10)
+    pairs = spark.createDataFrame([(m, start, start + dt.timedelta(minutes=m)) for m in minutes], "m int, c_start timestamp_ntz, k_start timestamp_ntz")
+    got = pairs.withColumn("d", signals.time_detail(ReconcileConfig())).orderBy("m").collect()
+    said = lambda h: "same start time" if h == 0 else f"{h:.1f}h apart" if h >= 4 else f"{h * 60:.0f} min apart"
+    assert [r["d"] for r in got] == [said(m * 60 / 3600) for m in minutes]
+
+
+def read_as_python_does(raw):
+    """Wall clock and code by the standard library's rules: ISO first, then four patterns, which are malformed."""
+    text = (raw or "").strip()
+    found, malformed = None, False
+    try:
+        found = dt.datetime.fromisoformat(text.replace("Z", "+00:00"))
+        malformed = (text.split("T")[-1] if "T" in text else "").split("+")[0].split("Z")[0].count(":") == 1
+    except ValueError:
+        for pattern in ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M"):
+            try:
+                found, malformed = dt.datetime.strptime(text, pattern), True
+                break
+            except ValueError:
+                continue
+    if found is None:
+        return None, "MALFORMED_DATETIME"
+    naive = found.tzinfo is None
+    wall = found if naive else found.astimezone(ZoneInfo(ZONE)).replace(tzinfo=None)
+    return wall, "MALFORMED_DATETIME" if malformed else "TIMEZONE_ASSUMED" if naive else None
+
+
+def test_timestamps_of_the_whole_grammar(spark):
+    days = ["2025-03-10", "20250310", "2025-W11", "2025-W11-1", "2025W11", "2025W111", "2026-W53-7", "2025-W53-1", "2025-02-30", "2025-W11-8", "0000-01-01", "2025-3-5", "2024-02-29", "2025-0310", "202503-10"]
+    clocks = ["", "T14", "T14:00", "T14:00:00", "T1400", "T140000.5", " 14:00:00.123", "x14:00:00,1234567", "T14:00:00.", "T14:0000", "T25:00:00", "T14:60", "T9:05", " 9:5:07", "-23:59:59"]
+    zones = ["", "Z", "+05", "-05:00", "+0530", "+05:30:15", "+24:00", "+99:00", "+05:75", "+"]
+    texts = [d + c + z for d in days for c in clocks for z in zones] + ["\xa02025-03-10T14:00:00 ", "　2025-03-10T14:00:00Z\x85", "????", "0", "[]", "{}", " \n", None, "2025-03-10T14:00\n"]
+    got = parse.with_timestamp(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), "x", "t", ZONE).orderBy("i").select("x", "t", "t_code").collect()
+    assert [(r["x"], (r["t"], r["t_code"])) for r in got] == [(x, read_as_python_does(x)) for x in texts]
+    plain = ["2025-03-10", "20250310", "2025-W11", "2025W11", "2025-W11-1", "2025W111", "2026-W53-7", "2025-W53", "2025-W00-1", "0000-01-01", "2025-02-30", "2025-069", "2025-W1", "　2025-03-10\x85", "2025-03-10T"]
+    got = parse.with_date(spark.createDataFrame([(x,) for x in plain], "x string"), "x", "d").select("x", "d", "d_code").collect()
+    for x, d, code in got:
+        try:
+            assert (d, code) == (dt.date.fromisoformat(x.strip()), None)
+        except ValueError:
+            assert (d, code) == (None, "UNPARSABLE_DATE")
+
+
+def files_read(df):
+    """Files below the meetings that a plan opens."""
+    return {f for f in df.inputFiles() if "/meetings/" in f}
+
+
+def test_snapshots_are_audited_and_found_by_id_and_owner(spark, tmp_path):
+    root = str(tmp_path / "audited")
+    crm = [crm_row(f"c{i}", meeting_date=f"2025-{1 + i % 6:02d}-10", relationship_owner=("Sarah Chen", "Priya Sharma", "Tom Okafor")[i % 3]) for i in range(12)] + [crm_row("undated", meeting_date="x")]
+    done = run(spark, crm, [cal_row("k0", organizer="priya.sharma@firma.com", start_time="2025-09-01T10:00:00"), cal_row("k1", organizer="tom.okafor@firma.com")])
+    summary = pipeline.summary(done)
+    snapshots.publish(done.meetings, summary, root, events=done.events)
+    before = [r["id"] for r in snapshots.read_meetings(spark, root).collect()]
+    assert {r["check"]: r["n_violations"] for r in snapshots.read_audit(spark, root).collect()} == dict.fromkeys(("origin", "score", "conflict", "date", "ids", "event_date", "conservation"), 0)
+    broken = {
+        "origin": done.meetings.withColumn("origin", F.lit("both")), "date": done.meetings.withColumn("event_date", F.date_add("event_date", 1)), "ids": done.meetings.withColumn("id", F.lit("one")),
+        "conflict": done.meetings.withColumn("status", F.col("status").withField("conflict", ~F.col("status.conflict"))), "conservation": done.meetings.filter("id <> 'c3'"),
+        "score": done.meetings.withColumn("match_evidence", F.col("match_evidence").withField("score", F.lit(None).cast("double"))),
+    }
+    for check, meetings in broken.items():
+        with pytest.raises(snapshots.SnapshotRejected, match=check) as caught:
+            snapshots.publish(meetings, summary, root, run_id=f"bad-{check}", events=done.events)
+        assert caught.value.found[check] > 0 and not (tmp_path / "audited" / f"run_id=bad-{check}").exists()
+    assert [r["id"] for r in snapshots.read_meetings(spark, root).collect()] == before and len(before) > 12
+    # One meeting: its month alone is opened.
+    months = files_read(snapshots.read_meetings(spark, root))
+    for meeting_id in ("c3", "undated"):
+        one = snapshots.read_meeting(spark, root, meeting_id)
+        assert [r["id"] for r in one.collect()] == [meeting_id] and len(months) > 6
+        plan = one._jdf.queryExecution().toString()
+        assert "month" in re.search(r"PartitionFilters: \[([^]]*)", plan)[1] and "PushedFilters: [IsNotNull(id), EqualTo(id," in plan
+    assert snapshots.read_meeting(spark, root, "none").count() == 0
+    for text in ("Priya Sharma", "priya.sharma@firma.com", "harm", "", "***"):
+        wanted = filters.apply_filters(snapshots.read_meetings(spark, root), owner=text)
+        found = snapshots.read_owner(spark, root, text)
+        assert [r["id"] for r in found.collect()] == [r["id"] for r in wanted.collect()] and (found.count() > 3) == bool(re.search("[a-z]", text.lower()))
+    snapshots.publish(done.meetings.limit(0), summary, root)
+    assert snapshots.read_meetings(spark, root).count() == 0
+
+
+def test_owners_beyond_what_is_handed_over_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "OWNERS_AT_ONCE", 1)
+    root, done = str(tmp_path / "owners"), run(spark, [crm_row(f"c{i}", relationship_owner=f"Owner {i}") for i in range(5)], [])
+    snapshots.publish(done.meetings, pipeline.summary(done), root)
+    assert sorted(r["id"] for r in snapshots.read_owner(spark, root, "owner").collect()) == [f"c{i}" for i in range(5)]
