@@ -12,8 +12,8 @@ class ReconcileConfig:
     timezone: str = "America/New_York"
     internal_domain: str = "firma.com"
     block_days: int = 1
-    #: Tasks over which each date, slot or party of the pairing is dealt.
-    block_salt: int = 1
+    #: Pairs that a date, slot or party may make in one task; those that make more are dealt over tasks.
+    pairs_per_task: int = 4_000_000
     dedupe_minutes: int = 60
     time_window_hours: float = 4.0
     candidate_floor: float = 0.45

@@ -15,17 +15,34 @@ from . import signals
 from .components import components
 from .stored import discard, store
 
+#: Heavy keys of a pairing up to which their table is broadcast.
+HEAVY_KEYS = 500_000
 #: Candidates that a task takes at once in the greedy order, as a component of their graph or as all that is left; bounds its memory.
 AT_ONCE = 500_000
 
 
-def _met(own: DataFrame, near: DataFrame, keys: list[str], salt: int) -> DataFrame:
-    """``own`` joined with ``near`` on ``keys``, each key dealt over ``salt`` tasks."""
-    if salt > 1:
-        near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        own = own.withColumn("_salt", F.pmod(F.xxhash64("c_id"), F.lit(salt)).cast("int"))
-        keys = [*keys, "_salt"]
-    return own.join(near, keys).drop(*keys)
+def _met(own: DataFrame, near: DataFrame, keys: list[str], config: ReconcileConfig) -> DataFrame:
+    """``own`` joined with ``near`` on ``keys``, heavy keys dealt over tasks.
+
+    Both sides are counted by key first, without what they carry. A key that
+    would make more than ``pairs_per_task`` pairs is dealt over as many tasks as
+    that takes: the rows of its larger side over so many parts, each of which
+    meets all rows of the other side. Heavy keys are few, each having many rows;
+    their table is broadcast up to ``HEAVY_KEYS``, and joined beyond.
+    """
+    n = {side: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(side)) for side, df in (("_own", own), ("_near", near))}
+    made = n["_own"].join(n["_near"], keys).withColumn("_parts", F.ceil(F.col("_own") * F.col("_near") / F.lit(config.pairs_per_task)).cast("int"))
+    parts = F.least("_parts", F.greatest("_own", "_near").cast("int"))
+    heavy = store(made.filter("_parts > 1").select(*keys, parts.alias("_parts"), (F.col("_own") >= F.col("_near")).alias("_deal_own")), "heavy-keys")
+    count = heavy.count()
+    if not count:
+        discard(heavy)
+        return own.join(near, keys).drop(*keys)
+    few = F.broadcast(heavy) if count <= HEAVY_KEYS else heavy
+    every, one = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1), lambda id_: F.array(F.coalesce(F.pmod(F.xxhash64(id_), F.col("_parts")).cast("int"), F.lit(0)))
+    side = lambda df, id_, dealt: df.join(few, keys, "left").withColumn("_salt", F.explode(F.when(F.coalesce(dealt, F.lit(True)), one(id_)).otherwise(every))).drop("_parts", "_deal_own")
+    salted = side(own, "c_id", F.col("_deal_own")).join(side(near, "k_id", ~F.col("_deal_own")), [*keys, "_salt"])
+    return salted.drop(*keys, "_salt")
 
 
 def _on_days(calendar: DataFrame, days: int) -> DataFrame:
@@ -40,7 +57,7 @@ def blocked(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Recon
     they may meet, CRM rows on their own, so each pair is made once.
     """
     own = crm.filter("c_date IS NOT NULL").withColumn("_day", F.col("c_date"))
-    return _met(own, _on_days(calendar, config.block_days), ["_day"], config.block_salt)
+    return _met(own, _on_days(calendar, config.block_days), ["_day"], config)
 
 
 def pruned(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = ReconcileConfig()) -> DataFrame:
@@ -65,7 +82,7 @@ def pruned(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Reconc
         return blocked(crm, calendar, config)  # nothing follows from a lack of parties
     reach = max(0.0, 1 - (config.candidate_floor - rest) / w["time"]) * config.time_window_hours
     close, near_days = signals.gap_hours() <= reach + 1e-6, F.abs(F.date_diff("c_date", "k_date")) <= config.block_days
-    columns, salt = [*crm.columns, *calendar.columns], config.block_salt
+    columns = [*crm.columns, *calendar.columns]
     crm, calendar = crm.filter("c_date IS NOT NULL"), calendar.filter("k_date IS NOT NULL")
     timed_c, timed_k = crm.filter("c_start IS NOT NULL"), calendar.filter("k_start IS NOT NULL")
 
@@ -73,13 +90,13 @@ def pruned(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Reconc
         """Pairs that start less than ``hours`` apart, and others of neighbouring slots."""
         slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (math.ceil(hours * 3600) + 1))
         spread = near.withColumn("_slot", F.explode(F.array(*[slot("k_start") + d for d in (-1, 0, 1)])))
-        return _met(own.withColumn("_slot", slot("c_start")), spread, ["_slot", *keys], salt).filter(near_days)
+        return _met(own.withColumn("_slot", slot("c_start")), spread, ["_slot", *keys], config).filter(near_days)
 
     by_time = in_slots(timed_c, timed_k, reach).filter(close)
 
     on_days, own_day = _on_days(timed_k, config.block_days), timed_c.withColumn("_day", F.col("c_date"))
     parties = F.array_distinct(F.filter(F.array("c_owner", "c_client"), lambda p: p != ""))
-    both = _met(own_day.withColumn("party", F.explode(parties)).withColumn("_party", F.col("party")), on_days.withColumn("_party", F.explode("k_parties")), ["_day", "_party"], salt)
+    both = _met(own_day.withColumn("party", F.explode(parties)).withColumn("_party", F.col("party")), on_days.withColumn("_party", F.explode("k_parties")), ["_day", "_party"], config)
     by_party = both.filter(~close & ((F.col("party") == F.col("c_owner")) | ~F.array_contains("k_parties", F.col("c_owner"))))
 
     known = F.lit(signals.PARTICIPANT_SHARES["company"]) + F.when(F.col("c_owner") != "", signals.PARTICIPANT_SHARES["owner"]).otherwise(0.0) + F.when(F.col("c_usable_client"), signals.PARTICIPANT_SHARES["client"]).otherwise(0.0)
@@ -89,7 +106,7 @@ def pruned(crm: DataFrame, calendar: DataFrame, config: ReconcileConfig = Reconc
     firms_k = lambda df: df.withColumn("_cell", F.explode("k_cells"))
     alone = ~close & ~F.arrays_overlap(parties, "k_parties") & (F.col("cell") == F.get(F.array_intersect("c_cells", "k_cells"), F.lit(0)))
     reached = w["participants"] * signals.participant_overlap() + w["time"] * signals.time_proximity(config) >= enough
-    far = _met(firms_c(own_day.filter(carries)), firms_k(on_days), ["_day", "_cell"], salt)
+    far = _met(firms_c(own_day.filter(carries)), firms_k(on_days), ["_day", "_cell"], config)
     near = in_slots(firms_c(timed_c.filter(~carries)), firms_k(timed_k), config.time_window_hours, "_cell")
     by_firm = [x.filter(alone).filter(reached) for x in (far, near)]
 

@@ -203,10 +203,10 @@ def test_blocking_and_pruning(spark):
     c, k = signals.crm_features(events.filter("source = 'crm'")), signals.calendar_features(events.filter("source = 'calendar'"))
     whole = {(r["c_id"], r["k_id"]) for r in match.blocked(c, k).collect()}
     assert whole == {("c0", "k0"), ("c0", "k1"), ("c1", "k1"), ("c3", "k0"), ("c3", "k1"), ("c4", "k0"), ("c4", "k1")}
-    assert {(r["c_id"], r["k_id"]) for r in match.blocked(c, k, ReconcileConfig(block_salt=3)).collect()} == whole
+    assert {(r["c_id"], r["k_id"]) for r in match.blocked(c, k, ReconcileConfig(pairs_per_task=2)).collect()} == whole
     plain = {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events).collect()}
     assert plain == {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events, prune=True).collect()}
-    assert plain == {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events, ReconcileConfig(block_salt=2), prune=True).collect()}
+    assert plain == {(r["c_id"], r["k_id"], round(r["score"], 9)) for r in match.candidates(events, ReconcileConfig(pairs_per_task=1), prune=True).collect()}
     assert max(plain, key=lambda p: p[2])[:2] == ("c0", "k0")
 
 
@@ -442,7 +442,7 @@ def files_read(df):
 
 def test_snapshots_are_audited_and_found_by_id_and_owner(spark, tmp_path):
     root = str(tmp_path / "audited")
-    crm = [crm_row(f"c{i}", meeting_date=f"2025-{1 + i % 6:02d}-10", relationship_owner=("Sarah Chen", "Priya Sharma", "Tom Okafor")[i % 3]) for i in range(12)] + [crm_row("undated", meeting_date="x")]
+    crm = [crm_row(f"c{i}", meeting_date=f"2025-{1 + i % 6:02d}-10", client_name="David Park" if i == 2 else f"Person {i}", relationship_owner=("Sarah Chen", "Priya Sharma", "Tom Okafor")[i % 3]) for i in range(12)] + [crm_row("undated", meeting_date="x")]
     done = run(spark, crm, [cal_row("k0", organizer="priya.sharma@firma.com", start_time="2025-09-01T10:00:00"), cal_row("k1", organizer="tom.okafor@firma.com")])
     summary = pipeline.summary(done)
     snapshots.publish(done.meetings, summary, root, events=done.events)
@@ -479,3 +479,26 @@ def test_owners_beyond_what_is_handed_over_at_once(spark, tmp_path, monkeypatch)
     root, done = str(tmp_path / "owners"), run(spark, [crm_row(f"c{i}", relationship_owner=f"Owner {i}") for i in range(5)], [])
     snapshots.publish(done.meetings, pipeline.summary(done), root)
     assert sorted(r["id"] for r in snapshots.read_owner(spark, root, "owner").collect()) == [f"c{i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_a_heavy_day_is_dealt_over_tasks(spark, monkeypatch, broadcast):
+    """A third of all rows on one day: no task makes far more pairs than others, and no pair is lost or made twice."""
+    monkeypatch.setattr(match, "HEAVY_KEYS", broadcast)
+    n = 3_000
+    day = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 * 5 + 5).cast("int")
+    side = lambda c: spark.range(n).select(F.format_string(f"{c}%05d", F.col("id")).alias(f"{c}_id"), F.date_add(F.lit("2025-01-01").cast("date"), day).alias(f"{c}_date"))
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "32"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        made = match.blocked(side("c"), side("k"), ReconcileConfig(pairs_per_task=4_000)).withColumn("task", F.spark_partition_id())
+        got = made.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+        total = made.agg(F.count(F.lit(1)), F.count_distinct("c_id", "k_id")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    days = [0 if i % 3 == 0 else i % 97 * 5 + 5 for i in range(n)]
+    wanted = sum(abs(a - b) <= 1 for a, b in ((x, y) for x in set(days) for y in set(days)) for _ in range(days.count(a) * days.count(b)))
+    counts = sorted(r["n"] for r in got)
+    assert tuple(total) == (wanted, wanted) and counts[-1] <= 5 * counts[len(counts) // 2]
