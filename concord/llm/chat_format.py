@@ -102,8 +102,9 @@ def _field(path: str) -> str:
 
 
 def _said(*pairs: tuple[str, str]) -> str:
-    turns = ", ".join(f"named_struct('role', '{role}', 'text', {text})" for role, text in pairs)
-    return f"filter(array({turns}), t -> t.text IS NOT NULL)"
+    """A turn for each pair; the record has its path, so a null text is an empty one."""
+    turns = ", ".join(f"named_struct('role', '{role}', 'text', coalesce({text}, ''))" for role, text in pairs)
+    return f"array({turns})"
 
 
 def _listed(path: str, role: str, text: str) -> str:

@@ -190,7 +190,9 @@ def link_vectors(
     distinct = materialize(distinct.withColumn("size", F.size("embedding")), "distinct-vectors")
 
     # About ``sample`` vectors of each size, by their hashed names, are fitted in a task of their own.
-    sizes = distinct.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(distinct.groupBy("size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # A row for each length of a vector: all vectors may share one, so the table goes to them, unless there are very many.
+    sizes = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
     drawn = distinct.select("size", "embedding", "node").join(sizes, "size").filter(F.shiftrightunsigned(F.xxhash64(F.lit(7), "node"), 1) / F.lit(float(2**63)) * F.col("n") < sample)
     axes = drawn.groupBy("size").applyInPandas(_fitted, "size int, axes array<double>")
     epsilon = math.sqrt(2 - 2 * cosine) + SLACK

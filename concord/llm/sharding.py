@@ -50,7 +50,7 @@ def pack_kinds(kinds: list[tuple[int, int, tuple[float, ...]]], n_bins: int) ->
     scaled to their totals: a bin's capacity is 1 / n_bins in each. If none has
     room, the bin whose fullest dimension stays lowest takes it. Ties: the lower
     bin. The many items of a kind are placed by portions of at most one in
-    ``16 * n_bins`` of them.
+    ``4 * n_bins`` of them.
     """
     if not kinds:
         return {}

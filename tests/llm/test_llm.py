@@ -195,6 +195,12 @@ def test_op2_layouts_by_fingerprint(spark):
     assert {(tuple(r["paths"] or ()), r["n"]) for r in chat_format.unmapped(strange, mappings=chat_format.ROW_MAPPINGS).collect()} == {(("conv_id", "role"), 1), ((), 1)}
 
 
+def test_op2_null_texts_are_empty_turns(spark):
+    records = ['{"prompt": "x", "completion": null}', '{"instruction": null, "output": "o"}', '{"messages": [{"role": "user", "content": null}]}']
+    got = chat_format.canonical_turns(spark.createDataFrame([(r,) for r in records], "payload string")).collect()
+    assert [[tuple(t) for t in r["turns"]] for r in got] == [[("user", "x"), ("assistant", "")], [("user", ""), ("assistant", "o")], [("user", "")]]
+
+
 def test_op2_layouts_with_further_fields(spark):
     said = [("user", "u"), ("assistant", "v")]
     records = [
