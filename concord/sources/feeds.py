@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CALENDAR_SCHEMA, CRM_SCHEMA
+from . import json_arrays
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     """One row per object of a JSON array file: ``raw``, the object's own text.
 
-    A file that is missing, is not JSON or holds no array raises. A whole file
-    is one row here and cannot be split: keep large feeds as JSON Lines.
+    A file that is missing, is not JSON or holds no array raises. A file is one
+    row here, unless one of them is larger than ``split_bytes``: then all are read
+    in splits (:mod:`.json_arrays`).
     """
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("n")).first()["n"]  # the listing alone
+    if (largest or 0) > split_bytes:
+        return json_arrays.read_split(spark, path)
     whole = spark.read.text(path, wholetext=True)
     first = F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1)
     items = F.from_json("value", "array<string>")

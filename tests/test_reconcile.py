@@ -220,12 +220,12 @@ def test_pruning_loses_no_pair(spark, settings):
     crm = [
         crm_row(f"c{i:03d}", relationship_owner=rnd.choice(people), client_name=rnd.choice([*people, "multiple", None]), client_company=rnd.choice(firms), meeting_date=f"2025-03-1{rnd.randint(0, 3)}",
                 meeting_time=rnd.choice([hour(), hour(), None]), subject=rnd.choice(("LP Advisory Committee", "Fund Update")), location=rnd.choice(places), meeting_type=rnd.choice(("Virtual", "In-Person", "")))
-        for i in range(60)
+        for i in range(24)
     ]
     calendar = [
         cal_row(f"k{i:03d}", organizer=rnd.choice([f"{mail(rnd.choice(people))}@firma.com", None, ""]), start_time=f"2025-03-1{rnd.randint(0, 3)}T{hour()}:00", title=rnd.choice(("LPAC", "Fund session", "Lunch")),
                 location=rnd.choice(places), attendees=[f"{mail(rnd.choice(people))}@{rnd.choice(roots)}.com" for _ in range(rnd.randint(0, 3))] + rnd.choice([[], ["guests"]]))
-        for i in range(60)
+        for i in range(24)
     ]
     events = match.store(normalize.normalize_feeds(crm_df(spark, crm), cal_df(spark, calendar)), "events")
     read = match.features(events)
@@ -502,3 +502,40 @@ def test_a_heavy_day_is_dealt_over_tasks(spark, monkeypatch, broadcast):
     wanted = sum(abs(a - b) <= 1 for a, b in ((x, y) for x in set(days) for y in set(days)) for _ in range(days.count(a) * days.count(b)))
     counts = sorted(r["n"] for r in got)
     assert tuple(total) == (wanted, wanted) and counts[-1] <= 5 * counts[len(counts) // 2]
+
+
+@pytest.fixture
+def small_splits(spark):
+    for key, value in (("spark.sql.files.maxPartitionBytes", "400"), ("spark.sql.files.openCostInBytes", "0"), ("spark.sql.files.minPartitionNum", "1")):
+        spark.conf.set(key, value)
+    yield
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+        spark.conf.unset(key)
+
+
+def test_array_files_are_read_in_splits(spark, tmp_path, small_splits):
+    rnd = random.Random(4)
+    hostile = ["plain", 'a "quoted" {brace}', "}{][", "back\\slash\\", 'end\\"}', "é } ü", "\n}\t{", "", "x" * 300, '"', '\\"']
+    records = [
+        {"crm_id": f"c{i}", "notes": rnd.choice(hostile), "deep": {"list": [{"a": rnd.choice(hostile)}, [], {}], "more": {"}": rnd.choice(hostile)}} if i % 3 else None, "subject": rnd.choice(hostile) * rnd.randint(0, 3)}
+        for i in range(24)
+    ]
+    for name, text in (("one.json", json.dumps(records)), ("indented.json", "\n " + json.dumps(records, indent=3, ensure_ascii=False) + " \n" * 90), ("tight.json", json.dumps(records, separators=(",", ":"), ensure_ascii=False))):
+        path = tmp_path / name
+        path.write_text(text, encoding="utf-8")
+        read = feeds.read_json_array(spark, str(path), split_bytes=0)
+        got = [r["raw"] for r in read.collect()]
+        assert sorted((json.loads(x) for x in got), key=lambda r: int(r["crm_id"][1:])) == records
+        small = [json.loads(r["raw"]) for r in feeds.read_json_array(spark, str(path)).collect()]
+        assert small == records
+        assert all(x in text for x in got) and spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 4
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    for i, part in enumerate((records[:5], [], records[5:6], records[6:20])):
+        (folder / f"p{i}.json").write_text(json.dumps(part, indent=i or None))
+    assert feeds.read_json_array(spark, str(folder), split_bytes=0).count() == 20
+    whole = json.dumps(records)
+    for bad in (whole[:-7], whole + "x", "[" + whole + "]", "[1, 2]", '{"crm_id": "x"}', "nonsense", whole.replace("}, {", "} {", 1), whole.replace('"crm_id": "c7"', '"crm_id" "c7"')):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception):  # noqa: B017
+            feeds.read_json_array(spark, str(tmp_path / "bad.json"), split_bytes=0).collect()
