@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
+from ..operators.stored import discard
 from .common import free_name, join_one_of_each, materialize, row_key
 from .shingles import U, mix, shingle_sets
 
@@ -249,12 +250,15 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     # Distinct while the salt is there, so that the rows stay where they are.
     met_rows = materialize(signed.join(shared.hint("shuffle_hash"), ["key", "_salt"]).select("key", "_salt", "node", "n").distinct().drop("_salt"), "shared-keys")
     kept = materialize(_without_frequent(met_rows, Schemes(percent)), "rare-keys")
+    discard(met_rows)  # here and below: what has been read for the last time
     # A key's pivot is the member that meets most others over all its keys: of near copies, what they were copied from.
     counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met_often = materialize(join_one_of_each(kept, counts.withColumn("n", F.col("members")), "key"), "kept-keys")
+    discard(kept)
     ranked = met_often.join(met_often.groupBy("node").agg(F.sum("members").alias("met")), "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("_top"), F.count(F.lit(1)).alias("n")).select("key", F.col("_top.node").alias("pivot"), "n")
     cands = materialize(join_one_of_each(met_often, pivots, "key").select("key", "node", "pivot", "members"), "candidates")
+    discard(met_often)
 
     # By row, as an id may be null or stand for several texts.
     first = sets.groupBy("node").agg(F.min("row").alias("row"))
@@ -269,8 +273,10 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str =
     # Keys whose members are not all connected, and were not all compared with each other.
     placed = cands.filter("members > 2").join(known, "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("comp"))
     placed = materialize(placed, "placed-keys")
+    discard(cands)
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("n")).filter("_low <> _high").select("key", "n")
     opened = materialize(join_one_of_each(placed, open_keys, "key"), "open-keys")
+    discard(placed)
     small = opened.filter(F.col("members") <= SMALL)
     pair = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
     pair = pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
