@@ -301,7 +301,7 @@ SELECT id, {_preferred("title", "subject", "crm", "title", "calendar")}, {_prefe
     "rec_meeting_detail": f"""WITH {_TO_PAIRS}, {_SIDES}, last AS (SELECT max(id) AS id FROM sides WHERE crm_id IS NOT NULL AND event_id IS NOT NULL)
 SELECT id, 'both' AS origin, sides.subject AS title, len(string_split(id, 'crm-')) - 1 AS n_crm, len(string_split(id, 'cal-')) - 1 AS n_calendar, crm_c.notes AS raw_notes FROM last JOIN sides USING (id) JOIN crm_c USING (crm_id)""",
     "rec_sources": f"""WITH {_BASE}
-SELECT kind, source, source_id, n_participants, n_flags, raw_location_chars FROM (VALUES ('lines'), ('array'), ('parquet')) v(kind), (
+SELECT kind, source, source_id, n_participants, n_flags, raw_location_chars FROM (VALUES ('lines'), ('array'), ('split'), ('parquet')) v(kind), (
   SELECT 'crm' AS source, crm_id AS source_id, CASE WHEN client IS NULL THEN 1 ELSE 2 END AS n_participants, len(flags) AS n_flags, length(location) AS raw_location_chars FROM crm_n JOIN crm_flags ON source_id = crm_id
   UNION ALL SELECT 'calendar', event_id, len(once), len(flags), length(location) FROM cal_people JOIN cal_flags ON source_id = event_id)""",
     "rec_broken_integrity": f"""WITH {_WHOLE}, year AS (SELECT * FROM meetings WHERE year(event_date) = 1995)

@@ -266,7 +266,7 @@ def meeting_detail(spark, sf_dir):
 
 
 def sources(spark, sf_dir):
-    """Both feeds written as JSON Lines, JSON arrays and Parquet, read back and normalized."""
+    """Both feeds written as JSON Lines, JSON arrays and Parquet, read back and normalized; the arrays as a whole and in splits."""
     root, out = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}", None
     for name, feed, read, shape in (
         ("crm", derive.crm_feed(spark, sf_dir), feeds.read_crm, normalize.normalize_crm), ("calendar", derive.calendar_feed(spark, sf_dir), feeds.read_calendar, normalize.normalize_calendar),
@@ -275,8 +275,8 @@ def sources(spark, sf_dir):
         feed.select("raw").write.text(f"{root}/{name}-lines")
         feed.drop("raw").write.parquet(f"{root}/{name}-parquet")
         feeds.write_json_arrays(feed, f"{root}/{name}-array")
-        for kind in ("lines", "array", "parquet"):
-            e = shape(read(spark, f"{root}/{name}-{kind}", kind), CONFIG)
+        for kind in ("lines", "array", "split", "parquet"):
+            e = shape(read(spark, f"{root}/{name}-{'array' if kind == 'split' else kind}", kind), CONFIG)
             told = e.select(F.lit(kind).alias("kind"), "source", "source_id", F.size("participants").alias("n_participants"), F.size("flags").alias("n_flags"), F.length(F.get_json_object("raw", "$.location")).alias("raw_location_chars"))
             out = told if out is None else out.unionByName(told)
     return out

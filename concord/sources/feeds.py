@@ -56,11 +56,12 @@ def with_raw(table: DataFrame, schema: T.StructType) -> DataFrame:
 def _read(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
     if kind == "parquet":
         return with_raw(spark.read.parquet(path), schema)
-    return parsed(read_json_array(spark, path) if kind == "array" else read_json_lines(spark, path), schema)
+    raw = {"array": read_json_array, "split": json_arrays.read_split, "lines": read_json_lines}[kind]
+    return parsed(raw(spark, path), schema)
 
 
 def read_crm(spark: SparkSession, path: str, kind: str = "lines") -> DataFrame:
-    """The CRM feed; ``kind`` is *lines*, *array* or *parquet*."""
+    """The CRM feed; ``kind`` is *lines*, *array*, *split* (arrays read in splits, whatever their size) or *parquet*."""
     return _read(spark, path, kind, CRM_SCHEMA)
 
 
