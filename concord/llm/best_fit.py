@@ -16,9 +16,9 @@ piece goes where follows from its number among those of its length, which is
 taken in hashed cells.
 
 *Tokens.* Word-level BPE never joins characters across white space, nor letters,
-digits and punctuation of ASCII with each other, but for apostrophes. So a text
-is cut into words and these into such runs, each distinct run is tokenized once
-in a worker, and a text's ids are put together. Where a text holds the beginning
+digits and punctuation of ASCII with each other, but for apostrophes. So texts
+are cut into such runs, some megabytes at a time, each distinct run is tokenized
+once in a worker, and a text's ids are put together. Where a text holds the beginning
 of a special token's name, it is tokenized as a whole. A test holds the ids
 against those of the whole text.
 
@@ -32,8 +32,8 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -44,12 +44,16 @@ from pyspark.sql import functions as F
 
 from .common import gapless_slots, materialize
 
-#: A worker forgets the words that it knows beyond so many words or ids, and reads texts by so many bytes.
-KNOWN_WORDS, KNOWN_IDS, CHUNK = 500_000, 4_000_000, 1_000_000
+#: A worker forgets the runs that it knows beyond so many runs or ids, and reads texts by so many bytes.
+KNOWN_WORDS, KNOWN_IDS, CHUNK = 300_000, 2_000_000, 2_000_000
 #: Runs that are tokenized in one call, with this special token between them.
 AT_ONCE, BETWEEN, MARK = 500, "<|startoftext|>", b"<|"
-#: Places in a word in lower case between letters, digits and punctuation, all of ASCII and no apostrophe.
-_SEAM = re.compile(rb"(?<=[a-z])(?=[0-9!-&(-/:-@\[-`{-~])|(?<=[0-9!-&(-/:-@\[-`{-~])(?=[a-z])|(?<=[0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[0-9])")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Kinds of bytes in lower case: white space, letters, digits, punctuation (all of ASCII, no apostrophe), and any other.
+_KIND = np.full(256, 4, np.uint8)
+for _kind, _bytes in enumerate((b" \t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")):
+    _KIND[list(_bytes)] = _kind
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -59,8 +63,24 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _runs(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The runs of texts in lower case that begin at ``at``, and how many there are up to each text's end.
+
+    A run ends at white space and between letters, digits and punctuation.
+    """
+    kind = _KIND[data]
+    told = kind > 0
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & (~told[:-1] | ((kind[1:] | kind[:-1]) < 4))
+    begins[at[:-1][at[:-1] < len(data)]] = True
+    begins &= told
+    offsets = np.append(np.flatnonzero(begins[told]), np.count_nonzero(told))
+    runs = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[told])])
+    return runs, np.searchsorted(np.flatnonzero(begins), at[1:])
+
+
 class WordIds:
-    """The ids of words, and of the runs that they are made of; ``None`` stands for the end of a text."""
+    """The ids of runs, and of texts that are tokenized as a whole; ``None`` stands for the end of a text."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other already
@@ -110,40 +130,37 @@ class WordIds:
         counts[1:] -= behind[:-1] == np.floor(behind[:-1])  # less the special token before it
         self._add(words, np.delete(ids, cuts), counts)
 
-    def learn(self, words: set[bytes | None]) -> None:
-        if len(self.number) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
-            self.forget()
-        new = words.difference(self.number)
-        whole = [w for w in new if not self.by_word or MARK in w]
-        odd = [w for w in new.difference(whole) if not w.isalpha()]
-        cut = [_SEAM.split(w) for w in odd]
-        runs = new.difference(odd, whole)
-        runs.update(*cut)
-        runs = runs.difference(self.number)
+    def learn(self, runs: list[bytes]) -> None:
+        """Learn runs that are new, each given once."""
         plain = [r for r in runs if r.isalpha()] if self.marks else []
         if plain:
             self._encode_plain(plain)
-        self._encode(list(runs.difference(plain)), AT_ONCE)
-        self._encode(whole, 1)
-        several = [(w, parts) for w, parts in zip(odd, cut, strict=True) if len(parts) > 1]
-        if several:
-            n = np.array([len(parts) for _, parts in several], np.int64)
-            at = np.fromiter((self.number[r] for _, parts in several for r in parts), np.int64, int(n.sum()))
-            lengths = self.lengths[at]
-            self._add([w for w, _ in several], _gathered(self.ids, self.starts[at], lengths), np.add.reduceat(lengths, np.cumsum(n) - n))
+        self._encode([r for r in runs if not r.isalpha()] if plain else runs, AT_ONCE)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with its end, and how many each text has."""
-        words: list[bytes | None] = []
-        behind = []
-        for text in texts:
-            words += text.lower().split() if self.by_word and MARK not in text else [text]  # bytes: letters and white space of ASCII alone
-            words.append(None)
-            behind.append(len(words))
-        self.learn(set(words))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        ends = np.cumsum(self.lengths[at])
-        return _gathered(self.ids, self.starts[at], self.lengths[at]), np.diff(ends[np.array(behind, np.int64) - 1], prepend=0)
+        if len(self.number) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
+            self.forget()
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        whole = np.array([not self.by_word or MARK in t for t in texts], bool)
+        for k in np.flatnonzero(whole):
+            data[at[k] : at[k + 1]] = 32  # stands in the place of its runs
+        runs, stops = _runs(data, at)
+        told = runs.dictionary_encode()
+        _, begins, body = told.dictionary.buffers()
+        begins, body = np.frombuffer(begins, np.int64)[: len(told.dictionary) + 1].tolist(), body.to_pybytes() if body else b""
+        distinct = [body[a:b] for a, b in itertools.pairwise(begins)]  # to_pylist() takes five times as long
+        self.learn([r for r in distinct if r not in self.number])
+        self._encode(list({t for t, w in zip(texts, whole, strict=True) if w}.difference(self.number)), 1)
+        numbers = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        # Behind a text's runs stands its end, and before that a text that is tokenized as a whole.
+        behind = np.cumsum(1 + whole)
+        ends = np.zeros(int(behind[-1]) if len(texts) else 0, np.int64)
+        ends[behind[whole] - 2] = [self.number[texts[k]] for k in np.flatnonzero(whole)]
+        words = np.insert(numbers[told.indices.to_numpy()], np.repeat(stops, 1 + whole), ends)
+        lengths = self.lengths[words]
+        return _gathered(self.ids, self.starts[words], lengths), np.diff(np.cumsum(lengths)[stops + behind - 1], prepend=0)
 
 
 @functools.lru_cache(maxsize=1)

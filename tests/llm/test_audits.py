@@ -143,6 +143,15 @@ def test_op11_forgets_words(monkeypatch):
         assert ids.tolist() == [x for t in texts for x in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]] and len(counts) == 10
 
 
+def test_op11_knows_runs_and_not_the_words_made_of_them():
+    known, tokenizer = best_fit.WordIds(PATH, 0), Tokenizer.from_file(PATH)
+    texts = ["ab12, (AB)12 don't.", "", "12ab\u00e9 <| Whole", "ab12,"]
+    ids, counts = known.of([t.encode() for t in texts])
+    assert set(known.number) == {None, b"ab", b"12", b",", b"(", b")", b"don't", b".", texts[2].encode()}
+    wanted = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(w) for w in wanted] and [len(x) for x in known.of([])] == [0, 0]
+
+
 # --- 12: source divergence ------------------------------------------------------
 
 
