@@ -472,6 +472,26 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100 + i: 100 for i in range(30)}
 
 
+def test_op5_exchanges_all_keys_once(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = prose(rnd, 120)
+    docs = spark.createDataFrame([(k, f"{base} {prose(rnd, k % 5)}") for k in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "PART", 1)  # keys on more than eight documents are dealt over tasks
+    plans, real = [], ngram_join.materialize
+
+    def seen(df, tag):
+        if tag != "shared-keys":
+            return real(df, tag)
+        plans.append((df.count(), df.collect(), df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+        raise InterruptedError
+
+    monkeypatch.setattr(ngram_join, "materialize", seen)
+    with pytest.raises(InterruptedError):
+        ngram_join.similarity_groups(docs, 3, 90)
+    n, rows, plan = plans[0]
+    assert n == len(rows) > 60 and plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 1
+
+
 # --- 6: WARC ------------------------------------------------------------------------------
 
 
