@@ -72,6 +72,21 @@ def test_op1_removes_what_brute_force_removes(spark, monkeypatch, bucket):
     assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] and (r["text"] is None or r["n_kept"] - 6 * r["n_spans"] <= len(r["text"].encode()) <= r["n_kept"]) for r in got)
 
 
+def test_op1_copies_of_one_context_are_spread_over_tasks(spark):
+    docs = [*passages(2, 60), *((1000 + i, "ab" * 500) for i in range(16))]
+    rows = spark.createDataFrame(docs, DOC).repartition(8).select(suffix_dedup.row_key("doc_id", "text").alias("row"), "text")
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}  # as with large tables
+    before = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in suffix_dedup._reached(rows, 40, 12).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) > 16 * 400 and max(sizes) < 0.5 * sum(sizes)
+
+
 def test_op1_reaches_and_groups_agree_with_all_pairs():
     rnd = random.Random(1)
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
