@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -87,6 +88,14 @@ def test_op1_copies_of_one_context_are_spread_over_tasks(spark):
     assert sum(sizes) > 16 * 400 and max(sizes) < 0.5 * sum(sizes)
 
 
+def test_op1_leaves_no_table_that_was_read_for_the_last_time(spark):
+    rows = spark.createDataFrame(passages(2, 20), DOC).select(suffix_dedup.row_key("doc_id", "text").alias("row"), "text")
+    held = lambda: {p for p in os.listdir(spark.conf.get("spark.checkpoint.dir")) if p.startswith(("concord-anchors-", "concord-whole-classes-"))}
+    before = held()
+    shared, classes = suffix_dedup._classes(rows, 40, 12)
+    assert shared.count() and classes.count() and held() == before
+
+
 def test_op1_reaches_and_groups_agree_with_all_pairs():
     rnd = random.Random(1)
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
