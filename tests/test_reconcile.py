@@ -539,3 +539,28 @@ def test_array_files_are_read_in_splits(spark, tmp_path, small_splits):
         (tmp_path / "bad.json").write_text(bad)
         with pytest.raises(Exception):  # noqa: B017
             feeds.read_json_array(spark, str(tmp_path / "bad.json"), split_bytes=0).collect()
+
+
+def test_pairs_of_a_run_are_the_greedy_ones_of_all_candidates(spark, monkeypatch):
+    """Assigned from high scores to low ones, and with parts of the score looked up or not; only pairs of rows that are left are made further down."""
+    rnd = random.Random(23)
+    firms, owners = ["Atlas Ventures", "Blue Oak"], ["Sarah Chen", "Tom Okafor"]
+    mail = lambda name: name.lower().replace(" ", ".")
+    crm, calendar = [], []
+    for i in range(40):
+        firm, owner, client, hour = rnd.choice(firms), rnd.choice(owners), f"Client {i:02d}", rnd.randint(9, 15)
+        crm.append(crm_row(f"c{i:02d}", relationship_owner=owner, client_name=rnd.choice([client, client, "multiple", None]), client_company=rnd.choice([firm, firm, None]), meeting_time=rnd.choice([f"{hour:02d}:00", f"{hour:02d}:00", None])))
+        if i % 4:
+            calendar.append(cal_row(f"k{i:02d}", organizer=f"{mail(owner)}@firma.com", attendees=[f"{mail(client)}@{firm.split()[0].lower()}.com"], start_time=f"2025-03-1{rnd.choice((0, 0, 1))}T{hour + rnd.randint(0, 1):02d}:00:00"))
+    read = match.features(match.store(normalize.normalize_feeds(crm_df(spark, crm), cal_df(spark, calendar)), "events"))
+    every = match.store(match.candidates(None, read=read), "every")
+    wanted = greedy([(r["score"], r["c_id"], r["k_id"]) for r in every.collect()])
+    found, kept = [], match.store
+    monkeypatch.setattr(match, "store", lambda df, tag: found.append(kept(df, tag)) or found[-1] if tag == "scored" else kept(df, tag))
+    monkeypatch.setattr(match, "discard", lambda *tables: None)
+    for combined in (10**6, 0):
+        monkeypatch.setattr(match, "COMBINED", combined)
+        found.clear()
+        got = match.matched(read, prune=True).select("c_id", "k_id", "score").collect()
+        assert {(r["c_id"], r["k_id"]) for r in got} == wanted and len(got) > 20
+        assert sum(df.count() for df in found) < every.count() / 2
