@@ -564,3 +564,14 @@ def test_pairs_of_a_run_are_the_greedy_ones_of_all_candidates(spark, monkeypatch
         got = match.matched(read, prune=True).select("c_id", "k_id", "score").collect()
         assert {(r["c_id"], r["k_id"]) for r in got} == wanted and len(got) > 20
         assert sum(df.count() for df in found) < every.count() / 2
+
+
+def test_collapsed_rows_are_known_before_any_pair(spark, monkeypatch):
+    """Neither pairs nor a second copy of the rows that have no duplicate are made for it."""
+    tags, kept = [], dedupe.store
+    monkeypatch.setattr(dedupe, "store", lambda df, tag: tags.append((tag, df.count())) or kept(df, tag))
+    monkeypatch.setattr(match, "matched", None)
+    calendar = [cal_row("a"), cal_row("b", start_time="2025-03-10T14:30:00"), cal_row("d", start_time="2025-03-17T14:00:00")]
+    collapsed = pipeline.prepared(crm_df(spark, [crm_row("c0")]), cal_df(spark, calendar))[1]
+    assert {(r["source"], tuple(r["source_ids"]), len(r["raw_records"])) for r in collapsed.collect()} == {("crm", ("c0",), 1), ("calendar", ("a", "b"), 2), ("calendar", ("d",), 1)}
+    assert ("folded", 1) in tags and "collapsed" not in dict(tags) and dedupe.collapsed_count(collapsed).first()[0] == 1
