@@ -575,3 +575,19 @@ def test_collapsed_rows_are_known_before_any_pair(spark, monkeypatch):
     collapsed = pipeline.prepared(crm_df(spark, [crm_row("c0")]), cal_df(spark, calendar))[1]
     assert {(r["source"], tuple(r["source_ids"]), len(r["raw_records"])) for r in collapsed.collect()} == {("crm", ("c0",), 1), ("calendar", ("a", "b"), 2), ("calendar", ("d",), 1)}
     assert ("folded", 1) in tags and "collapsed" not in dict(tags) and dedupe.collapsed_count(collapsed).first()[0] == 1
+
+
+def test_feeds_written_for_reading_back_leave_no_second_copy(spark, monkeypatch):
+    from pathlib import Path
+
+    from concord.operators.stored import shared_folder
+    from concord.plans import derive, queries
+
+    monkeypatch.setattr(derive, "crm_feed", lambda *_: crm_df(spark, [crm_row("c0"), crm_row("c1")]))
+    monkeypatch.setattr(derive, "calendar_feed", lambda *_: cal_df(spark, [cal_row("k0")]))
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.glob("feeds-*"))
+    told = queries.sources(spark, "").groupBy("kind").count().collect()
+    (made,) = set(root.glob("feeds-*")) - before
+    assert {tuple(r) for r in told} == {(kind, 3) for kind in ("lines", "array", "split", "parquet")}
+    assert list(made.glob("crm-lines/*.gz")) and list(made.glob("crm-parquet/*.zstd.parquet")) and not list(root.glob("concord-crm-feed-*"))
