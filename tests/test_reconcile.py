@@ -591,3 +591,17 @@ def test_feeds_written_for_reading_back_leave_no_second_copy(spark, monkeypatch)
     (made,) = set(root.glob("feeds-*")) - before
     assert {tuple(r) for r in told} == {(kind, 3) for kind in ("lines", "array", "split", "parquet")}
     assert list(made.glob("crm-lines/*.gz")) and list(made.glob("crm-parquet/*.zstd.parquet")) and not list(root.glob("concord-crm-feed-*"))
+
+
+def test_candidate_queries_prune_and_store_no_pairs(spark, monkeypatch):
+    from concord.plans import queries
+
+    events = match.store(normalize.normalize_feeds(crm_df(spark, [crm_row("c0"), crm_row("c1", meeting_time=None)]), cal_df(spark, [cal_row("k0"), cal_row("k1", start_time="2025-03-11T09:00:00")])), "events")
+    wanted, tags, kept = {(r["c_id"], r["k_id"]) for r in match.candidates(events).collect()}, [], match.store
+    monkeypatch.setattr(queries, "events_of", lambda *_: events)
+    monkeypatch.setattr(queries, "_read", {}, raising=False)
+    monkeypatch.setattr(match, "blocked", None)
+    monkeypatch.setattr(match, "store", lambda df, tag: tags.append(tag) or kept(df, tag))
+    for query in (queries.candidate_pairs, queries.candidate_pairs_pruned):
+        assert {(r["c_id"], r["k_id"]) for r in query(spark, "").collect()} == wanted and ("c0", "k0") in wanted
+    assert not {"plain-candidates", "scored"} & set(tags)
